@@ -10,9 +10,16 @@ parts alike:
   are light ones, the subset of those three is signed too; so no pair is lost, and light parts, which unrelated sets
   share by chance, never sign alone. Only beyond 4,000 parts does each part sign by itself, light or not.
 
-A signature met by two sets makes a candidate pair, and candidates are verified on their exact sets. In a bucket of more
-than two sets, each is first compared with the bucket's smallest; what this does not connect is compared afterwards, so
-a group of near copies costs about one comparison a member instead of all pairs, and no link is lost to the components.
+A signature met by two sets makes them candidates, and candidates are verified on their exact sets. A bucket of more
+than two sets is not compared all with all:
+
+1. Each member is compared with the bucket's leader, the set that meets most others.
+2. Where this leaves several components in a bucket, its members are known by what they differ in from the leader. Two
+   members x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles, so if neither is known to be connected to the
+   other they can only be linked if their differences overlap enough; pairs are found by a prefix and positional filter
+   over the differences, rarest first. Copies edited in different places share none of their rare differences.
+
+So a group of near copies costs about one comparison a member, and no link is lost to the components.
 """
 
 from __future__ import annotations
@@ -112,13 +119,16 @@ def _lists(width: int, make):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """The pairs (u, v) that the link condition holds for."""
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("numbers").alias("a")), "u").join(
-        sets.select(F.col("id").alias("v"), F.col("numbers").alias("b")), "v"
-    )
-    same = F.size(F.array_intersect("a", "b"))
-    return both.where(whole * same >= part * (F.size("a") + F.size("b") - same)).select("u", "v")
+def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) with their sets a and b."""
+    a, b = (sets.select(F.col("id").alias(k), F.col("numbers").alias(n)) for k, n in (("u", "a"), ("v", "b")))
+    return pairs.join(a, "u").join(b, "v")
+
+
+def _linked(size_a, size_b, differ, part: int, whole: int):
+    """Whether sets of these sizes that differ in so many shingles are linked: whole * |A and B| >= part * |A or B|."""
+    at = lambda x: F.col(x) if isinstance(x, str) else x
+    return (whole + part) * differ <= (whole - part) * (at(size_a) + at(size_b))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
@@ -143,27 +153,39 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("id", F.explode("numbers").alias("sig"))
     )
     w = W.partitionBy("sig")
-    buckets = written(
-        signed.withColumns({"leader": F.min("id").over(w), "last": F.max("id").over(w)}).where("leader < last").select("sig", "id", "leader"),
-        "buckets",
-    )
-    star = buckets.where("id > leader").groupBy(F.col("id").alias("u"), F.col("leader").alias("v")).agg(F.count("*").alias("n"))
-    pairs = written(star.select("u", "v"), "pairs")
+    met = signed.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w), "n": F.count("*").over(w)})
+    buckets = written(met.where("lo < hi").select("sig", "id", "n"), "buckets")
+    weighed = buckets.join(buckets.groupBy("id").agg(F.sum("n").alias("weight")), "id")
+    leaders = weighed.groupBy("sig").agg(F.max(F.struct(F.col("weight"), -F.col("id"))).alias("m")).select("sig", (-F.col("m.col2")).alias("leader"))
+    buckets = written(buckets.select("sig", "id").join(leaders, "sig"), "led")
+    pairs = written(buckets.where("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = written(
         d.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_lists(width, lambda s: s), "id long, numbers array<long>"), "sets"
     )
-    links = written(_verified(pairs, sets, part, whole), "links")
+    compared = _paired(pairs, sets).select(
+        "u", "v", F.size("a").alias("nu"), F.size("b").alias("nv"), F.concat(F.array_except("a", "b"), F.array_except("b", "a")).alias("apart")
+    )
+    compared = written(compared, "compared")
+    links = compared.where(_linked("nu", "nv", F.size("apart"), part, whole)).select("u", "v")
     found = written(components(links), "found")
 
-    # What the first comparisons left apart within a bucket: members of different components, neither of them its leader.
-    member = F.coalesce("component", "id").alias("c")
-    apart = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "leader", member)
-    mixed = apart.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    left = written(apart.where("id > leader").join(mixed, "sig", "left_semi"), "apart")
-    a, b = left.select("sig", F.col("id").alias("u"), F.col("c").alias("cu")), left.select("sig", F.col("id").alias("v"), F.col("c").alias("cv"))
-    rest = a.join(b, "sig").where("u > v and cu <> cv").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
-    more = _verified(rest, sets, part, whole)
+    # Buckets that still hold members of different components.
+    member = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "leader", F.coalesce("component", "id").alias("c"))
+    mixed = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
+    still = member.where("id <> leader").join(mixed, "sig", "left_semi").select(F.col("id").alias("u"), F.col("leader").alias("v"), "c").distinct()
+    reach = F.floor(F.col("n") * ((whole - part) * (whole + part)) / ((whole + part) * part)) + 1
+    rows = still.join(compared, ["u", "v"]).select("u", "v", "c", F.col("nu").alias("n"), F.size("apart").alias("d"), F.explode("apart").alias("e"))
+    rarity = rows.groupBy("v", "e").agg(F.count("*").alias("times")).where("times > 1")
+    # A difference that no other member has can't be shared, but it comes first and so moves the others back.
+    ranked = rows.join(rarity, ["v", "e"], "left").withColumn("p", F.row_number().over(W.partitionBy("u", "v").orderBy(F.coalesce("times", F.lit(1)), "e")))
+    open_ = written(ranked.where("times is not null").where(F.col("p") <= reach).select("v", "e", "u", "c", "n", "d", "p"), "open")
+    x, y = (open_.select("v", "e", *(F.col(c).alias(f"{c}{k}") for c in "ucndp")) for k in "xy")
+    shared = 1 + F.least(F.col("dx") - F.col("px"), F.col("dy") - F.col("py"))
+    near = x.join(y, ["v", "e"]).where((F.col("ux") > F.col("uy")) & (F.col("cx") != F.col("cy")) & _linked("nx", "ny", F.col("dx") + F.col("dy") - 2 * shared, part, whole))
+    rest = written(near.select(F.col("ux").alias("u"), F.col("uy").alias("v")).distinct(), "rest")
+    more = _paired(rest, sets).select("u", "v", "a", "b", F.size(F.array_intersect("a", "b")).alias("same"))
+    more = more.where(_linked(F.size("a"), F.size("b"), F.size("a") + F.size("b") - 2 * F.col("same"), part, whole)).select("u", "v")
     found = components(links.unionByName(more)).withColumnRenamed("node", "rep")
 
     named = reps.join(found, "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
