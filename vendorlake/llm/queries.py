@@ -6,22 +6,103 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .jaccard_join import similar_groups
+from pyspark.sql import functions as F
+
+from . import chunk_dedup, decontaminate, jaccard_join, langid, multi_index, toxicity
+from .bpe import encode_decode
+from .shipping import ship
+from .token_counts import token_counts
+
+
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary lies; the package is imported only when a query asks for it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def held_out(id_col: str = "doc_id"):
+    """Documents that no model learns from: crc32 of the id as text, modulo 4, is 2."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(table(spark, sf_dir, "documents"), width=4, part=85, whole=100)
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), width=4, part=85, whole=100)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(labels.where(~held_out()), docs))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_decontaminate,
+        op2_language_id,
+        op3_bpe,
         op4_ngram_jaccard_join,
+        op5_substring_dedup,
+        op6_multi_index,
+        op7_token_counts,
+        op9_toxicity,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB's SQL for the queries that it can express.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": """
+        with d as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+            from documents
+        ), b as (
+            select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+            from benchmark
+        ), ds as (
+            select distinct doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as s
+            from d where len(w) > 0
+        ), bs as (
+            select distinct item_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as s
+            from b where len(w) > 0
+        ), q as (select item_id, count(*) as n_shingles from bs group by item_id)
+        select doc_id, item_id, n_shingles, count(*) as n_shared, count(*) / n_shingles as containment
+        from ds join bs using (s) join q using (item_id)
+        group by doc_id, item_id, n_shingles having 100 * count(*) >= 80 * n_shingles
+    """,
+}
