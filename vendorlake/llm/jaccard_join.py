@@ -13,11 +13,13 @@ parts alike:
 A signature met by two sets makes them candidates, and candidates are verified on their exact sets. A bucket of more
 than two sets is not compared all with all:
 
-1. Each member is compared with the bucket's leader, the set that meets most others.
-2. Where this leaves several components in a bucket, its members are known by what they differ in from the leader. Two
-   members x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles, so if neither is known to be connected to the
-   other they can only be linked if their differences overlap enough; pairs are found by a prefix and positional filter
-   over the differences, rarest first. Copies edited in different places share none of their rare differences.
+1. Each member is compared with the bucket's leader, the set that meets most others, and with the leader's root: the end
+   of the chain from a set to the heaviest leader it meets. One root serves many buckets of a group.
+2. Where this leaves several components in a bucket, its members are known by what they differ in from the root. Two
+   members x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles. If both differ little, both are linked to the
+   root already; else they can only be linked if their differences overlap enough, and such pairs are found by a prefix
+   and positional filter over the differences, added shingles before missing ones. Copies that were edited in different
+   places share no added shingles and never meet.
 
 So a group of near copies costs about one comparison a member, and no link is lost to the components.
 """
@@ -125,6 +127,17 @@ def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v")
 
 
+def _roots(to: DataFrame) -> DataFrame:
+    """to: each node's heaviest leader, itself if none is heavier -> the end of each node's chain, by pointer jumping."""
+    to = written(to, "to")
+    while True:
+        jumped = to.join(to.select(F.col("id").alias("to"), F.col("to").alias("then")), "to", "left").select("id", F.coalesce("then", "to").alias("next"), "to")
+        jumped = written(jumped, "to")
+        if jumped.where("next <> to").isEmpty():
+            return jumped.select("id", "to")
+        to = jumped.select("id", F.col("next").alias("to"))
+
+
 def _linked(size_a, size_b, differ, part: int, whole: int):
     """Whether sets of these sizes that differ in so many shingles are linked: whole * |A and B| >= part * |A or B|."""
     at = lambda x: F.col(x) if isinstance(x, str) else x
@@ -157,31 +170,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = written(met.where("lo < hi").select("sig", "id", "n"), "buckets")
     weighed = buckets.join(buckets.groupBy("id").agg(F.sum("n").alias("weight")), "id")
     leaders = weighed.groupBy("sig").agg(F.max(F.struct(F.col("weight"), -F.col("id"))).alias("m")).select("sig", (-F.col("m.col2")).alias("leader"))
-    buckets = written(buckets.select("sig", "id").join(leaders, "sig"), "led")
-    pairs = written(buckets.where("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct(), "pairs")
+    led = written(buckets.select("sig", "id").join(leaders, "sig").join(weighed.select(F.col("id").alias("leader"), "weight").distinct(), "leader"), "led")
+    roots = _roots(led.groupBy("id").agg(F.max(F.struct(F.col("weight"), -F.col("leader"))).alias("m")).select("id", (-F.col("m.col2")).alias("to")))
+    buckets = written(led.select("sig", "id", "leader").join(roots.select(F.col("id").alias("leader"), F.col("to").alias("root")), "leader"), "rooted")
+    to = buckets.select(F.col("id").alias("u"), F.explode(F.array("leader", "root")).alias("v"))
+    pairs = written(to.where("u <> v").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = written(
         d.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_lists(width, lambda s: s), "id long, numbers array<long>"), "sets"
     )
-    compared = _paired(pairs, sets).select(
-        "u", "v", F.size("a").alias("nu"), F.size("b").alias("nv"), F.concat(F.array_except("a", "b"), F.array_except("b", "a")).alias("apart")
-    )
-    compared = written(compared, "compared")
-    links = compared.where(_linked("nu", "nv", F.size("apart"), part, whole)).select("u", "v")
+    links = _paired(pairs, sets).withColumn("same", F.size(F.array_intersect("a", "b")))
+    links = written(links.where(_linked(F.size("a"), F.size("b"), F.size("a") + F.size("b") - 2 * F.col("same"), part, whole)).select("u", "v"), "links")
     found = written(components(links), "found")
 
     # Buckets that still hold members of different components.
-    member = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "leader", F.coalesce("component", "id").alias("c"))
+    member = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "root", F.coalesce("component", "id").alias("c"))
     mixed = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    still = member.where("id <> leader").join(mixed, "sig", "left_semi").select(F.col("id").alias("u"), F.col("leader").alias("v"), "c").distinct()
-    reach = F.floor(F.col("n") * ((whole - part) * (whole + part)) / ((whole + part) * part)) + 1
-    rows = still.join(compared, ["u", "v"]).select("u", "v", "c", F.col("nu").alias("n"), F.size("apart").alias("d"), F.explode("apart").alias("e"))
-    rarity = rows.groupBy("v", "e").agg(F.count("*").alias("times")).where("times > 1")
-    # A difference that no other member has can't be shared, but it comes first and so moves the others back.
-    ranked = rows.join(rarity, ["v", "e"], "left").withColumn("p", F.row_number().over(W.partitionBy("u", "v").orderBy(F.coalesce("times", F.lit(1)), "e")))
-    open_ = written(ranked.where("times is not null").where(F.col("p") <= reach).select("v", "e", "u", "c", "n", "d", "p"), "open")
+    still = member.where("id <> root").join(mixed, "sig", "left_semi").select(F.col("id").alias("u"), F.col("root").alias("v"), "c").distinct()
+    added, missing = (F.array_sort(F.array_except(*ab)) for ab in (("a", "b"), ("b", "a")))
+    differ = _paired(still, sets).select("u", "v", "c", F.size("a").alias("n"), F.concat(added, missing).alias("apart"))
+    reach = F.floor(F.col("n") * ((whole - part) * (whole + part)) / ((whole + part) * part)).cast("int") + 1
+    open_ = differ.select("u", "v", "c", "n", F.size("apart").alias("d"), F.posexplode(F.slice("apart", F.lit(1), reach)).alias("p", "e"))
+    open_ = written(open_, "open")
     x, y = (open_.select("v", "e", *(F.col(c).alias(f"{c}{k}") for c in "ucndp")) for k in "xy")
-    shared = 1 + F.least(F.col("dx") - F.col("px"), F.col("dy") - F.col("py"))
+    shared = F.least(F.col("dx") - F.col("px"), F.col("dy") - F.col("py"))
     near = x.join(y, ["v", "e"]).where((F.col("ux") > F.col("uy")) & (F.col("cx") != F.col("cy")) & _linked("nx", "ny", F.col("dx") + F.col("dy") - 2 * shared, part, whole))
     rest = written(near.select(F.col("ux").alias("u"), F.col("uy").alias("v")).distinct(), "rest")
     more = _paired(rest, sets).select("u", "v", "a", "b", F.size(F.array_intersect("a", "b")).alias("same"))
