@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, jaccard_join, langid, multi_index, toxicity
+from . import chunk_dedup, decontaminate, jaccard_join, langid, licenses, multi_index, pii, toxicity
 from .bpe import encode_decode
 from .shipping import ship
 from .token_counts import token_counts
@@ -65,12 +65,25 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.fit(labels.where(~held_out()), docs))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(table(spark, sf_dir, "documents"), texts=False)
+    count = lambda k: F.size(F.filter("hits", lambda h: h["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{pii.KINDS[k]}") for k in range(4)),
+        F.sha2(pii.span_names(F.col("hits")), 256).alias("base_sha256"), pii.span_names(F.col("hits"), F.col("terms")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,7 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_substring_dedup,
         op6_multi_index,
         op7_token_counts,
+        op8_license_scans,
         op9_toxicity,
+        op10_pii,
     )
 }
 
