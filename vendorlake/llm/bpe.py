@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .merging import Remembered, merged
-from .wordhash import pieces
+from .wordhash import carried, pieces
 
 #: The pre-token pattern of byte-level vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -76,27 +76,24 @@ def _model(path: str) -> ByteBPE:
 
 
 def _run(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         model = _model(path)
         for batch in pieces(batches, size=2 << 20):
             packed = [model.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(packed, pa.binary()), pa.array(map(model.decode, packed), pa.string())], ["id", "ids", "decoded"]
-            )
+            yield batch, [pa.array(packed, pa.binary()), pa.array(map(model.decode, packed), pa.string())]
 
     return run
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, ids (binary: the token ids as little-endian unsigned 32-bit integers), decoded (the text that these ids decode to).
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id_col, the columns of keep, ids (binary: the token ids as little-endian unsigned 32-bit
+    integers), decoded (string: the text that these ids decode to).
 
     path: the vocabulary file, readable on every executor. A null text counts as empty: no ids, an empty decoded text. A
-    null id stays null; repeated rows come out as often as they came in; other columns of docs are ignored. A very long
+    null id stays null; repeated rows come out as often as they came in; columns not named are ignored. A very long
     pre-token is merged by a heap with the same result, so its time grows with n log n.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = d.schema["id"].dataType.simpleString()
-    return d.mapInArrow(_run(path), f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return carried(docs, id_col, text_col, keep, _run(path), "ids binary, decoded string")
 
 
 def ids_array(ids):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import _LOWER, Words, mix, pieces
+from .wordhash import _LOWER, Words, carried, pieces
 
 BITS = 18
 FIT_ROWS, FIT_RUNS, RUN, STRUNG = 2000, 12, 32, 4
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def _identified(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         crf: Crf | None = shared.value
         for batch in pieces(batches, size=6 << 20):
             rows = batch.num_rows
@@ -212,21 +212,17 @@ def _identified(shared):
                     mean = (total[b] - total[a]) / (b - a)
                     k = int(mean.argmax())
                     langs[d], scores[d], switches[d] = crf.langs[k], min(1.0, max(0.0, mean[k])), changed[b] - changed[a + 1]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(n_words.astype(np.int64)), pa.array(switches.astype(np.int64))],
-                ["id", "lang_pred", "score", "n_words", "n_switches"],
-            )
+            yield batch, [pa.array(langs, pa.string()), pa.array(scores), pa.array(n_words.astype(np.int64)), pa.array(switches.astype(np.int64))]
 
     return run
 
 
-def identify(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, lang_pred (string), score (double, 0 to 1), n_words, n_switches (neighbouring words of different languages).
+def identify(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id_col, the columns of keep, lang_pred (string), score (double, 0 to 1), n_words (long),
+    n_switches (long: neighbouring words of different languages).
 
     Null texts, texts without a letter, and every text where crf is None get "und" with score 0. Null ids stay null;
-    repeated rows come out as often as they came in; other columns, whatever their names, are ignored.
+    repeated rows come out as often as they came in; columns not named, whatever their names, are ignored.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = d.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(crf)
-    return d.mapInArrow(_identified(shared), f"id {kind}, lang_pred string, score double, n_words long, n_switches long").withColumnRenamed("id", id_col)
+    return carried(docs, id_col, text_col, keep, _identified(shared), "lang_pred string, score double, n_words long, n_switches long")

@@ -106,3 +106,24 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+def carried(docs, id_col: str, text_col: str, keep: tuple[str, ...], run, made: str):
+    """docs' id, text and keep columns through run in Arrow batches; the result has id_col, the keep columns, and those that `made` declares.
+
+    run gives, for an iterator of batches (id, text, ...), the batch and the arrays made of it.
+    """
+    from pyspark.sql import functions as F
+
+    kept = [f"kept_{i}" for i in range(len(keep))]
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)))
+    names = [part.split()[0] for part in made.split(", ")]
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, arrays in run(source):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(k) for k in kept), *arrays], ["id", *kept, *(f"made_{n}" for n in names)])
+
+    types = {f.name: f.dataType.simpleString() for f in d.schema}
+    schema = ", ".join([f"id {types['id']}", *(f"{k} {types[k]}" for k in kept), *(f"made_{part}" for part in made.split(", "))])
+    out = d.mapInArrow(batches, schema)
+    return out.select(F.col("id").alias(id_col), *(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)), *(F.col(f"made_{n}").alias(n) for n in names))
