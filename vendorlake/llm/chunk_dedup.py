@@ -3,8 +3,9 @@
 The gear hash at a byte covers the last 32 bytes. A chunk ends where the hash is the least within REACH bytes on either
 side, so an insertion moves only the boundaries near it, and chunks are REACH + 1 to about four times as long; only
 where no such place comes for LONGEST bytes (as in one repeated character) is a chunk cut by length. Chunks whose digest
-stands in two documents are kept; runs of THREE consecutive ones must stand together in another document too, and such
-runs are joined into spans. A span thus is text that repeats, less up to a chunk at either end of the repeated passage.
+stands in two documents are kept; runs of three consecutive ones, known by all three digests, must stand together in
+another document too, and such runs are joined into spans. A span thus is text that repeats, less up to a chunk at
+either end of the repeated passage.
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ from pyspark.sql import functions as F
 from .scratch import written
 from .wordhash import SPACED, Words, _powers, mix, pieces
 
-REACH = 16
+REACH = 20
 LONGEST = 1024
-THREE = 3
-_CHUNKS = "id long, at int, start long, stop long, words int, d1 long, d2 long"
+_CHUNKS = "id long, digest long, place long"
 
 
 def _gear() -> np.ndarray:
@@ -33,7 +33,7 @@ def _gear() -> np.ndarray:
 
 GEAR = _gear()
 with np.errstate(over="ignore"):
-    _CODES = [mix(np.arange(256, dtype=np.uint64) + np.uint64(k << 32)) for k in (1, 2)]
+    _CODE = mix(np.arange(256, dtype=np.uint64) + np.uint64(1 << 32))
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -82,30 +82,32 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = np.array([len(e) for e in ends], np.int64)
         stop = np.concatenate(ends).astype(np.int64) if ends else np.zeros(0, np.int64)
         first = np.cumsum(each) - each
-        at = np.arange(len(stop)) - np.repeat(first, each)
+        at = np.arange(len(stop)) - np.repeat(first, each)  # 0 at a text's first chunk
         base = np.repeat(text.bounds[:-1], each)
         start = np.where(at == 0, base, np.concatenate([[0], stop[:-1]]) if len(stop) else stop)
         words = np.searchsorted(text.start, stop) - np.searchsorted(text.start, start)
         power, inverse = _powers(len(text.data) + 1)
-        digests = []
         with np.errstate(over="ignore"):
-            for code in _CODES:
-                total = np.zeros(len(text.data) + 1, np.uint64)
-                np.cumsum(code[text.data] * power[:-1], out=total[1:])
-                digests.append(mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)).astype(np.int64))
+            total = np.zeros(len(text.data) + 1, np.uint64)
+            np.cumsum(_CODE[text.data] * power[:-1], out=total[1:])
+            digest = mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)).astype(np.int64)
         ids = batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), each)))
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(at.astype(np.int32)), pa.array(start - base), pa.array(stop - base), pa.array(words.astype(np.int32)), *map(pa.array, digests)],
-            ["id", "at", "start", "stop", "words", "d1", "d2"],
-        )
+        place = (start - base) << 24 | (stop - start) << 12 | words
+        yield pa.RecordBatch.from_arrays([ids, pa.array(digest), pa.array(place)], ["id", "digest", "place"])
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The chunks of every text: id, at (0, 1, ... in the text), start and stop (bytes of UTF-8), words that begin in it, and a 128-bit digest d1, d2."""
+    """The chunks of every text: id, digest (64 bits), place (start << 24 | length << 12 | words: its first byte, its bytes, and the words that begin in it)."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return d.mapInArrow(_chunks, _CHUNKS)
 
 
+def spread(chunked: DataFrame) -> DataFrame:
+    """chunks() with start, stop and words for place."""
+    start, length = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(4095)
+    return chunked.withColumns({"start": start, "stop": start + length, "words": F.col("place").bitwiseAND(4095)}).drop("place")
+
+
 def _in_two(df: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose key stands in two documents. Counts are pre-aggregated; the join back has partitions that adaptive execution can split."""
     met = df.groupBy(*keys).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").drop("last_id")
@@ -121,18 +123,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     outside its span, 24 finds passages of over 50 words. Null and empty texts have no chunk and no row. A null id takes
     no part. Rows that repeat an id are one document, whose spans are listed together. Other columns are ignored.
     """
-    cut = written(chunks(docs, id_col, text_col).where("id is not null"), "chunks")
-    shared = written(_in_two(cut, ["d1", "d2"]).drop("first_id"), "shared")
-    w = W.partitionBy("id").orderBy("at", "start", "d1")
+    shared = _in_two(chunks(docs, id_col, text_col).where("id is not null"), ["digest"]).drop("first_id")
+    shared = written(spread(shared), "shared")
+    w = W.partitionBy("id").orderBy("start", "digest")
+    after = lambda c, n: F.lead(c, n).over(w)
     run = shared.withColumns(
         {
-            "stop3": F.when(F.lead("at", THREE - 1).over(w) == F.col("at") + THREE - 1, F.lead("stop", THREE - 1).over(w)),
-            "t1": F.xxhash64("d1", F.lead("d1", 1).over(w), F.lead("d1", 2).over(w)),
-            "t2": F.xxhash64("d2", F.lead("d2", 1).over(w), F.lead("d2", 2).over(w), F.lit(1)),
-            "words3": F.col("words") + F.lead("words", 1).over(w) + F.lead("words", 2).over(w),
+            "joined": (after("start", 1) == F.col("stop")) & (after("start", 2) == after("stop", 1)),
+            "stop3": after("stop", 2),
+            "t1": F.xxhash64("digest", after("digest", 1), after("digest", 2)),
+            "t2": F.xxhash64(after("digest", 2), after("digest", 1), "digest"),
+            "words3": F.col("words") + after("words", 1) + after("words", 2),
         }
-    ).where("stop3 is not null")
-    whole = _in_two(run.select("id", "at", "start", "stop3", "words", "words3", "t1", "t2"), ["t1", "t2"])
+    ).where("joined")
+    whole = _in_two(run.select("id", "start", "stop3", "words", "words3", "t1", "t2"), ["t1", "t2"])
     by = W.partitionBy("id").orderBy("start")
     reached = F.max("stop3").over(by.rowsBetween(W.unboundedPreceding, -1))
     numbered = whole.withColumn("fresh", F.when(F.col("start") < reached, 0).otherwise(1)).withColumn("span", F.sum("fresh").over(by))
