@@ -1,0 +1,80 @@
+"""Payload text to companies: the golden cases."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from vendorlake.operators import ingest
+
+PRODUCT = "CRM & Sales"
+CASES = {
+    "G1": ('Here: [{"name":"A"},{"name":"B"}] done', "parsed", 2, 0),
+    "G2": ('[{"name":"A",},]', "repaired", 1, 0),
+    "G3": ('see [1] then [{"name":"A"}]', "unparseable", 0, 0),
+    "G4": ('[{"name":"A","tags":["x"]},{"name":"B', "unparseable", 0, 0),
+    "G5": ("no list here", "no_array", 0, 0),
+    "G6": ("[]", "empty", 0, 0),
+    "G9": ('[{"name":"A",,}]', "unparseable", 0, 0),
+    "G10": ('[{"name":"A"},null]', "parsed", 1, 1),
+    "G11": ('[{"score":1,"score":2}]', "parsed", 1, 0),
+    "G12": ("['A']", "unparseable", 0, 0),
+    "lines": ('x\n[\n{"name":"A"}\n]\ny', "parsed", 1, 0),
+    "nbsp": ('[{"name":"A", }]', "repaired", 1, 0),
+    "two values": ('[{"a":1}] [{"b":2}]', "unparseable", 0, 0),
+    "mixed": ('[1,"x",[2],{"name":"A"}]', "parsed", 1, 3),
+}
+
+
+def payloads(spark, texts):
+    ingest.allow_repeated_keys(spark)
+    rows = [(k, PRODUCT, json.dumps({"content": [{"type": "text", "text": t}]})) for k, t in texts.items()]
+    rows += [("G7", PRODUCT, '{"error":{"type":"x"}}'), ("G8", PRODUCT, "oops"), ("none", PRODUCT, None)]
+    return spark.createDataFrame(rows, "run_id string, product string, body string").withColumn("received_at", F.current_timestamp())
+
+
+def test_outcomes(spark):
+    found = ingest.ingest(payloads(spark, {k: c[0] for k, c in CASES.items()}))
+    got = {r["run_id"]: (r["outcome"], r["n_rejected"]) for r in found.outcomes.collect()}
+    counts = {r["run_id"]: r["count"] for r in found.companies.groupBy("run_id").count().collect()}
+    want = {k: (c[1], c[3]) for k, c in CASES.items()} | {"G7": ("no_array", 0), "G8": ("request_failed", 0), "none": ("request_failed", 0)}
+    assert got == want
+    assert {k: counts.get(k, 0) for k in CASES} == {k: c[2] for k, c in CASES.items()}
+    rejected = found.quarantine.groupBy("run_id").count().collect()
+    assert {r["run_id"]: r["count"] for r in rejected} == {k: c[3] for k, c in CASES.items() if c[3]}
+
+
+def test_ids_follow_positions(spark):
+    rows = ingest.ingest(payloads(spark, {"a": '[null,{"id":77,"name":"A"},{"name":"B"}]'})).companies.collect()
+    assert [(r["id"], r["name"]) for r in sorted(rows, key=lambda r: r["id"])] == [(2, "A"), (3, "B")]
+
+
+NORMAL = [
+    ("verticals", '"Mining"', "verticals", ["Mining"]), ("verticals", '""', "verticals", []), ("verticals", "0", "verticals", []), ("verticals", "null", "verticals", []),
+    ("verticals", "false", "verticals", []), ("verticals", "true", "verticals", ["true"]), ("verticals", '"0"', "verticals", ["0"]), ("verticals", '"false"', "verticals", ["false"]),
+    ("verticals", '["x",null]', "verticals", ["x", None]), ("verticals", "[]", "verticals", []), ("verticals", "5", "verticals", ["5"]), ("other", "1", "verticals", []),
+    ("products", '"ERP"', "products", [PRODUCT]), ("other", "1", "products", [PRODUCT]), ("products", '["ERP"]', "products", ["ERP"]),
+    ("tags", '"api"', "tags", []), ("tags", "null", "tags", []), ("tags", '["api"]', "tags", ["api"]),
+    ("score", "85", "score", 85.0), ("score", "91.5", "score", 91.5), ("score", "150", "score", 150.0), ("score", '"85"', "score", 75.0), ("score", "null", "score", 75.0), ("other", "1", "score", 75.0),
+    ("score", "1e2", "score", 100.0), ("foundedYear", "0", "founded_year", None), ("foundedYear", '""', "founded_year", None), ("foundedYear", "null", "founded_year", None),
+    ("foundedYear", "2005", "founded_year", 2005), ("foundedYear", '"soon"', "founded_year", None),
+]
+
+
+@pytest.fixture(scope="module")
+def normal(spark):
+    texts = {str(i): f'[{{"{key}":{value}}}]' for i, (key, value, _, _) in enumerate(NORMAL)}
+    return {r["run_id"]: r for r in ingest.ingest(payloads(spark, texts)).companies.drop("raw").collect()}
+
+
+@pytest.mark.parametrize("i", range(len(NORMAL)))
+def test_normaliser(normal, i):
+    _, _, column, want = NORMAL[i]
+    assert normal[str(i)][column] == want, NORMAL[i]
+
+
+def test_block_text(spark):
+    body = json.dumps({"content": [{"type": "text", "text": "a"}, {"type": "tool_use", "name": "web_search"}, {"type": "text", "text": None}, {"type": "tool_use", "name": "x"}, {"type": "text", "text": "b"}]})
+    content = F.from_json(F.lit(body), ingest.ENVELOPE)["content"]
+    row = spark.range(1).select(ingest.block_text(content).alias("t"), ingest.call_count(content).alias("n"), ingest.call_count(F.lit(None).cast("array<struct<type:string,text:string,name:string>>")).alias("z")).first()
+    assert (row["t"], row["n"], row["z"]) == ("a\n\nb", 1, 0)
