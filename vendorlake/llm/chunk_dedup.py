@@ -1,6 +1,6 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
-The gear hash at a byte covers the last 32 bytes. A chunk ends where the hash is the least within REACH bytes on either
+The gear hash at a byte covers the last 16 bytes. A chunk ends where the hash is the least within REACH bytes on either
 side, so an insertion moves only the boundaries near it, and chunks are REACH + 1 to about four times as long; only
 where no such place comes for LONGEST bytes (as in one repeated character) is a chunk cut by length. Chunks whose digest
 stands in two documents are kept; runs of three consecutive ones, known by all three digests, must stand together in
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .scratch import written
 from .wordhash import SPACED, Words, _powers, mix, pieces
 
-REACH = 20
+REACH = 16
 LONGEST = 1024
 _CHUNKS = "id long, digest long, place long"
 
@@ -37,11 +37,11 @@ with np.errstate(over="ignore"):
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
-    """The gear hash h = (h << 1) + GEAR[byte] modulo 2**32 at every byte of one text, by doubling the window."""
+    """The gear hash h = (h << 2) + GEAR[byte] modulo 2**32 at every byte of one text, by doubling the window."""
     with np.errstate(over="ignore"):
         h = GEAR[data]
-        for k in (1, 2, 4, 8, 16):
-            h[k:] = h[k:] + (h[:-k] << np.uint32(k))
+        for k in (1, 2, 4, 8):
+            h[k:] = h[k:] + (h[:-k] << np.uint32(2 * k))
     return h
 
 
@@ -114,13 +114,13 @@ def _in_two(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(met, keys)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 24) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
     """Spans of text that stand in other documents too, one row per document that has any: id_col, n_spans (long),
     n_bytes (long, in all spans), n_words (long), first_id (the smallest document that holds one of its spans), spans
     (string: start:stop in bytes of UTF-8, comma-joined in order).
 
-    A span is kept if at least min_words words begin in it; as up to about 20 words at the ends of a repeated passage lie
-    outside its span, 24 finds passages of over 50 words. Null and empty texts have no chunk and no row. A null id takes
+    A span is kept if at least min_words words begin in it; as about 15 and seldom 30 words at the ends of a repeated
+    passage lie outside its span, 20 finds passages of over 50 words. Null and empty texts have no chunk and no row. A null id takes
     no part. Rows that repeat an id are one document, whose spans are listed together. Other columns are ignored.
     """
     shared = _in_two(chunks(docs, id_col, text_col).where("id is not null"), ["digest"]).drop("first_id")
