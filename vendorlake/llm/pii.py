@@ -90,6 +90,12 @@ def _words(side: Column, base: Column) -> Column:
     return F.transform(_places(side, _WORD), lambda x: F.struct(F.lower(x["m"]).alias("t"), (base + x["start"]).alias("start"), (base + x["start"] + F.length(x["m"])).alias("stop")))
 
 
+def _disclosure(total: int, n_t: str) -> Column:
+    pmi = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.greatest(n_t, "n_et")))
+    ic = F.log(F.lit(float(total)) / F.col("n_e"))
+    return F.when(ic > 0, pmi / ic).otherwise(0.0)
+
+
 def _revealing(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """(key, terms): of the documents that have any, the spans of revealing terms with their disclosure."""
     one = hits.where(F.size("hits") > 0).select("key", F.explode("hits").alias("h")).select(
@@ -104,7 +110,12 @@ def _revealing(docs: DataFrame, hits: DataFrame) -> DataFrame:
         "key", "e", "context", word.alias("t"), F.col("x.start").alias("start"), F.col("x.stop").alias("stop")
     )
     beside = written(beside, "beside")
+    n_e = one.select("key", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+    total = docs.count()
     pairs = beside.groupBy("e", "t").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("key").alias("n_et")).where(F.col("contexts") >= SUPPORT)
+    # Documents that hold t beside any entity are some of the n(t): a pair that they alone keep below the threshold is settled.
+    n_beside = beside.select("key", "t").distinct().groupBy("t").agg(F.count("*").alias("n_beside"))
+    pairs = pairs.join(n_e, "e").join(n_beside, "t").where(_disclosure(total, "n_beside") >= GENERALISE)
     pairs = written(pairs, "candidates")
     terms = pairs.select("t").distinct()
     small = pairs.count() <= BROADCAST_ROWS
@@ -112,12 +123,8 @@ def _revealing(docs: DataFrame, hits: DataFrame) -> DataFrame:
         F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++", " "), " "))).alias("t")
     )
     n_t = spread.join(F.broadcast(terms) if small else terms, "t").groupBy("t").agg(F.count("*").alias("n_t"))
-    n_e = one.select("key", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    total = docs.agg(F.count("*").alias("total"))
-    known = pairs.join(n_e, "e").join(n_t, "t").crossJoin(F.broadcast(total))
-    pmi = F.log(F.col("n_et") * F.col("total") / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    ic = F.log(F.col("total") / F.col("n_e"))
-    revealing = known.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("disclosure") >= GENERALISE).select("e", "t", "disclosure")
+    known = pairs.join(n_t, "t").withColumn("disclosure", _disclosure(total, "n_t"))
+    revealing = known.where(F.col("disclosure") >= GENERALISE).select("e", "t", "disclosure")
     spans = beside.join(revealing, ["e", "t"]).groupBy("key", "start", "stop").agg(F.max("disclosure").alias("disclosure"))
     return spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
 
