@@ -98,6 +98,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 def ids_array(ids):
     """A binary ids column as array<long>."""
-    at = F.sequence(F.lit(0), F.octet_length(ids).cast("int") / F.lit(4) - 1)
-    number = lambda i: F.conv(F.hex(F.reverse(F.substring(ids, i.cast("int") * 4 + 1, F.lit(4)))), 16, 10).cast("long")
-    return F.when(F.octet_length(ids) > 0, F.transform(at.cast("array<int>"), number)).otherwise(F.array().cast("array<long>"))
+    n = F.shiftright(F.octet_length(ids), 2)
+    number = lambda i: sum(
+        (F.conv(F.hex(F.substring(ids, i * 4 + k + 1, F.lit(1))), 16, 10).cast("long") * 256**k for k in range(4)), F.lit(0)
+    )
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), number)).otherwise(F.array().cast("array<long>"))
