@@ -194,7 +194,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def _identified(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         crf: Crf | None = shared.value
-        for batch in pieces(batches, size=6 << 20):
+        for batch in pieces(batches, size=4 << 20):
             rows = batch.num_rows
             langs, scores, switches, n_words = [UNKNOWN] * rows, np.zeros(rows), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
             if crf is not None:

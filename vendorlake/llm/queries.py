@@ -100,24 +100,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SPACED = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def _shingled(words: str, width: int) -> str:
+    """The shingles of a list of words, a shorter list being one."""
+    return f"case when len({words}) < {width} then [array_to_string({words}, ' ')] else [array_to_string({words}[i:i + {width - 1}], ' ') for i in range(1, len({words}) - {width - 2})] end"
+
+
+def _listed(text: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
+
+
+def _places(phrase: str) -> str:
+    n = len(phrase.split())
+    return f"[i for i in range(0, len(w) - {n - 1}) if w[i + 1:i + {n}] = {_listed(phrase)}]"
+
+
+def _templates() -> str:
+    rows = ((label, sorted(set(text.split()))) for label, text in licenses.TEMPLATES.items())
+    return ", ".join(f"('{label}', {_listed(' '.join(words))}, {-(-80 * len(words) // 100)})" for label, words in rows)
+
+
+_BASE = {label: f"p{i}" for i, label in enumerate(licenses.PHRASES.values())}
 #: DuckDB's SQL for the queries that it can express.
 ORACLE_SQL: dict[str, str] = {
-    "op1_decontaminate": """
-        with d as (
-            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
-            from documents
-        ), b as (
-            select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
-            from benchmark
-        ), ds as (
-            select distinct doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as s
-            from d where len(w) > 0
-        ), bs as (
-            select distinct item_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as s
-            from b where len(w) > 0
-        ), q as (select item_id, count(*) as n_shingles from bs group by item_id)
+    "op1_decontaminate": f"""
+        with d as (select doc_id, {_WORDS.format(_LOWERED.format("text"))} as w from documents), b as (select item_id, {_WORDS.format(_LOWERED.format("text"))} as w from benchmark),
+        ds as (select distinct doc_id, unnest({_shingled("w", 5)}) as s from d where len(w) > 0), bs as (select distinct item_id, unnest({_shingled("w", 5)}) as s from b where len(w) > 0),
+        q as (select item_id, count(*) as n_shingles from bs group by item_id)
         select doc_id, item_id, n_shingles, count(*) as n_shared, count(*) / n_shingles as containment
-        from ds join bs using (s) join q using (item_id)
-        group by doc_id, item_id, n_shingles having 100 * count(*) >= 80 * n_shingles
+        from ds join bs using (s) join q using (item_id) group by doc_id, item_id, n_shingles having 100 * count(*) >= 80 * n_shingles
+    """,
+    "op4_ngram_jaccard_join": f"""
+        with recursive d as (select doc_id, coalesce({_SPACED.format(_LOWERED.format("text"))}, []) as w from documents),
+        s as (select distinct doc_id, unnest({_shingled("w", 4)}) as g from d where len(w) > 0), n as (select doc_id, count(*) as n from s group by doc_id),
+        both_ as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+        links as (select x, y from both_ join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * i >= 85 * (nx.n + ny.n - i)),
+        edges as (select x, y from links union all select y, x from links),
+        reach as (select x, y from edges union select r.x, e.y from reach r join edges e on r.y = e.x)
+        select doc_id, coalesce(n.n, 0) as n_shingles, least(doc_id, coalesce(min(y), doc_id)) as component_id
+        from d left join n using (doc_id) left join reach on reach.x = doc_id group by doc_id, n.n
+    """,
+    "op8_license_scans": f"""
+        with d as (select doc_id, {_LOWERED.format("coalesce(text, '')")} as t from documents), base as (
+            select doc_id, len(w) as n_words, {", ".join(f"{_places(p)} as {_BASE[label]}" for p, label in licenses.PHRASES.items())} from (select doc_id, {_WORDS.format("t")} as w from d)
+        ), templates(label, words, need) as (values {_templates()}),
+        blocks as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as block from d),
+        held as (select doc_id, block, list_distinct({_WORDS.format("line")}) as h from blocks),
+        met as (select doc_id, block, label, len(list_intersect(h, words)) / len(words) as c from held join templates on len(h) >= need and len(list_intersect(h, words)) >= need),
+        more as (select doc_id, list(distinct label) as labels, max(c) as best, count(distinct block) as n_blocks from met group by doc_id),
+        named as (
+            select *, list_concat({", ".join(f"case when len({c}) > 0 then ['{label}'] else []::varchar[] end" for label, c in _BASE.items())}) as own,
+                list_concat({", ".join(_BASE.values())}) as places from base
+        )
+        select doc_id, n_words, len(places) as n_base, list_min(places) as first_word, list_max(places) as last_word, array_to_string(list_sort(own), ',') as base_labels,
+            array_to_string(list_sort(list_distinct(list_concat(own, coalesce(labels, [])))), ',') as labels,
+            case when len(own) > 0 then 1.0::double else coalesce(best, 0.0)::double end as score, coalesce(n_blocks, 0) as n_blocks
+        from named left join more using (doc_id)
     """,
 }
