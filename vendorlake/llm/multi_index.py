@@ -130,21 +130,23 @@ def search(
     entries = index.join(F.broadcast(per_cell), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
 
     def best(asking: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if not len(asking) or not len(entry):
-            return pd.DataFrame({"query_id": [], id_col: [], "score": []})
-        ids = entry["id"].to_numpy()
-        order = np.argsort(ids)
-        ids, m = ids[order], np.stack(entry["v"].to_numpy())[order]
-        out = []
-        for at in range(0, len(asking), 256):
-            part = asking.iloc[at : at + 256]
-            for q, s in zip(part["query"].to_numpy(), np.stack(part["v"].to_numpy()) @ m.T, strict=True):
-                s = np.where(ids == q, -np.inf, s)
-                top = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
-                top = top[np.lexsort((ids[top], -s[top]))][:k]
-                top = top[np.isfinite(s[top])]
-                out.append(pd.DataFrame({"query_id": q, id_col: ids[top], "score": s[top]}))
-        return pd.concat(out)
+        """Of one block the k nearest of each query that walks its cell; sums in one order, so that equal vectors score alike."""
+        columns = ([], [], [])
+        if len(asking) and len(entry):
+            ids = entry["id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, m = ids[order], np.stack(entry["v"].to_numpy())[order]
+            queries, wanted = asking["query"].to_numpy(), np.stack(asking["v"].to_numpy())
+            for at in range(0, len(queries), 256):
+                q = queries[at : at + 256]
+                s = np.einsum("qd,nd->qn", wanted[at : at + 256], m)
+                s[q[:, None] == ids[None, :]] = -np.inf
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                best_s = np.take_along_axis(s, top, 1)
+                for c, x in zip(columns, (np.broadcast_to(q[:, None], top.shape), ids[top], best_s), strict=True):
+                    c.append(x[np.isfinite(best_s)])
+        found = [np.concatenate(c) if c else np.zeros(0) for c in columns]
+        return pd.DataFrame({"query_id": found[0].astype(np.int64), id_col: found[1].astype(np.int64), "score": found[2]})
 
     found = asked.groupBy("cell", "block").cogroup(entries.groupBy("cell", "block")).applyInPandas(best, f"query_id long, {id_col} long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_col)).alias("rank")
