@@ -142,17 +142,17 @@ def plain_boundaries(data):
         h = ((h << 2) + int(chunk_dedup.GEAR[b])) & mask
         all_h.append(h)
     reach, n, ends, last = chunk_dedup.REACH, len(data), [], 0
+    near = -1 - reach
     for i in range(n):
-        cut = i == n - 1 or (
-            reach <= i < n - reach - 1 and all(all_h[i] < x for x in all_h[i - reach : i]) and all(all_h[i] <= x for x in all_h[i + 1 : i + reach + 1])
-        )
-        if cut:
+        least = reach <= i < n - reach - 1 and all_h[i] <= min(all_h[i - reach : i]) and all_h[i] <= min(all_h[i + 1 : i + reach + 1])
+        if i == n - 1 or (least and (i + 1 - near > reach)):
+            near = i + 1
             ends += list(range(last + chunk_dedup.LONGEST, i + 1, chunk_dedup.LONGEST)) + [i + 1]
             last = i + 1
     return ends
 
 
-@pytest.mark.parametrize("text", ["", "a", "ab" * 10, "x" * 5000, " ".join(random.Random(1).choices(WORDS, k=900)), "é" * 300 + "the end"])
+@pytest.mark.parametrize("text", ["", "a", "ab" * 10, "x" * 5000, "The " * 300 + "end of it " + "xy" * 40, " ".join(random.Random(1).choices(WORDS, k=900)), "é" * 300 + "the end"])
 def test_boundaries(text):
     import numpy as np
 

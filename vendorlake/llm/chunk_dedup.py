@@ -1,8 +1,9 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
 The gear hash at a byte covers the last 16 bytes. A chunk ends where the hash is the least within REACH bytes on either
-side, so an insertion moves only the boundaries near it, and chunks are REACH + 1 to about four times as long; only
-where no such place comes for LONGEST bytes (as in one repeated character) is a chunk cut by length. Chunks whose digest
+side, so an insertion moves only the boundaries near it, and chunks are REACH + 1 to about four times as long. Where
+equal hashes lie closer, as in one word over and over, the first of them more than REACH after the last boundary counts,
+so chunks there hold whole periods and are alike in every document; a chunk of LONGEST bytes is cut by length. Chunks whose digest
 stands in two documents are kept; runs of three consecutive ones, known by all three digests, must stand together in
 another document too, and such runs are joined into spans. A span thus is text that repeats, less up to a chunk at
 either end of the repeated passage.
@@ -63,10 +64,18 @@ def boundaries(data: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     h = rolling(data)
-    cut = (h < _least_before(h, REACH)) & (h <= _least_before(h[::-1], REACH)[::-1])
+    cut = (h <= _least_before(h, REACH)) & (h <= _least_before(h[::-1], REACH)[::-1])
     cut[: REACH] = False
     cut[n - REACH - 1 :] = False
-    ends = np.append(np.flatnonzero(cut) + 1, n)
+    ends = np.flatnonzero(cut) + 1
+    if len(ends) and np.diff(ends).min(initial=REACH + 1) <= REACH:  # equal hashes, as where a word repeats
+        kept, last = [], -1 - REACH
+        for e in ends.tolist():
+            if e - last > REACH:
+                kept.append(e)
+                last = e
+        ends = np.array(kept)
+    ends = np.append(ends, n)
     wide = np.flatnonzero(np.diff(ends, prepend=0) > LONGEST)
     if len(wide):
         starts = np.concatenate([[0], ends[:-1]])
