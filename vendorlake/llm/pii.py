@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 REACH, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.8, 0.95
-#: Candidate terms of up to so many rows go to every executor; beyond, they are joined by a shuffle.
+#: Spans of revealing terms in up to so many documents go to every executor; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The patterns' leftmost matches; possessive and anchored at the start of a run or at the last match, so that they take time in proportion to the text.
@@ -117,12 +117,9 @@ def _revealing(docs: DataFrame, hits: DataFrame) -> DataFrame:
     n_beside = beside.select("key", "t").distinct().groupBy("t").agg(F.count("*").alias("n_beside"))
     pairs = pairs.join(n_e, "e").join(n_beside, "t").where(_disclosure(total, "n_beside") >= GENERALISE)
     pairs = written(pairs, "candidates")
-    terms = pairs.select("t").distinct()
-    small = pairs.count() <= BROADCAST_ROWS
-    spread = docs.select(
-        F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++", " "), " "))).alias("t")
-    )
-    n_t = spread.join(F.broadcast(terms) if small else terms, "t").groupBy("t").agg(F.count("*").alias("n_t"))
+    # Counted before it is joined, so that a common term costs a partial count a task and not a row a document.
+    words = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++", " "), " "))
+    n_t = docs.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     known = pairs.join(n_t, "t").withColumn("disclosure", _disclosure(total, "n_t"))
     revealing = known.where(F.col("disclosure") >= GENERALISE).select("e", "t", "disclosure")
     spans = beside.join(revealing, ["e", "t"]).groupBy("key", "start", "stop").agg(F.max("disclosure").alias("disclosure"))
