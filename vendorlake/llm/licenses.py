@@ -43,7 +43,7 @@ _BETWEEN = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, lines: the text in lower case with a space between words and line feeds kept; all: the words alone, a space between.
 
-    lower() changes letters beyond ASCII too, but makes and unmakes no separator, and no phrase or template word.
+    lower() changes letters beyond ASCII too, but makes and unmakes no separator and no phrase; a Kelvin sign counts as a k.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.regexp_replace(F.lower(text), _BETWEEN, " ").alias("lines"))
