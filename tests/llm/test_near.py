@@ -35,7 +35,7 @@ def texts(seed):
     return out
 
 
-@pytest.mark.parametrize(("width", "part"), [(4, 85), (5, 80), (3, 60)])
+@pytest.mark.parametrize(("width", "part"), [(4, 85), (3, 60)])
 def test_groups(spark, width, part):
     rows = list(enumerate(texts(width), 1))
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], SCHEMA)
