@@ -6,9 +6,12 @@ hash into n > k parts, so at least n - k parts hold the same shingles in both se
 parts alike:
 
 - k = 0: one part, the whole set. k up to 3: every subset of n - k parts out of n = 4, 5 or 6.
-- larger k: n = k + 3 parts, each part that holds enough shingles by itself (a subset of one). If all three equal parts
-  are light ones, the subset of those three is signed too; so no pair is lost, and light parts, which unrelated sets
-  share by chance, never sign alone. Only beyond 4,000 parts does each part sign by itself, light or not.
+- up to MANY parts: n = k + 3 parts, each part that holds enough shingles by itself (a subset of one). If all three equal
+  parts are light ones, the subset of those three is signed too; so no pair is lost, and light parts, which unrelated
+  sets share by chance, never sign alone.
+- more parts: n = k + 1 + m, where m is more empty parts than sets of the band have but for one in hundreds. Of the m + 1
+  equal parts one is not empty, unless both sets have over m empty parts; so the parts that are not empty sign, and only
+  in a set with over m empty ones do those sign too.
 
 A signature met by two sets makes them candidates, and candidates are verified on their exact sets. A bucket of more
 than two sets is not compared all with all:
@@ -26,6 +29,7 @@ So a group of near copies costs about one comparison a member, and no link is lo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -40,11 +44,16 @@ from .scratch import written
 from .wordhash import SPACED, Words, mix, pieces, shingles
 
 
+#: Beyond so many parts only empty ones count as light.
+MANY = 12
+
+
 class Bands:
     """Size bands and parts for the link condition whole * |A and B| >= part * |A or B|."""
 
     def __init__(self, part: int, whole: int):
         self.part, self.whole = part, whole
+        self.cut: dict[int, tuple[int, int]] = {}
         self.tops = [max(1, (whole + part - 1) // (2 * (whole - part)))]
 
     def of(self, size: int) -> int:
@@ -58,13 +67,25 @@ class Bands:
             self.of(self.tops[-1] + 1)
         return (self.whole - self.part) * 2 * self.tops[band] // (self.whole + self.part)
 
+    def parts(self, band: int) -> tuple[int, int]:
+        """(n, m): the parts of a band, and how many empty ones a set has at most if it needn't sign them."""
+        if band not in self.cut:
+            k = self.differ(band)
+            n, m = (1, 0) if k == 0 else (k + 3, 2)
+            if n > MANY:
+                least = self.tops[band - 2] + 1  # the smallest set that signs for this band
+                for _ in range(50):
+                    empty = n * math.exp(-least / n)
+                    n, m = k + 1 + m, max(m, math.ceil(empty + 3 * math.sqrt(empty)))
+            self.cut[band] = (k + 1 + m, m) if n > MANY else (n, m)
+        return self.cut[band]
+
     def signatures(self, sorted_set: np.ndarray) -> np.ndarray:
         own = self.of(len(sorted_set))
         return np.concatenate([self._sign(sorted_set, own), self._sign(sorted_set, own + 1)])
 
     def _sign(self, elements: np.ndarray, band: int) -> np.ndarray:
-        k = self.differ(band)
-        n = 1 if k == 0 else k + 3
+        k, (n, m) = self.differ(band), self.parts(band)
         where = (mix(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(33)) % np.uint64(n)
         order = np.argsort(where, kind="stable")
         counts = np.bincount(where.astype(np.int64), minlength=n)
@@ -78,9 +99,9 @@ class Bands:
         if k <= 3:
             subsets = np.array(list(combinations(range(n), n - k)))
             return mix(part[subsets].sum(1, dtype=np.uint64))
-        if n > 4000:
-            return part
-        light = np.flatnonzero(counts < (3 if n <= 12 else 2 if n <= 40 else 1))
+        if n > MANY:
+            return part if (counts == 0).sum() > m else part[counts > 0]
+        light = np.flatnonzero(counts < 2)
         heavy = np.delete(part, light)
         if len(light) < 3:
             return heavy
