@@ -164,6 +164,22 @@ def test_toxicity_by_hand(spark):
     assert toxicity.score(new.where("false"), model).count() == 0
 
 
+def test_rare_toxic_words_count(spark):
+    r = random.Random(6)
+    plain = lambda n: " ".join(r.choice(["river", "stone", "bread", "light", "garden", "paper", "window"]) for _ in range(n))
+    bad = lambda i: ("zorbak" if i < 16 else "vile scum") if i % 4 == 0 else f"mild{i % 7} calm" if i % 4 == 1 else plain(2)
+    rows = [(i, f"{plain(30)} {bad(i)} {plain(30)}", int(i % 4 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs)
+    head, tail = plain(30), plain(31)
+    new = spark.createDataFrame([(1, f"{head} zorbak {tail}"), (2, f"{head} newword {tail}"), (3, f"{head} mild3 {tail}")], "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(new, model).collect()}
+    assert got[1] > 2 * got[2] and got[1] > 2 * got[3]
+    words = " ".join(x[1] for x in rows).split()
+    table = model.table.where("prior = 0")
+    assert table.count() == len(set(words)) and table.selectExpr("sum(n0 + n1)").first()[0] == len(words)
+
+
 def test_kneser_ney_sums_to_one():
     """Each class's held unigrams and its share of the rest make a distribution, up to the discounts' redistribution."""
     keys = np.arange(1, 6, dtype=np.uint64)

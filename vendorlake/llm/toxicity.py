@@ -1,16 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models: the length-normalised log-likelihoods of a text under a toxic and an
 ordinary word-bigram model, whose rare expressions are smoothed through shared backoff counts.
 
-With D the discount, T_c the words of class c, n_c its counts and H the held n-grams:
+With D the discount, T_c the words of class c and n_c its counts:
 
-    p_c(w)     = (max(n_c(w) - D, 0) + D * N_c * q(w)) / T_c          w held; N_c: held words that the class has
-    p_c(other) = (T_c - sum of held n_c) / T_c * r(other)             r is the same in both classes
-    p_c(w | v) = (max(n_c(v w) - D, 0) + B_c(v) * p_c(w)) / n_c(v)    B_c(v): all that the discounted counts leave
+    p_c(w)     = (max(n_c(w) - D, 0) + D * N_c * q(w)) / T_c                        N_c: words that the class has
+    p_c(w | v) = (max(n_c(v w) - D, 0) + B_c(v) * p(w | v) * p_c(w) / p(w)) / n_c(v)   B_c(v): all that v's bigrams' discounts leave
 
-q(w), shared by the classes, is w's share of the distinct held bigrams (Kneser-Ney's continuation count). An n-gram is
-held if it stands in at least RATE of the toxic training documents and in LEAST of them. A document has only so many
-distinct n-grams, so the held ones number at most that over RATE, at any size of the corpus; every labelled document is
-counted.
+p without a class is the same by the counts of both classes together, with p(w | v) = (max(n(v w) - D, 0) + B(v) * q(w)) /
+n(v): what one class lacks backs off to what both have, so that a rare pair of rare words isn't proof of a class. Pairs
+that neither class has weigh as their second word does (a backoff shared by the classes), new words not at all.
+
+q(w), shared by the classes, is w's share of the distinct bigrams (Kneser-Ney's continuation count). The counts are a
+table of all words and bigrams of all labelled documents. Documents are dealt into blocks; the distinct n-grams of a
+block meet the table by a shuffle, so that a task holds the counts of its block alone. The calibration sees each of its
+documents by the counts of all the others.
 """
 
 from __future__ import annotations
@@ -25,15 +28,19 @@ from pyspark.sql import functions as F
 from .scratch import written
 from .wordhash import ALNUM, Words, mix, pieces
 
-RATE, LEAST = 1 / 150, 5
 D = 0.75
+#: Bytes of text in a block of documents that are scored together.
+BLOCK_BYTES = 4 << 20
 #: Words in the sliding windows whose mean log-likelihood ratio is taken; the highest counts as well as the whole text's.
 WINDOW = 8
+FEATURES = 9
 #: The calibration is fitted on so many labelled documents at most, those of the smallest hashed ids.
 FIT_ROWS = 4000
+FIT_BLOCKS = 16
 #: Labels of up to so many rows go to every executor; beyond, labels and texts meet by a shuffle.
 BROADCAST_ROWS = 2_000_000
-_GRAMS = "g long, kind byte, prior long, last long, df long, n long"
+_GRAMS = "prior long, last long, n0 long, n1 long"
+_ASKED = "block long, prior long, last long"
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,122 +51,182 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         before = np.empty_like(one)
         before[1:] = one[:-1]
         before[words.first[:-1][np.diff(words.first) > 0]] = 1
-        two = mix(before * np.uint64(3) + mix(one + np.uint64(5)))
-    return one, before, two, words.first
+    return one, before, _pair(before, one), words.first
+
+
+def _pair(before: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The number of the bigram of two words, by their numbers."""
+    with np.errstate(over="ignore"):
+        return mix(before * np.uint64(3) + mix(one + np.uint64(5)))
+
+
+def _distinct(before: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the words and then of the bigrams: the place of each at its first, the numbers of its words (0 before a single word), and which of the distinct ones each place holds."""
+    for bigrams in (False, True):
+        where = np.flatnonzero(before != 1) if bigrams else np.arange(len(one))
+        _, at, which = np.unique((two if bigrams else one)[where], return_index=True, return_inverse=True)
+        prior = before[where[at]] if bigrams else np.zeros(len(at), np.uint64)
+        yield where, prior.view(np.int64), one[where[at]].view(np.int64), which
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of these texts with their document and place counts."""
+    """The n-grams of these texts with their counts by class; prior is 0 for a single word."""
     for batch in pieces(batches, size=8 << 20):
         one, before, two, first = _grams(batch.column("text"))
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
-        for kind, g in ((1, one), (2, two)):
-            where = np.arange(len(g)) if kind == 1 else np.flatnonzero(before != 1)
-            order = where[np.lexsort((doc[where], g[where]))]
-            if len(order):
-                gs, ds = g[order], doc[order]
-                new = np.append(True, gs[1:] != gs[:-1])
-                fresh = new | np.append(True, ds[1:] != ds[:-1])
-                at = np.flatnonzero(new)
-                columns = [gs[at].astype(np.int64), np.full(len(at), kind, np.int8), before[order[at]].astype(np.int64), one[order[at]].astype(np.int64)]
-                columns += [np.add.reduceat(fresh.astype(np.int64), at), np.diff(np.append(at, len(gs)))]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["g", "kind", "prior", "last", "df", "n"])
-
-
-def _held_counts(shared):
-    """By class (0, 1) the counts of the held n-grams, and at place len(keys) of all words; one row a task for each that it met."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value
-        n = np.zeros((2, len(keys) + 1), np.int64)
-        for batch in pieces(batches, size=8 << 20):
-            one, before, two, first = _grams(batch.column("text"))
-            toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first))
-            for g, counts in ((one, True), (two, before != 1)):
-                at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-                hit = (keys[at] == g) & counts
-                for c in (0, 1):
-                    n[c, :-1] += np.bincount(at[hit & (toxic == c)], minlength=len(keys))
-            for c in (0, 1):
-                n[c, -1] += int((toxic == c).sum())
-        c, at = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int8)), pa.array(at.astype(np.int64)), pa.array(n[c, at])], ["toxic", "at", "n"])
+        toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
+        for where, prior, last, which in _distinct(before, one, two):
+            n1 = np.bincount(which[toxic[where]], minlength=len(last))
+            n0 = np.bincount(which, minlength=len(last)) - n1
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (prior, last, n0, n1))], ["prior", "last", "n0", "n1"])
 
-    return run
+
+def _asked(block: pa.Table) -> pa.Table:
+    """The distinct n-grams of a block of documents."""
+    one, before, two, _ = _grams(block.column("text").combine_chunks())
+    prior, last = (np.concatenate(x) for x in zip(*((p, w) for _, p, w, _ in _distinct(before, one, two)), strict=True))
+    return pa.table({"block": np.full(len(last), block.column("block")[0].as_py(), np.int64), "prior": prior, "last": last})
 
 
 class Ratio:
     """log p_toxic - log p_ordinary of each word in its context."""
 
-    def __init__(self, keys: np.ndarray, kind: np.ndarray, prior: np.ndarray, last: np.ndarray, n: np.ndarray, total: np.ndarray):
-        """keys: sorted numbers of the held n-grams; prior, last: of a bigram the places of its words in keys; n: counts by class."""
+    def __init__(self, keys: np.ndarray, kind: np.ndarray, prior: np.ndarray, last: np.ndarray, n: np.ndarray, total: np.ndarray, whole: tuple | None = None):
+        """keys: sorted numbers of the n-grams; prior, last: of a bigram the places of its words in keys; n: counts by class.
+
+        Where these are some of a table's n-grams, whole has what all of them give: q, N_c, and what the discounts leave, by class and of both.
+        """
         one, two = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
         size = len(keys)
         t = np.maximum(total.astype(float), 1)[:, None]
-        q = (np.bincount(last[two], minlength=size) + 1.0) / (len(two) + max(1, len(one)))
-        have = np.maximum((n[:, one] > 0).sum(1), 1)[:, None]
-        p = (np.maximum(n - D, 0) + D * have * q) / t
-        rest = np.maximum(t[:, 0] - n[:, one].sum(1), 1.0) / t[:, 0]
-        left = n.astype(float)
+        n = np.concatenate([n, n.sum(0)[None]])  # by class, and of both
+        t = np.concatenate([t, t.sum(0)[None]])
         discounted = np.maximum(n[:, two] - D, 0)
-        for c in (0, 1):
-            left[c] -= np.bincount(prior[two], discounted[c], minlength=size)
+        if whole is None:
+            q = (np.bincount(last[two], minlength=size) + 1.0) / (len(two) + max(1, len(one)))
+            have = (n[:, one] > 0).sum(1)
+            left = np.stack([np.bincount(prior[two], (n[:, two] - discounted)[c], minlength=size) for c in range(3)])
+        else:
+            q, have, left = whole
+        have = np.maximum(have, 1)[:, None]
+        p = (np.maximum(n - D, 0) + D * have * q) / t
         left = np.maximum(left, D)
+        context = np.maximum(n, 1)[:, prior[two]]
+        left = np.where(n[:, prior[two]] > 0, left[:, prior[two]], 1.0)
+        shared = (discounted[2] + left[2] * q[last[two]]) / context[2]
+        both = (discounted + left * shared * p[:, last[two]] / p[2, last[two]]) / context
         ratio = lambda x: np.log(x[1]) - np.log(x[0])
         self.keys = keys
-        self.other = float(ratio(rest))
         self.value = np.zeros(size)
         self.value[one] = ratio(p[:, one])
-        context = np.maximum(n, 1)
-        self.backoff = np.zeros(size)
-        self.backoff[one] = ratio(np.minimum(left[:, one] / context[:, one], 1.0))
-        both = (discounted + left[:, prior[two]] * p[:, last[two]]) / context[:, prior[two]]
+        self.backoff = np.zeros(size)  # shared, so none
         self.value[two] = ratio(both)
 
     def of(self, one: np.ndarray, before: np.ndarray, two: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(one))
-        place = np.minimum(np.searchsorted(self.keys, one), len(self.keys) - 1)
-        held = self.keys[place] == one
-        out = np.where(held, self.value[place], self.other)
-        out[1:] += np.where(held[:-1] & (before[1:] != 1), self.backoff[place[:-1]], 0.0)
-        place = np.minimum(np.searchsorted(self.keys, two), len(self.keys) - 1)
-        pair = (self.keys[place] == two) & (before != 1)
-        out[pair] = self.value[place[pair]]
+        """Of each word alone, and of each in its context."""
+        out = np.zeros((2, len(one)))
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, one), len(self.keys) - 1)
+            out[:] = np.where(self.keys[place] == one, self.value[place], 0.0)
+            place = np.minimum(np.searchsorted(self.keys, two), len(self.keys) - 1)
+            pair = (self.keys[place] == two) & (before != 1)
+            out[1, pair] = self.value[place[pair]]
         return out
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Of each text: the highest mean of WINDOW words in a row, the mean of all, and the logarithm of its words."""
+        """Of each text, by words alone and then in context: the highest mean of WINDOW words in a row (an n-gram counting at its first place in the text, as one repeated tells no more), the mean of all, and the two highest; and the logarithm of its words."""
         one, before, two, first = _grams(texts)
-        total = np.concatenate([[0.0], np.cumsum(self.of(one, before, two))])
         words = np.diff(first)
-        out = np.zeros((len(texts), 3))
+        out = np.zeros((len(texts), FEATURES))
+        out[:, -1] = np.log1p(words)
         some = words > 0
-        out[some, 1] = (total[first[1:]] - total[first[:-1]])[some] / words[some]
-        out[:, 2] = np.log1p(words)
-        out[some, 0] = out[some, 1] * np.minimum(words[some] / WINDOW, 1)
-        for d in np.flatnonzero(words > WINDOW).tolist():
-            a, b = first[d], first[d + 1]
-            out[d, 0] = (total[a + WINDOW : b + 1] - total[a : b + 1 - WINDOW]).max() / WINDOW
+        doc = np.repeat(np.arange(len(texts)), words)
+        for k, (value, g) in enumerate(zip(self.of(one, before, two), (one, two), strict=True)):
+            order = np.lexsort((g, doc))
+            again = order[1:][(g[order][1:] == g[order][:-1]) & (doc[order][1:] == doc[order][:-1])]
+            fresh = value.copy()
+            fresh[again] = 0.0
+            total = np.concatenate([[0.0], np.cumsum(value)])
+            best, mean, *high = out[:, 4 * k : 4 * k + 4].T
+            mean[some] = (total[first[1:]] - total[first[:-1]])[some] / words[some]
+            once = np.setdiff1d(order, again)
+            once = once[np.lexsort((-value[once], doc[once]))]
+            begin = np.searchsorted(doc[once], np.arange(len(texts) + 1))
+            for j, x in enumerate(high):
+                has = np.diff(begin) > j
+                x[has] = value[once[begin[:-1][has] + j]]
+            total = np.concatenate([[0.0], np.cumsum(fresh)])
+            best[some] = (total[first[1:]] - total[first[:-1]])[some] / WINDOW
+            for d in np.flatnonzero(words > WINDOW).tolist():
+                a, b = first[d], first[d + 1]
+                best[d] = (total[a + WINDOW : b + 1] - total[a : b + 1 - WINDOW]).max() / WINDOW
         return out
 
 
+class Counts:
+    """The counts of the n-grams of one block, in the order of their numbers, and the sums of the whole table."""
+
+    def __init__(self, rows: pa.Table, sums: dict):
+        get = lambda c: rows.column(c).to_numpy()
+        prior, last = get("prior").astype(np.int64).view(np.uint64), get("last").astype(np.int64).view(np.uint64)
+        kind = np.where(prior == 0, 1, 2)
+        g = np.where(kind == 1, last, _pair(prior, last))
+        order = np.argsort(g)
+        self.keys, self.kind, self.sums = g[order], kind[order], sums
+        place = lambda x: np.minimum(np.searchsorted(self.keys, x[order]), max(0, len(g) - 1))
+        self.prior, self.last = place(prior), place(last)
+        self.n, self.left = np.stack([get(c)[order] for c in ("n0", "n1")]), np.stack([get(c)[order] for c in ("d0", "d1", "d2")])
+        self.followed = get("followed")[order]
+
+    def ratio(self) -> Ratio:
+        return self._ratio(slice(None), self.prior, self.last, self.n, self.left, self.followed, np.zeros((2, 3)))
+
+    def _ratio(self, at, prior, last, n, left, followed, less) -> Ratio:
+        q = (followed + 1.0) / (self.sums["bigrams"] + max(1, self.sums["have2"]))
+        total, have = np.array([[self.sums[f"{x}{c}"] for c in (0, 1, 2)] for x in ("t", "have")]) - less
+        return Ratio(self.keys[at], self.kind[at], prior, last, n, total[:2], (q, have, left))
+
+    def without(self, text: pa.Array, c: int) -> Ratio:
+        """The ratio for one counted text of class c by the counts of all other texts."""
+        one, before, two, _ = _grams(text)
+        keys, own = np.unique(np.concatenate([one, two[before != 1]]), return_counts=True)
+        at = np.searchsorted(self.keys, keys)
+        n, left, followed, kind = self.n[:, at].copy(), self.left[:, at].copy(), self.followed[at].copy(), self.kind[at]
+        prior, last = (np.minimum(np.searchsorted(at, x[at]), max(0, len(at) - 1)) for x in (self.prior, self.last))
+        two_at = np.flatnonzero(kind == 2)
+        for k, was in ((c, n[c]), (2, n.sum(0))):
+            change = np.minimum(was, D) - np.minimum(was - own, D)
+            left[k] -= np.bincount(prior[two_at], change[two_at], minlength=len(at))
+        n[c] -= own
+        no_more = n.sum(0) <= 0
+        followed -= np.bincount(last[two_at], no_more[two_at], minlength=len(at)).astype(followed.dtype)
+        less = np.zeros((2, 3))
+        for k, now in ((c, n[c]), (2, n.sum(0))):
+            less[:, k] = len(one), ((kind == 1) & (now <= 0)).sum()
+        kept = np.flatnonzero(~no_more)  # a kept bigram's words are kept
+        new = np.cumsum(~no_more) - 1
+        return self._ratio(at[kept], new[prior[kept]], new[last[kept]], n[:, kept], left[:, kept], followed[kept], less)
+
+
 class Model:
-    def __init__(self, ratio: Ratio, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
-        self.ratio, self.mean, self.scale, self.weights = ratio, mean, scale, weights
+    """The table of counts (prior, last, n0, n1, and of words d0, d1, d2: what their bigrams' discounts leave by class and of both, and followed: the distinct bigrams that they end), its sums, and the calibration."""
+
+    def __init__(self, table: DataFrame, sums: dict):
+        self.table, self.sums = table, sums
 
-    def score(self, texts: pa.Array) -> np.ndarray:
-        x = (self.ratio.features(texts) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -35, 35)))
+    def met(self, docs: DataFrame, run, schema: str) -> DataFrame:
+        """run(block of docs, its rows of the table) for docs with a column block."""
+        asked = docs.select("block", "text").groupBy("block").applyInArrow(_asked, _ASKED)
+        rows = asked.join(self.table, ["prior", "last"])
+        return docs.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, schema)
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge logistic regression by Newton's method."""
-    mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(3), np.ones(3))
+    mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
     design = np.column_stack([np.ones(len(x)), (x - mean) / scale])
-    w = np.zeros(4)
+    w = np.zeros(1 + FEATURES)
     w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else -4.0
-    ridge = np.diag([1e-6, 0.05, 0.05, 0.05])
+    ridge = np.diag([1e-6, *[0.05] * FEATURES])
     for _ in range(30 if 0 < y.sum() < len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -35, 35)))
         step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge, design.T @ (p - y) + ridge @ w)
@@ -169,11 +236,12 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return mean, scale, w
 
 
-def _features(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            x = shared.value.features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int8()), *map(pa.array, x.T)], ["toxic", "a", "b", "c"])
+def _features(sums: dict):
+    def run(block: pa.Table, rows: pa.Table) -> pa.Table:
+        counts, texts = Counts(rows, sums), block.column("text").combine_chunks()
+        toxic = block.column("toxic").to_numpy().astype(np.int8)
+        x = [counts.without(texts[i : i + 1], int(toxic[i])).features(texts[i : i + 1]) for i in range(len(texts))]
+        return pa.table({"toxic": toxic, **dict(zip("abcdefghi", np.concatenate(x).T, strict=True))})
 
     return run
 
@@ -190,34 +258,33 @@ def fit(labelled_ids: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     copies = d.select("id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2")).join(labels, "id").groupBy("h1", "h2")
     labels = written(copies.agg(F.min("id").alias("id"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic")).select("id", "toxic"), "labels")
-    n_rows = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    small = sum(n_rows.values()) <= BROADCAST_ROWS
+    small = labels.count() <= BROADCAST_ROWS
     with_labels = lambda part: d.join(F.broadcast(part) if small else part.hint("shuffle_hash"), "id").select("text", "toxic")
 
-    least = max(LEAST, round(RATE * n_rows.get(1, 0)))
-    grams = with_labels(labels.where("toxic = 1")).mapInArrow(_counted, _GRAMS)
-    held = grams.groupBy("g").agg(F.first("kind").alias("kind"), F.first("prior").alias("prior"), F.first("last").alias("last"), F.sum("df").alias("df")).where(F.col("df") >= least)
-    held = held.toPandas()
-    keys = held["g"].to_numpy(np.int64).astype(np.uint64)
-    order = np.argsort(keys)
-    keys, kind = keys[order], held["kind"].to_numpy(np.int8)[order]
-    n = np.zeros((2, len(keys) + 1), np.int64)
-    if len(keys):
-        counts = with_labels(labels).mapInArrow(_held_counts(spark.sparkContext.broadcast(keys)), "toxic byte, at long, n long")
-        counts = counts.groupBy("toxic", "at").agg(F.sum("n").alias("n")).toPandas()
-        n[counts["toxic"].to_numpy(int), counts["at"].to_numpy(int)] = counts["n"].to_numpy()
-    place = lambda c: np.minimum(np.searchsorted(keys, held[c].to_numpy(np.int64).astype(np.uint64)[order]), max(0, len(keys) - 1))
-    ratio = Ratio(keys, kind, place("prior"), place("last"), n[:, :-1], n[:, -1])
+    n = lambda c: F.sum(f"n{c}").alias(f"n{c}")
+    grams = written(with_labels(labels).mapInArrow(_counted, _GRAMS).groupBy("prior", "last").agg(n(0), n(1)), "grams")
+    bigrams, words = grams.where("prior <> 0"), grams.where("prior = 0")
+    begun = bigrams.groupBy(F.col("prior").alias("last")).agg(*(F.sum(F.least(n.cast("double"), F.lit(D))).alias(f"d{c}") for c, n in enumerate((F.col("n0"), F.col("n1"), F.col("n0") + F.col("n1")))))
+    ended = bigrams.groupBy("last").agg(F.count("*").alias("followed"))
+    words = words.join(begun, "last", "left").join(ended, "last", "left").select("prior", "last", "n0", "n1", *(F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("d0", "double"), ("d1", "double"), ("d2", "double"), ("followed", "long"))))
+    words = written(words, "words")
+    sums = words.agg(
+        F.count("*").alias("have2"), *(F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"t{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"have{c}") for c in (0, 1))
+    ).first().asDict()
+    sums |= {"t2": sums["t0"] + sums["t1"], "bigrams": bigrams.count()}
+    model = Model(words.unionByName(bigrams.select("*", *(F.lit(0.0).alias(f"d{c}") for c in (0, 1, 2)), F.lit(0).cast("long").alias("followed"))), sums)
 
     chosen = labels.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    x = d.join(F.broadcast(chosen), "id").select("text", "toxic").mapInArrow(_features(spark.sparkContext.broadcast(ratio)), "toxic byte, a double, b double, c double").toPandas()
-    return Model(ratio, *_calibrated(x[["a", "b", "c"]].to_numpy(float), x["toxic"].to_numpy(float)))
+    chosen = d.join(F.broadcast(chosen), "id").select(F.pmod(F.xxhash64("id", "text"), F.lit(FIT_BLOCKS)).alias("block"), "text", "toxic")
+    x = model.met(chosen, _features(sums), ", ".join(["toxic byte", *(f"{c} double" for c in "abcdefghi")])).toPandas()
+    model.mean, model.scale, model.weights = _calibrated(x[[*"abcdefghi"]].to_numpy(float), x["toxic"].to_numpy(float))
+    return model
 
 
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(shared.value.score(batch.column("text")))], ["id", "score"])
+def _scored(sums: dict, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
+    def run(block: pa.Table, rows: pa.Table) -> pa.Table:
+        x = (Counts(rows, sums).ratio().features(block.column("text").combine_chunks()) - mean) / scale
+        return pa.table([block.column("id"), pa.array(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -35, 35))))], ["id", "score"])
 
     return run
 
@@ -227,5 +294,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     text without words; null ids stay null; repeated rows come out as often as they came in; other columns are ignored.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    n_bytes = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    d = d.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_bytes // BLOCK_BYTES + 1)))
     kind = d.schema["id"].dataType.simpleString()
-    return d.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    run = _scored(model.sums, model.mean, model.scale, model.weights)
+    return model.met(d, run, f"id {kind}, score double").withColumnRenamed("id", id_col)
