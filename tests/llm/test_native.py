@@ -82,6 +82,15 @@ def test_pii_revealing_terms(spark):
     assert next(r for r in rows if r["doc_id"] == 0)["sanitised"] == "the red  the [EMAIL] red the"
 
 
+def test_pii_terms_far_away_and_in_other_documents(spark):
+    far = "the " * 40
+    texts = [f"zorba {far}{x} the a@b.co {x} {far} Zorba" for x in ("red", "green", "blue", "grey")] + ["the zorba alone", "no zorbax the"] + [f"the {i} nothing" for i in range(100)]
+    rows = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    marked = {i: [texts[i][t["start"] : t["stop"]] for t in rows[i]["terms"]] for i in rows}
+    assert [marked[i] for i in range(4)] == [["zorba", "Zorba"]] * 4 and marked[4] == ["zorba"] and not any(marked[i] for i in range(5, len(texts)))
+    assert rows[4]["sanitised"] in ("the [TERM] alone", "the  alone") and "orba" not in rows[0]["sanitised"]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan(none).count() == 0 and pii.sanitise(none).count() == 0

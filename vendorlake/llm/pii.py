@@ -1,14 +1,14 @@
 """PII by information-theoretic sanitisation, in DataFrame functions alone.
 
 The base finds e-mail addresses, IP addresses, card numbers and phone numbers by pattern. Each value found is a protected
-entity e. A term t (a word within REACH characters of e) reveals e to the degree that knowing t takes away e's
+entity e. A term t (a whole word of a document that holds e, outside all values found) reveals e to the degree that knowing t takes away e's
 information content, estimated from the corpus:
 
     disclosure(e, t) = PMI(e; t) / IC(e) = log(n(e, t) * N / (n(e) * n(t))) / log(N / n(e))
 
-with N documents, n(e) of them holding e, n(t) holding t, and n(e, t) holding t beside e. Terms that stand beside e in at
-least SUPPORT different contexts, and disclose it to GENERALISE or more, are generalised; at REMOVE or more, removed.
-All counts are over all documents.
+with N documents, n(e) of them holding e, n(t) holding t, and n(e, t) holding both. Terms that share documents with e in
+at least SUPPORT different contexts (the REACH characters on either side of e), and disclose it to GENERALISE or more, are
+generalised; at REMOVE or more, removed: at every place, in all documents. All counts are over all documents.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 REACH, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.8, 0.95
-#: Spans of revealing terms in up to so many documents go to every executor; beyond, they are joined by a shuffle.
+#: Stands for a value found, as a part of any word that touches it.
+_GAP = "\uffff"
+#: Revealing terms, and the documents that hold some, of up to so many rows go to every executor; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The patterns' leftmost matches; possessive and anchored at the start of a run or at the last match, so that they take time in proportion to the text.
@@ -28,7 +30,7 @@ _IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9]++(?:[ -][0-9]++)*+"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 _HIT = "array<struct<kind:int,start:int,stop:int,value:string,left:string,right:string>>"
 
 
@@ -86,8 +88,41 @@ def base_hits(text: Column) -> Column:
     )
 
 
-def _words(side: Column, base: Column) -> Column:
-    return F.transform(_places(side, _WORD), lambda x: F.struct(F.lower(x["m"]).alias("t"), (base + x["start"]).alias("start"), (base + x["start"] + F.length(x["m"])).alias("stop")))
+def _words(text: Column) -> Column:
+    """The distinct words of a text, lowered; a word of digits only is no term."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
+    return F.filter(F.array_distinct(words), lambda w: ~w.rlike("^[0-9]*$"))
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with tags for spans (start, stop, tag, in order); of overlapping ones the first counts."""
+    def step(s: Column, x: Column) -> Column:
+        more = F.when(x["start"] >= s["at"], F.concat(F.substring(text, s["at"] + 1, x["start"] - s["at"]), x["tag"])).otherwise("")
+        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.concat(s["out"], more).alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def _words_outside(text: Column, hits: Column) -> Column:
+    """The distinct whole words that touch no hit."""
+    spans = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["stop"].alias("stop"), F.lit(_GAP).alias("tag"))))
+    return F.filter(_words(_replaced(text, spans)), lambda w: ~F.contains(w, F.lit(_GAP)))
+
+
+def _marked(text: Column, hits: Column, terms: Column) -> Column:
+    """Every place outside the hits of a word that terms (a map to disclosures) holds."""
+    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    both = F.zip_with(F.slice(F.split(text, _WORD, -1), F.lit(1), F.size(words)), words, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), F.try_element_at(terms, F.lower(m)).alias("d")))
+    none = F.array().cast("array<struct<start:int,stop:int,disclosure:double>>")
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + x["g"]
+        stop = start + x["n"]
+        span = F.struct(start.alias("start"), stop.alias("stop"), x["d"].alias("disclosure"))
+        fresh = x["d"].isNotNull() & ~F.exists(hits, lambda h: (start < h["stop"]) & (stop > h["start"]))
+        return F.struct(stop.alias("at"), F.when(fresh, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
 
 
 def _disclosure(total: int, n_t: str) -> Column:
@@ -99,31 +134,28 @@ def _disclosure(total: int, n_t: str) -> Column:
 def _revealing(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """(key, terms): of the documents that have any, the spans of revealing terms with their disclosure."""
     one = hits.where(F.size("hits") > 0).select("key", F.explode("hits").alias("h")).select(
-        "key", F.concat_ws(":", "h.kind", "h.value").alias("e"), F.xxhash64("h.left", "h.right").alias("context"),
-        F.concat(
-            _words(F.col("h.left"), F.greatest(F.col("h.start") - REACH, F.lit(0))), _words(F.col("h.right"), F.col("h.stop"))
-        ).alias("w"),
-    )
-    # A word of digits only is no term.
-    word = F.col("x.t")
-    beside = one.select("key", "e", "context", F.explode("w").alias("x")).where(~word.rlike("^[0-9]*$")).select(
-        "key", "e", "context", word.alias("t"), F.col("x.start").alias("start"), F.col("x.stop").alias("stop")
-    )
-    beside = written(beside, "beside")
-    n_e = one.select("key", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+        "key", F.concat_ws(":", "h.kind", "h.value").alias("e"), F.xxhash64("h.left", "h.right").alias("context")
+    ).distinct()
+    # A pair has no more contexts than its entity: most entities are settled by that.
+    entities = one.groupBy("e").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("key").alias("n_e")).where(F.col("contexts") >= SUPPORT)
+    one = written(one.join(entities.drop("contexts"), "e"), "entities")
     total = docs.count()
-    pairs = beside.groupBy("e", "t").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("key").alias("n_et")).where(F.col("contexts") >= SUPPORT)
-    # Documents that hold t beside any entity are some of the n(t): a pair that they alone keep below the threshold is settled.
-    n_beside = beside.select("key", "t").distinct().groupBy("t").agg(F.count("*").alias("n_beside"))
-    pairs = pairs.join(n_e, "e").join(n_beside, "t").where(_disclosure(total, "n_beside") >= GENERALISE)
-    pairs = written(pairs, "candidates")
+    held = docs.join(one.select("key").distinct(), "key", "left_semi").select("key", F.explode(F.array_distinct(_words_outside(F.col("text"), base_hits(F.col("text"))))).alias("t")).distinct()
+    held = written(held, "held")
+    pairs = one.join(held, "key").groupBy("e", "t").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("key").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("contexts") >= SUPPORT)
+    # Documents that hold t with any of these entities are some of the n(t): a pair that they alone keep below the threshold is settled.
+    n_beside = held.groupBy("t").agg(F.count("*").alias("n_beside"))
+    pairs = written(pairs.join(n_beside, "t").where(_disclosure(total, "n_beside") >= GENERALISE), "candidates")
     # Counted before it is joined, so that a common term costs a partial count a task and not a row a document.
-    words = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++", " "), " "))
-    n_t = docs.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    known = pairs.join(n_t, "t").withColumn("disclosure", _disclosure(total, "n_t"))
-    revealing = known.where(F.col("disclosure") >= GENERALISE).select("e", "t", "disclosure")
-    spans = beside.join(revealing, ["e", "t"]).groupBy("key", "start", "stop").agg(F.max("disclosure").alias("disclosure"))
-    return spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
+    n_t = docs.select(F.explode(_words(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    known = pairs.join(n_t, "t").withColumn("disclosure", _disclosure(total, "n_t")).where(F.col("disclosure") >= GENERALISE)
+    revealing = written(known.groupBy("t").agg(F.max("disclosure").alias("disclosure")), "revealing")
+    revealing = F.broadcast(revealing) if revealing.count() <= BROADCAST_ROWS else revealing
+    holding = docs.select("key", F.explode(_words(F.col("text"))).alias("t")).join(revealing, "t").distinct()
+    holding = written(holding.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("t", "disclosure"))).alias("held")), "holding")
+    holding = F.broadcast(holding) if holding.count() <= BROADCAST_ROWS else holding
+    places = docs.join(holding, "key").dropDuplicates(["key"]).withColumn("hits", base_hits(F.col("text")))
+    return places.select("key", _marked(F.col("text"), F.col("hits"), F.col("held")).alias("terms")).where(F.size("terms") > 0)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), texts: bool = True) -> DataFrame:
@@ -138,7 +170,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     d = docs.select(*(F.col(c).alias(f"kept_{c}") for c in keep), F.col(id_col).alias("id"), text.alias("text"))
     d = d.withColumn("key", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"))
     hits = written(d.select("id", "key", *(["text", *(f"kept_{c}" for c in keep)] if texts else []), base_hits(F.col("text")).alias("hits")), "hits")
-    terms = written(_revealing(d.select("text"), hits.select("key", "hits")), "terms")
+    terms = written(_revealing(d.select("key", "text"), hits.select("key", "hits")), "terms")
     terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
     d = hits.join(terms, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,disclosure:double>>")))
     if texts:
@@ -148,11 +180,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
             F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.when(t["disclosure"] >= REMOVE, "").otherwise("[TERM]").alias("tag"))),
         ))
 
-        def step(s: Column, x: Column) -> Column:
-            more = F.when(x["start"] >= s["at"], F.concat(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), x["tag"])).otherwise("")
-            return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.concat(s["out"], more).alias("out"))
-
-        joined = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+        joined = _replaced(F.col("text"), spans)
         d = d.withColumn("sanitised", F.when((F.size("hits") == 0) & (F.size("terms") == 0), F.col("text")).otherwise(joined))
     return d.select(F.col("id").alias(id_col), *(F.col(f"kept_{c}").alias(c) for c in keep if texts), "hits", "terms", *(["sanitised"] if texts else []))
 
