@@ -205,3 +205,12 @@ def test_repeated_spans_of_odd_rows(spark):
     long = " ".join(random.Random(9).choices(WORDS, k=200))
     docs = spark.createDataFrame([(None, long, "x"), (1, long, "x"), (1, long, "x"), (2, "short", "x")], "doc_id long, text string, spans string")
     assert chunk_dedup.repeated_spans(docs).count() == 0
+
+
+def test_spans_of_a_repeated_row_with_a_partner(spark):
+    long, other = (" ".join(random.Random(k).choices(WORDS, k=200)) for k in (9, 10))
+    find = lambda rows: {r["doc_id"]: (r["n_spans"], r["n_words"], r["spans"]) for r in chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    once = find([(1, long), (2, long)])
+    assert set(once) == {1, 2} and find([(1, long), (1, long), (2, long)]) == once
+    both = find([(1, long), (1, other), (2, long), (3, other)])
+    assert set(both) == {1, 2, 3} and both[1][0] == both[2][0] + both[3][0] and both[1][1] == both[2][1] + both[3][1]

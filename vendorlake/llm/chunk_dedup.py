@@ -24,7 +24,7 @@ from .wordhash import SPACED, Words, _powers, mix, pieces
 
 REACH = 16
 LONGEST = 1024
-_CHUNKS = "id long, digest long, place long"
+_CHUNKS = "id long, text_key long, digest long, place long"
 
 
 def _gear() -> np.ndarray:
@@ -102,13 +102,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)).astype(np.int64)
         ids = batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), each)))
         place = (start - base) << 24 | (stop - start) << 12 | words
-        yield pa.RecordBatch.from_arrays([ids, pa.array(digest), pa.array(place)], ["id", "digest", "place"])
+        keys = batch.column("text_key").take(pa.array(np.repeat(np.arange(batch.num_rows), each)))
+        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(digest), pa.array(place)], ["id", "text_key", "digest", "place"])
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The chunks of every text: id, digest (64 bits), place (start << 24 | length << 12 | words: its first byte, its bytes, and the words that begin in it)."""
+    """The chunks of every text: id, text_key (a hash of the text), digest (64 bits), place (start << 24 | length << 12 | words: its first byte, its bytes, and the words that begin in it)."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return d.mapInArrow(_chunks, _CHUNKS)
+    return d.withColumn("text_key", F.xxhash64("text")).mapInArrow(_chunks, _CHUNKS)
 
 
 def spread(chunked: DataFrame) -> DataFrame:
@@ -130,11 +131,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A span is kept if at least min_words words begin in it; as about 15 and seldom 30 words at the ends of a repeated
     passage lie outside its span, 20 finds passages of over 50 words. Null and empty texts have no chunk and no row. A null id takes
-    no part. Rows that repeat an id are one document, whose spans are listed together. Other columns are ignored.
+    no part. Rows that repeat an id are one document, whose texts' spans are
+    listed together; a text repeated under its id counts once. Other columns are ignored.
     """
-    shared = _in_two(chunks(docs, id_col, text_col).where("id is not null"), ["digest"]).drop("first_id")
+    shared = _in_two(chunks(docs, id_col, text_col).where("id is not null"), ["digest"]).drop("first_id").distinct()
     shared = written(spread(shared), "shared")
-    w = W.partitionBy("id").orderBy("start", "digest")
+    w = W.partitionBy("id", "text_key").orderBy("start")
     after = lambda c, n: F.lead(c, n).over(w)
     run = shared.withColumns(
         {
@@ -145,12 +147,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "words3": F.col("words") + after("words", 1) + after("words", 2),
         }
     ).where("joined")
-    whole = _in_two(run.select("id", "start", "stop3", "words", "words3", "t1", "t2"), ["t1", "t2"])
-    by = W.partitionBy("id").orderBy("start")
+    whole = _in_two(run.select("id", "text_key", "start", "stop3", "words", "words3", "t1", "t2"), ["t1", "t2"])
+    by = W.partitionBy("id", "text_key").orderBy("start")
     reached = F.max("stop3").over(by.rowsBetween(W.unboundedPreceding, -1))
     numbered = whole.withColumn("fresh", F.when(F.col("start") < reached, 0).otherwise(1)).withColumn("span", F.sum("fresh").over(by))
     # Overlapping runs of three: each adds its first chunk's words, the last of the span those of all three.
-    spans = numbered.groupBy("id", "span").agg(
+    spans = numbered.groupBy("id", "text_key", "span").agg(
         F.min("start").alias("start"), F.max("stop3").alias("stop"), F.min("first_id").alias("first_id"),
         (F.sum("words") + F.max_by(F.col("words3") - F.col("words"), "start")).alias("words"),
     ).where(F.col("words") >= min_words)
