@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,8 +134,6 @@ def test_code_switched_text(spark):
     crf = langid.fit(docs.where(~held_out()))
     two = {r["lang"]: r["text"] for r in docs.where(held_out() & F.col("lang").isin("en", "fr")).where("n_chars > 300").orderBy("doc_id").collect()}
     mixed = " ".join(two["en"].split()[:40] + two["fr"].split()[:40])
-    import pyarrow as pa
-
     words, p = crf.label(pa.array([mixed]))
     best = [crf.langs[k] for k in p.argmax(1)]
     assert len(best) == len(words.start) and best[:35].count("en") > 25 and best[-35:].count("fr") > 25
@@ -167,28 +167,81 @@ def test_toxicity_by_hand(spark):
 def test_rare_toxic_words_count(spark):
     r = random.Random(6)
     plain = lambda n: " ".join(r.choice(["river", "stone", "bread", "light", "garden", "paper", "window"]) for _ in range(n))
-    bad = lambda i: ("zorbak" if i < 16 else "vile scum") if i % 4 == 0 else f"mild{i % 7} calm" if i % 4 == 1 else plain(2)
-    rows = [(i, f"{plain(30)} {bad(i)} {plain(30)}", int(i % 4 == 0)) for i in range(300)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    bad = lambda i: f"{'aeiou'[i % 5]}z{'bdgklm'[i % 6]}{'aeiou'[i % 7 % 5]}x" if i % 4 == 0 else f"mild{i % 7} calm" if i % 4 == 1 else plain(2)
+    n = lambda: r.randrange(20, 40)
+    docs = spark.createDataFrame([(i, f"{plain(n())} {bad(i)} {plain(n())}", int(i % 4 == 0)) for i in range(300)], "doc_id long, text string, toxic int")
     model = toxicity.fit(docs, docs)
     head, tail = plain(30), plain(31)
-    new = spark.createDataFrame([(1, f"{head} zorbak {tail}"), (2, f"{head} newword {tail}"), (3, f"{head} mild3 {tail}")], "doc_id long, text string")
+    new = spark.createDataFrame([(1, f"{head} {bad(16)} {tail}"), (2, f"{head} calm {tail}"), (3, f"{head} mild3 {tail}")], "doc_id long, text string")
     got = {x["doc_id"]: x["score"] for x in toxicity.score(new, model).collect()}
-    assert got[1] > 2 * got[2] and got[1] > 2 * got[3]
-    words = " ".join(x[1] for x in rows).split()
-    table = model.table.where("prior = 0")
-    assert table.count() == len(set(words)) and table.selectExpr("sum(n0 + n1)").first()[0] == len(words)
-
-
-def test_kneser_ney_sums_to_one():
-    """Each class's held unigrams and its share of the rest make a distribution, up to the discounts' redistribution."""
-    keys = np.arange(1, 6, dtype=np.uint64)
-    kind, prior, last = np.array([1, 1, 1, 2, 2]), np.array([0, 0, 0, 0, 1]), np.array([0, 1, 2, 1, 2])
-    n, total = np.array([[10, 5, 2, 4, 1], [3, 6, 4, 3, 3]]), np.array([20, 15])
-    ratio = toxicity.Ratio(keys, kind, prior, last, n, total)
-    assert np.isfinite(ratio.value).all() and np.isfinite(ratio.backoff).all()
-    # The first context's pair is likelier among the toxic, who have it on every occurrence.
-    assert ratio.value[3] > ratio.value[1] - 1e-9
+    assert got[1] > 0.5 and got[2] < 0.3 and got[3] < 0.3
+
+
+def spaced_words(text):
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+    return b"".join(w.lower() + b" " for w in words)
+
+
+class PlainKneserNey:
+    def __init__(self, texts, order=5, d=0.75):
+        self.order, self.d, self.n = order, d, ({}, {})
+        for text, c in texts:
+            s = b" " * (order - 1) + spaced_words(text)
+            for i in range(order - 1, len(s)):
+                g = s[i - order + 1 : i + 1]
+                self.n[c][g] = self.n[c].get(g, 0) + 1
+        self.types = {order: set(self.n[0]) | set(self.n[1])}
+        for k in range(order - 1, 0, -1):
+            self.types[k] = {g[1:] for g in self.types[k + 1]}
+
+    def q(self, x, h):
+        if h is None:
+            return 1 / 256
+        k = len(h) + 1
+        c = {}
+        for g in self.types[k + 1]:
+            if g[1:-1] == h:
+                c[g[-1:]] = c.get(g[-1:], 0) + 1
+        lower = self.q(x, h[1:] if h else None)
+        return lower if not c else (max(c.get(x, 0) - self.d, 0) + self.d * len(c) * lower) / sum(c.values())
+
+    def p(self, c, x, h):
+        own = {g[-1:]: n for g, n in self.n[c].items() if g[:-1] == h}
+        q = self.q(x, h[1:])
+        return q if not own else (max(own.get(x, 0) - self.d, 0) + sum(min(n, self.d) for n in own.values()) * q) / sum(own.values())
+
+
+def test_kneser_ney_against_brute_force(spark):
+    texts = [("The vile scum", 1), ("vile é", 1), ("the river, the stone", 0), ("A viler river", 0), ("stone stone", 0)]
+    plain = PlainKneserNey(texts)
+    every = [bytes([b]) for b in range(256)]
+    for h in (b"    ", b" the", b"vile", b"scum", b"xyzw"):
+        for c in (0, 1):
+            assert abs(sum(plain.p(c, x, h) for x in every) - 1) < 1e-9
+    docs = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(texts)], "doc_id long, text string, toxic int")
+    counts = toxicity.fit(docs, docs).held.value
+    log = lambda m, g: np.log(m.p(1, g[-1:], g[:-1]) / m.p(0, g[-1:], g[:-1]))
+    new = "the viler scum of stone qq"
+    s = b"    " + spaced_words(new)
+    g, bounds, first = toxicity._grams(pa.array([new]))
+    assert len(g) == len(s) - 4 and len(bounds) == 7 and first.tolist() == [0, 6]
+    np.testing.assert_allclose(counts.ratios(g), [log(plain, s[i - 4 : i + 1]) for i in range(4, len(s))], rtol=1e-4, atol=1e-5)
+    # A counted text by the counts of all others: its own n-grams go, the backoff stays.
+    for k in (0, 3):
+        text, c = texts[k]
+        others = PlainKneserNey([x for i, x in enumerate(texts) if i != k])
+        others.types = plain.types
+        s = b"    " + spaced_words(text)
+        np.testing.assert_allclose(counts.ratios(toxicity._grams(pa.array([text]))[0], c), [log(others, s[i - 4 : i + 1]) for i in range(4, len(s))], rtol=1e-4, atol=1e-5)
+
+
+def test_scores_by_broadcast_and_by_shuffle_are_the_same(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.lit("x").alias("score"), F.lit(1).alias("block"))
+    long = " ".join(r["text"] for r in docs.limit(60).collect() if r["text"]) * 3
+    docs = docs.unionByName(spark.createDataFrame([(None, "x", "", 1), (7, None, "", 1), (7, None, "", 1), (8, long, "", 1)], docs.schema))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    found = [sorted((r["doc_id"] or -1, round(r["score"], 6)) for r in toxicity.score(docs, toxicity.fit(labels, docs, broadcast_rows=n)).collect()) for n in (0, 10**6)]
+    assert found[0] == found[1] and len(found[0]) == docs.count()
 
 
 def brute_nearest(vectors, queries, k):

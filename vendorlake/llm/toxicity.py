@@ -1,18 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models: the length-normalised log-likelihoods of a text under a toxic and an
-ordinary word-bigram model, whose rare expressions are smoothed through shared backoff counts.
+ordinary character model, whose rare expressions are smoothed through shared backoff counts.
 
-With D the discount, T_c the words of class c and n_c its counts:
+A text is its lower-cased words (ASCII letters and digits, and everything beyond ASCII) with a space between and one at
+the end; its symbols are bytes. With h the ORDER - 1 bytes before x, n_c the counts of class c and D the discount:
 
-    p_c(w)     = (max(n_c(w) - D, 0) + D * N_c * q(w)) / T_c                        N_c: words that the class has
-    p_c(w | v) = (max(n_c(v w) - D, 0) + B_c(v) * p(w | v) * p_c(w) / p(w)) / n_c(v)   B_c(v): all that v's bigrams' discounts leave
+    p_c(x | h) = (max(n_c(h x) - D, 0) + B_c(h) * q(x | h')) / n_c(h)          h': h without its first byte
 
-p without a class is the same by the counts of both classes together, with p(w | v) = (max(n(v w) - D, 0) + B(v) * q(w)) /
-n(v): what one class lacks backs off to what both have, so that a rare pair of rare words isn't proof of a class. Pairs
-that neither class has weigh as their second word does (a backoff shared by the classes), new words not at all.
+B_c(h) is what the discounts of h's n-grams leave; where a class hasn't seen h, p_c(x | h) = q(x | h'). The backoff q is
+one model for both classes, by Kneser-Ney's continuation counts at every lower order: q(x | g) = (max(c(g x) - D, 0) +
+D * t(g) * q(x | g')) / c(g), where c(g x) is the number of distinct bytes seen before g x and t(g) that of the
+distinct x seen after g; below one byte, 1/256. So an expression that one class alone has is told by its parts, and
+what neither class has is no proof of either.
 
-q(w), shared by the classes, is w's share of the distinct bigrams (Kneser-Ney's continuation count). The counts are a
-table of all words and bigrams of all labelled documents. Documents are dealt into blocks; the distinct n-grams of a
-block meet the table by a shuffle, so that a task holds the counts of its block alone. The calibration sees each of its
+Every n-gram of every labelled text is counted, into a table that grows with the texts; its lower orders and the backoff
+are Spark aggregates and joins on keys that have 256 rows at most. A table of up to BROADCAST_ROWS rows goes to every
+executor; beyond, documents are dealt into blocks, and the distinct n-grams of a block meet the table by a shuffle, so
+that a task holds the counts of its block alone. Either way gives the same scores. The calibration sees each of its
 documents by the counts of all the others.
 """
 
@@ -23,201 +26,144 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .wordhash import ALNUM, Words, mix, pieces
+from .shipping import ship
+from .wordhash import _LOWER, ALNUM, Words, pieces
 
 D = 0.75
+ORDER = 5
+#: Tells a context's row from an n-gram's.
+_CONTEXT = 1 << (8 * ORDER)
 #: Bytes of text in a block of documents that are scored together.
 BLOCK_BYTES = 4 << 20
 #: Words in the sliding windows whose mean log-likelihood ratio is taken; the highest counts as well as the whole text's.
 WINDOW = 8
-FEATURES = 9
+FEATURES = 6
 #: The calibration is fitted on so many labelled documents at most, those of the smallest hashed ids.
 FIT_ROWS = 4000
 FIT_BLOCKS = 16
-#: Labels of up to so many rows go to every executor; beyond, labels and texts meet by a shuffle.
+#: A model or labels of up to so many rows (24 bytes each in the model) go to every executor; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-_GRAMS = "prior long, last long, n0 long, n1 long"
-_ASKED = "block long, prior long, last long"
+_TABLE = "key long, n0 long, n1 long, x0 double, x1 double"
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's number, its predecessor's (1 at the start of a text), that of the bigram it ends, and each text's first word."""
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram (ORDER bytes as a number) that ends at each byte of the texts, where each word's bytes and the space after it begin (and the end), and each text's first word."""
     words = Words(texts, ALNUM)
-    with np.errstate(over="ignore"):
-        one = words.numbers()
-        before = np.empty_like(one)
-        before[1:] = one[:-1]
-        before[words.first[:-1][np.diff(words.first) > 0]] = 1
-    return one, before, _pair(before, one), words.first
+    each = words.end - words.start + 1
+    text = np.repeat(np.arange(len(texts)), np.diff(words.first))
+    ends = np.cumsum(each)
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.arange(total) + np.repeat((ORDER - 1) * (text + 1), each)  # spaces before each text
+    spaced = np.full(total + (ORDER - 1) * len(texts), 0x20, np.uint8)
+    inside = np.ones(total, bool)
+    inside[ends - 1] = False
+    source = np.arange(total) + np.repeat(words.start - (ends - each), each)
+    spaced[at[inside]] = _LOWER[words.data[source[inside]]]
+    g = np.zeros(total, np.int64)
+    for back in range(ORDER - 1, -1, -1):
+        g = g << 8 | spaced[at - back]
+    return g, np.concatenate([[0], ends]).astype(np.int64), words.first
 
 
-def _pair(before: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """The number of the bigram of two words, by their numbers."""
-    with np.errstate(over="ignore"):
-        return mix(before * np.uint64(3) + mix(one + np.uint64(5)))
-
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of these texts with their counts by class."""
+    for batch in pieces(batches, size=2 << 20):
+        g, bounds, first = _grams(batch.column("text"))
+        toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds[first]))
+        keys, which = np.unique(g, return_inverse=True)
+        n = np.bincount(which, minlength=len(keys))
+        n1 = np.bincount(which[toxic], minlength=len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n - n1), pa.array(n1)], ["g", "n0", "n1"])
 
-def _distinct(before: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of the words and then of the bigrams: the place of each at its first, the numbers of its words (0 before a single word), and which of the distinct ones each place holds."""
-    for bigrams in (False, True):
-        where = np.flatnonzero(before != 1) if bigrams else np.arange(len(one))
-        _, at, which = np.unique((two if bigrams else one)[where], return_index=True, return_inverse=True)
-        prior = before[where[at]] if bigrams else np.zeros(len(at), np.uint64)
-        yield where, prior.view(np.int64), one[where[at]].view(np.int64), which
 
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of these texts with their counts by class; prior is 0 for a single word."""
-    for batch in pieces(batches, size=8 << 20):
-        one, before, two, first = _grams(batch.column("text"))
-        toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-        for where, prior, last, which in _distinct(before, one, two):
-            n1 = np.bincount(which[toxic[where]], minlength=len(last))
-            n0 = np.bincount(which, minlength=len(last)) - n1
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (prior, last, n0, n1))], ["prior", "last", "n0", "n1"])
+def _keys(g: np.ndarray) -> np.ndarray:
+    """The keys of the table's rows that these n-grams need."""
+    own = np.unique(g)
+    return np.concatenate([own, np.unique(own >> 8) + _CONTEXT])
 
 
 def _asked(block: pa.Table) -> pa.Table:
-    """The distinct n-grams of a block of documents."""
-    one, before, two, _ = _grams(block.column("text").combine_chunks())
-    prior, last = (np.concatenate(x) for x in zip(*((p, w) for _, p, w, _ in _distinct(before, one, two)), strict=True))
-    return pa.table({"block": np.full(len(last), block.column("block")[0].as_py(), np.int64), "prior": prior, "last": last})
-
-
-class Ratio:
-    """log p_toxic - log p_ordinary of each word in its context."""
-
-    def __init__(self, keys: np.ndarray, kind: np.ndarray, prior: np.ndarray, last: np.ndarray, n: np.ndarray, total: np.ndarray, whole: tuple | None = None):
-        """keys: sorted numbers of the n-grams; prior, last: of a bigram the places of its words in keys; n: counts by class.
-
-        Where these are some of a table's n-grams, whole has what all of them give: q, N_c, and what the discounts leave, by class and of both.
-        """
-        one, two = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
-        size = len(keys)
-        t = np.maximum(total.astype(float), 1)[:, None]
-        n = np.concatenate([n, n.sum(0)[None]])  # by class, and of both
-        t = np.concatenate([t, t.sum(0)[None]])
-        discounted = np.maximum(n[:, two] - D, 0)
-        if whole is None:
-            q = (np.bincount(last[two], minlength=size) + 1.0) / (len(two) + max(1, len(one)))
-            have = (n[:, one] > 0).sum(1)
-            left = np.stack([np.bincount(prior[two], (n[:, two] - discounted)[c], minlength=size) for c in range(3)])
-        else:
-            q, have, left = whole
-        have = np.maximum(have, 1)[:, None]
-        p = (np.maximum(n - D, 0) + D * have * q) / t
-        left = np.maximum(left, D)
-        context = np.maximum(n, 1)[:, prior[two]]
-        left = np.where(n[:, prior[two]] > 0, left[:, prior[two]], 1.0)
-        shared = (discounted[2] + left[2] * q[last[two]]) / context[2]
-        both = (discounted + left * shared * p[:, last[two]] / p[2, last[two]]) / context
-        ratio = lambda x: np.log(x[1]) - np.log(x[0])
-        self.keys = keys
-        self.value = np.zeros(size)
-        self.value[one] = ratio(p[:, one])
-        self.backoff = np.zeros(size)  # shared, so none
-        self.value[two] = ratio(both)
-
-    def of(self, one: np.ndarray, before: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Of each word alone, and of each in its context."""
-        out = np.zeros((2, len(one)))
-        if len(self.keys):
-            place = np.minimum(np.searchsorted(self.keys, one), len(self.keys) - 1)
-            out[:] = np.where(self.keys[place] == one, self.value[place], 0.0)
-            place = np.minimum(np.searchsorted(self.keys, two), len(self.keys) - 1)
-            pair = (self.keys[place] == two) & (before != 1)
-            out[1, pair] = self.value[place[pair]]
-        return out
+    keys = _keys(_grams(block.column("text").combine_chunks())[0])
+    return pa.table({"block": np.full(len(keys), block.column("block")[0].as_py(), np.int64), "key": keys})
 
-    def features(self, texts: pa.Array) -> np.ndarray:
-        """Of each text, by words alone and then in context: the highest mean of WINDOW words in a row (an n-gram counting at its first place in the text, as one repeated tells no more), the mean of all, and the two highest; and the logarithm of its words."""
-        one, before, two, first = _grams(texts)
-        words = np.diff(first)
+
+class Counts:
+    """Rows of the table, by key: of an n-gram n0, n1 and q (x0); of a context its counts n0, n1 and what the discounts leave of each (x0, x1)."""
+
+    def __init__(self, rows: pa.Table):
+        key = rows.column("key").to_numpy()
+        order = np.argsort(key)
+        self.key = key[order]
+        self.n = np.stack([rows.column(c).to_numpy()[order] for c in ("n0", "n1")]).astype(np.int32)
+        self.x = np.stack([rows.column(c).to_numpy()[order] for c in ("x0", "x1")]).astype(np.float32)
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.key):
+            return np.zeros((2, len(keys))), np.zeros((2, len(keys)))
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        known = self.key[at] == keys
+        return np.where(known, self.n[:, at], 0).astype(float), np.where(known, self.x[:, at], 0).astype(float)
+
+    def ratios(self, g: np.ndarray, counted: int | None = None) -> np.ndarray:
+        """log p_toxic - log p_ordinary at each n-gram; counted: these are all n-grams of one text counted in this class, and its own counts don't count."""
+        keys, which, own = np.unique(g, return_inverse=True, return_counts=True)
+        n, (q, _) = self.of(keys)
+        contexts, context = np.unique(keys >> 8, return_inverse=True)
+        t, left = self.of(contexts + _CONTEXT)
+        if counted is not None:
+            now = n[counted] - own
+            left[counted] -= np.bincount(context, np.minimum(n[counted], D) - np.minimum(now, D), minlength=len(contexts))
+            t[counted] -= np.bincount(context, own, minlength=len(contexts))
+            n[counted] = now
+        logs = []
+        for c in (0, 1):
+            seen = t[c] > 0
+            most, rest = np.where(seen, t[c], 1.0), np.where(seen, np.maximum(left[c], D), 1.0)
+            known = (np.maximum(n[c] - D, 0) + rest[context] * q) / most[context]
+            # Without the n-gram both classes have the same q, which leaves their ratio.
+            logs.append(np.log(np.where(q > 0, known, (rest / most)[context])))
+        return (logs[1] - logs[0])[which]
+
+    def features(self, texts: pa.Array, counted: int | None = None) -> np.ndarray:
+        """Of each text: the highest mean of WINDOW words in a row, the mean of all its bytes, the two highest words, the logarithm of its words, and the words' excess over 2."""
+        g, bounds, first = _grams(texts)
+        total = np.concatenate([[0.0], np.cumsum(self.ratios(g, counted))])
+        value = np.diff(total[bounds])
+        total = total[bounds]
+        excess = np.concatenate([[0.0], np.cumsum(np.maximum(value - 2, 0))])
         out = np.zeros((len(texts), FEATURES))
-        out[:, -1] = np.log1p(words)
-        some = words > 0
-        doc = np.repeat(np.arange(len(texts)), words)
-        for k, (value, g) in enumerate(zip(self.of(one, before, two), (one, two), strict=True)):
-            order = np.lexsort((g, doc))
-            again = order[1:][(g[order][1:] == g[order][:-1]) & (doc[order][1:] == doc[order][:-1])]
-            fresh = value.copy()
-            fresh[again] = 0.0
-            total = np.concatenate([[0.0], np.cumsum(value)])
-            best, mean, *high = out[:, 4 * k : 4 * k + 4].T
-            mean[some] = (total[first[1:]] - total[first[:-1]])[some] / words[some]
-            once = np.setdiff1d(order, again)
-            once = once[np.lexsort((-value[once], doc[once]))]
-            begin = np.searchsorted(doc[once], np.arange(len(texts) + 1))
-            for j, x in enumerate(high):
-                has = np.diff(begin) > j
-                x[has] = value[once[begin[:-1][has] + j]]
-            total = np.concatenate([[0.0], np.cumsum(fresh)])
-            best[some] = (total[first[1:]] - total[first[:-1]])[some] / WINDOW
-            for d in np.flatnonzero(words > WINDOW).tolist():
-                a, b = first[d], first[d + 1]
-                best[d] = (total[a + WINDOW : b + 1] - total[a : b + 1 - WINDOW]).max() / WINDOW
+        for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            if n := b - a:
+                best = (total[a + WINDOW : b + 1] - total[a : b + 1 - WINDOW]).max() if n > WINDOW else total[b] - total[a]
+                high = np.partition(value[a:b], n - 2)[-2:] if n > 1 else (0.0, value[a])
+                out[d] = best / WINDOW, (total[b] - total[a]) / (bounds[b] - bounds[a]), high[1], high[0], np.log1p(n), (excess[b] - excess[a]) / n**0.5
         return out
 
 
-class Counts:
-    """The counts of the n-grams of one block, in the order of their numbers, and the sums of the whole table."""
-
-    def __init__(self, rows: pa.Table, sums: dict):
-        get = lambda c: rows.column(c).to_numpy()
-        prior, last = get("prior").astype(np.int64).view(np.uint64), get("last").astype(np.int64).view(np.uint64)
-        kind = np.where(prior == 0, 1, 2)
-        g = np.where(kind == 1, last, _pair(prior, last))
-        order = np.argsort(g)
-        self.keys, self.kind, self.sums = g[order], kind[order], sums
-        place = lambda x: np.minimum(np.searchsorted(self.keys, x[order]), max(0, len(g) - 1))
-        self.prior, self.last = place(prior), place(last)
-        self.n, self.left = np.stack([get(c)[order] for c in ("n0", "n1")]), np.stack([get(c)[order] for c in ("d0", "d1", "d2")])
-        self.followed = get("followed")[order]
-
-    def ratio(self) -> Ratio:
-        return self._ratio(slice(None), self.prior, self.last, self.n, self.left, self.followed, np.zeros((2, 3)))
-
-    def _ratio(self, at, prior, last, n, left, followed, less) -> Ratio:
-        q = (followed + 1.0) / (self.sums["bigrams"] + max(1, self.sums["have2"]))
-        total, have = np.array([[self.sums[f"{x}{c}"] for c in (0, 1, 2)] for x in ("t", "have")]) - less
-        return Ratio(self.keys[at], self.kind[at], prior, last, n, total[:2], (q, have, left))
-
-    def without(self, text: pa.Array, c: int) -> Ratio:
-        """The ratio for one counted text of class c by the counts of all other texts."""
-        one, before, two, _ = _grams(text)
-        keys, own = np.unique(np.concatenate([one, two[before != 1]]), return_counts=True)
-        at = np.searchsorted(self.keys, keys)
-        n, left, followed, kind = self.n[:, at].copy(), self.left[:, at].copy(), self.followed[at].copy(), self.kind[at]
-        prior, last = (np.minimum(np.searchsorted(at, x[at]), max(0, len(at) - 1)) for x in (self.prior, self.last))
-        two_at = np.flatnonzero(kind == 2)
-        for k, was in ((c, n[c]), (2, n.sum(0))):
-            change = np.minimum(was, D) - np.minimum(was - own, D)
-            left[k] -= np.bincount(prior[two_at], change[two_at], minlength=len(at))
-        n[c] -= own
-        no_more = n.sum(0) <= 0
-        followed -= np.bincount(last[two_at], no_more[two_at], minlength=len(at)).astype(followed.dtype)
-        less = np.zeros((2, 3))
-        for k, now in ((c, n[c]), (2, n.sum(0))):
-            less[:, k] = len(one), ((kind == 1) & (now <= 0)).sum()
-        kept = np.flatnonzero(~no_more)  # a kept bigram's words are kept
-        new = np.cumsum(~no_more) - 1
-        return self._ratio(at[kept], new[prior[kept]], new[last[kept]], n[:, kept], left[:, kept], followed[kept], less)
+class Model:
+    """table: (key, n0, n1, x0, x1) as in Counts; held: its rows for every executor, if they are few; and the calibration."""
 
+    def __init__(self, table: DataFrame, broadcast_rows: int):
+        self.table = table
+        self.held = table.sparkSession.sparkContext.broadcast(Counts(table.toArrow())) if table.count() <= broadcast_rows else None
+        self.mean, self.scale, self.weights = _calibrated(np.zeros((0, FEATURES)), np.zeros(0))
 
-class Model:
-    """The table of counts (prior, last, n0, n1, and of words d0, d1, d2: what their bigrams' discounts leave by class and of both, and followed: the distinct bigrams that they end), its sums, and the calibration."""
+    def apply(self, docs: DataFrame, run, schema: str) -> DataFrame:
+        """run(rows of docs with a column block, their Counts) -> an Arrow table, over all of docs."""
+        names = [part.split()[0] for part in schema.split(", ")]
+        if (held := self.held) is not None:
 
-    def __init__(self, table: DataFrame, sums: dict):
-        self.table, self.sums = table, sums
+            def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in pieces(source, size=1 << 20):
+                    yield from run(pa.Table.from_batches([batch]), held.value).select(names).combine_chunks().to_batches()
 
-    def met(self, docs: DataFrame, run, schema: str) -> DataFrame:
-        """run(block of docs, its rows of the table) for docs with a column block."""
-        asked = docs.select("block", "text").groupBy("block").applyInArrow(_asked, _ASKED)
-        rows = asked.join(self.table, ["prior", "last"])
-        return docs.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, schema)
+            return docs.mapInArrow(batches, schema)
+        rows = docs.select("block", "text").groupBy("block").applyInArrow(_asked, "block long, key long").join(self.table, "key")
+        return docs.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(lambda block, asked: run(block, Counts(asked)).select(names), schema)
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,66 +182,76 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return mean, scale, w
 
 
-def _features(sums: dict):
-    def run(block: pa.Table, rows: pa.Table) -> pa.Table:
-        counts, texts = Counts(rows, sums), block.column("text").combine_chunks()
-        toxic = block.column("toxic").to_numpy().astype(np.int8)
-        x = [counts.without(texts[i : i + 1], int(toxic[i])).features(texts[i : i + 1]) for i in range(len(texts))]
-        return pa.table({"toxic": toxic, **dict(zip("abcdefghi", np.concatenate(x).T, strict=True))})
-
-    return run
-
-
-def fit(labelled_ids: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
+def _features(rows: pa.Table, counts: Counts) -> pa.Table:
+    texts, toxic = rows.column("text").combine_chunks(), rows.column("toxic").to_numpy().astype(np.int8)
+    x = [counts.features(texts[i : i + 1], int(toxic[i])) for i in range(len(texts))]
+    return pa.table({"toxic": toxic, **dict(zip("abcdef", np.concatenate(x).T, strict=True))})
+
+
+def table_of(grams: DataFrame) -> DataFrame:
+    """The model's table from the n-grams' counts (g, n0, n1)."""
+    shorter = lambda c, k: F.col(c).bitwiseAND((1 << 8 * k) - 1)
+    counts = {ORDER: grams.select("g")}
+    for k in range(ORDER - 1, 0, -1):
+        counts[k] = counts[k + 1].groupBy(shorter("g", k).alias("g")).agg(F.count("*").alias("c"))
+    around = W.partitionBy(F.shiftright("g", 8))  # at most 256 rows
+    q = None
+    for k in range(1, ORDER):
+        level = counts[k].withColumns({"t": F.count("*").over(around), "all": F.sum("c").over(around)})
+        lower = F.lit(1 / 256) if q is None else F.col("q")
+        level = level if q is None else level.withColumn("h", shorter("g", k - 1)).join(q.withColumnRenamed("g", "h"), "h")
+        q = level.select("g", ((F.col("c") - D + D * F.col("t") * lower) / F.col("all")).alias("q"))
+    known = grams.withColumn("h", shorter("g", ORDER - 1)).join(q.withColumnRenamed("g", "h"), "h")
+    left = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(D)))
+    contexts = grams.groupBy((F.shiftright("g", 8) + _CONTEXT).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), left("n0").alias("x0"), left("n1").alias("x1"))
+    return known.select(F.col("g").alias("key"), "n0", "n1", F.col("q").alias("x0"), F.lit(0.0).alias("x1")).unionByName(contexts)
+
+
+def fit(
+    labelled_ids: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> Model:
     """The model of docs' texts under labelled_ids' labels (1 toxic, 0 ordinary; null labels and ids are left out, a repeated id counts by its highest label).
 
     N-grams are counted over all labelled texts, exact copies once and by the label that most of them have, so that a much
-    copied text does not make its own words toxic; the calibration's four weights are fitted on fit_rows of them.
+    copied text does not make its own words toxic; the calibration's few weights are fitted on fit_rows of them. Without
+    labelled texts every score is the same low one.
     """
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     labels = labelled_ids.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
     labels = labels.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     copies = d.select("id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2")).join(labels, "id").groupBy("h1", "h2")
-    labels = written(copies.agg(F.min("id").alias("id"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic")).select("id", "toxic"), "labels")
-    small = labels.count() <= BROADCAST_ROWS
-    with_labels = lambda part: d.join(F.broadcast(part) if small else part.hint("shuffle_hash"), "id").select("text", "toxic")
-
-    n = lambda c: F.sum(f"n{c}").alias(f"n{c}")
-    grams = written(with_labels(labels).mapInArrow(_counted, _GRAMS).groupBy("prior", "last").agg(n(0), n(1)), "grams")
-    bigrams, words = grams.where("prior <> 0"), grams.where("prior = 0")
-    begun = bigrams.groupBy(F.col("prior").alias("last")).agg(*(F.sum(F.least(n.cast("double"), F.lit(D))).alias(f"d{c}") for c, n in enumerate((F.col("n0"), F.col("n1"), F.col("n0") + F.col("n1")))))
-    ended = bigrams.groupBy("last").agg(F.count("*").alias("followed"))
-    words = words.join(begun, "last", "left").join(ended, "last", "left").select("prior", "last", "n0", "n1", *(F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("d0", "double"), ("d1", "double"), ("d2", "double"), ("followed", "long"))))
-    words = written(words, "words")
-    sums = words.agg(
-        F.count("*").alias("have2"), *(F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"t{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"have{c}") for c in (0, 1))
-    ).first().asDict()
-    sums |= {"t2": sums["t0"] + sums["t1"], "bigrams": bigrams.count()}
-    model = Model(words.unionByName(bigrams.select("*", *(F.lit(0.0).alias(f"d{c}") for c in (0, 1, 2)), F.lit(0).cast("long").alias("followed"))), sums)
-
-    chosen = labels.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    chosen = d.join(F.broadcast(chosen), "id").select(F.pmod(F.xxhash64("id", "text"), F.lit(FIT_BLOCKS)).alias("block"), "text", "toxic")
-    x = model.met(chosen, _features(sums), ", ".join(["toxic byte", *(f"{c} double" for c in "abcdefghi")])).toPandas()
-    model.mean, model.scale, model.weights = _calibrated(x[[*"abcdefghi"]].to_numpy(float), x["toxic"].to_numpy(float))
+    labels = written(copies.agg(F.min("id").alias("id"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic")).groupBy("id").agg(F.max("toxic").alias("toxic")), "labels")
+    labels = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels.hint("shuffle_hash")
+    # A row repeated under its id counts as often as it stands.
+    texts = d.join(labels, "id").select("text", "toxic")
+    grams = texts.mapInArrow(_counted, "g long, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    model = Model(written(table_of(written(grams, "grams")), "table"), broadcast_rows)
+
+    chosen = F.broadcast(labels.orderBy(F.xxhash64("id"), "id").limit(fit_rows))
+    chosen = d.join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).where("text is not null")  # one text an id
+    chosen = chosen.select(F.pmod(F.xxhash64("id"), F.lit(FIT_BLOCKS)).alias("block"), "text", "toxic")
+    x = model.apply(chosen, _features, ", ".join(["toxic byte", *(f"{c} double" for c in "abcdef")])).toArrow().sort_by([(c, "ascending") for c in ("toxic", *"abcdef")])
+    columns = [x.column(c).to_numpy().astype(float) for c in "abcdef"]
+    model.mean, model.scale, model.weights = _calibrated(np.column_stack(columns), x.column("toxic").to_numpy().astype(float))
     return model
 
 
-def _scored(sums: dict, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
-    def run(block: pa.Table, rows: pa.Table) -> pa.Table:
-        x = (Counts(rows, sums).ratio().features(block.column("text").combine_chunks()) - mean) / scale
-        return pa.table([block.column("id"), pa.array(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -35, 35))))], ["id", "score"])
-
-    return run
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col and score (double, 0 to 1). Null and empty texts get what the calibration gives a
     text without words; null ids stay null; repeated rows come out as often as they came in; other columns are ignored.
     """
+    ship(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    n_bytes = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    d = d.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_bytes // BLOCK_BYTES + 1)))
+    if model.held is None:
+        n_bytes = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        d = d.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_bytes // BLOCK_BYTES + 1)))
     kind = d.schema["id"].dataType.simpleString()
-    run = _scored(model.sums, model.mean, model.scale, model.weights)
-    return model.met(d, run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    mean, scale, weights = model.mean, model.scale, model.weights
+
+    def run(rows: pa.Table, counts: Counts) -> pa.Table:
+        x = (counts.features(rows.column("text").combine_chunks()) - mean) / scale
+        return pa.table([rows.column("id"), pa.array(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -35, 35))))], ["id", "score"])
+
+    return model.apply(d, run, f"id {kind}, score double").withColumnRenamed("id", id_col)
