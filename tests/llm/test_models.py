@@ -145,7 +145,7 @@ def test_toxicity_of_held_out_documents(spark):
     rows = op9_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()
     toxic, clean = ([r["score"] for r in rows if r["toxic"] == t] for t in (1, 0))
     # Labels carry noise: some marked documents have no toxic word, so no score can find them.
-    assert sum(x >= 0.3 for x in toxic) > 0.5 * len(toxic) and sum(x >= 0.3 for x in clean) < 0.03 * len(clean)
+    assert sum(x >= 0.3 for x in toxic) > 0.8 * len(toxic) and sum(x >= 0.3 for x in clean) < 0.03 * len(clean)
     assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in rows)
 
 
@@ -220,7 +220,8 @@ def test_kneser_ney_against_brute_force(spark):
             assert abs(sum(plain.p(c, x, h) for x in every) - 1) < 1e-9
     docs = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(texts)], "doc_id long, text string, toxic int")
     counts = toxicity.fit(docs, docs).held.value
-    log = lambda m, g: np.log(m.p(1, g[-1:], g[:-1]) / m.p(0, g[-1:], g[:-1]))
+    # What neither class has counts for neither.
+    log = lambda m, g: np.log(m.p(1, g[-1:], g[:-1]) / m.p(0, g[-1:], g[:-1])) if g in m.n[0] or g in m.n[1] else 0.0
     new = "the viler scum of stone qq"
     s = b"    " + spaced_words(new)
     g, bounds, first = toxicity._grams(pa.array([new]))

@@ -9,8 +9,8 @@ the end; its symbols are bytes. With h the ORDER - 1 bytes before x, n_c the cou
 B_c(h) is what the discounts of h's n-grams leave; where a class hasn't seen h, p_c(x | h) = q(x | h'). The backoff q is
 one model for both classes, by Kneser-Ney's continuation counts at every lower order: q(x | g) = (max(c(g x) - D, 0) +
 D * t(g) * q(x | g')) / c(g), where c(g x) is the number of distinct bytes seen before g x and t(g) that of the
-distinct x seen after g; below one byte, 1/256. So an expression that one class alone has is told by its parts, and
-what neither class has is no proof of either.
+distinct x seen after g; below one byte, 1/256. So an expression that one class alone has is told by its parts. Where
+neither class has h x, both have the p(x | h) of their counts together, so that it is no proof of either.
 
 Every n-gram of every labelled text is counted, into a table that grows with the texts; its lower orders and the backoff
 are Spark aggregates and joins on keys that have 256 rows at most. A table of up to BROADCAST_ROWS rows goes to every
@@ -119,13 +119,11 @@ class Counts:
             left[counted] -= np.bincount(context, np.minimum(n[counted], D) - np.minimum(now, D), minlength=len(contexts))
             t[counted] -= np.bincount(context, own, minlength=len(contexts))
             n[counted] = now
-        logs = []
+        logs, known = [], n.sum(0) > 0
         for c in (0, 1):
             seen = t[c] > 0
             most, rest = np.where(seen, t[c], 1.0), np.where(seen, np.maximum(left[c], D), 1.0)
-            known = (np.maximum(n[c] - D, 0) + rest[context] * q) / most[context]
-            # Without the n-gram both classes have the same q, which leaves their ratio.
-            logs.append(np.log(np.where(q > 0, known, (rest / most)[context])))
+            logs.append(np.log(np.where(known, (np.maximum(n[c] - D, 0) + rest[context] * q) / most[context], 1.0)))
         return (logs[1] - logs[0])[which]
 
     def features(self, texts: pa.Array, counted: int | None = None) -> np.ndarray:
