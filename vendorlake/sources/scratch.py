@@ -5,16 +5,20 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and the master is local, as in tests."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -23,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/vendorlake-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
@@ -32,15 +36,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _path_of[table] = path
+    return table
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that written() gave and that nothing still to be computed reads."""
+    for table in tables:
+        _remove(_path_of.pop(table))
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _remove(path)
         except Exception:  # noqa: BLE001  the session may be gone already
             return
