@@ -5,7 +5,7 @@ import random
 import pytest
 from brute import groups
 
-from vendorlake.llm import chunk_dedup, decontaminate
+from vendorlake.llm import chunk_dedup, decontaminate, jaccard_join
 from vendorlake.llm.components import components
 from vendorlake.llm.jaccard_join import Bands, similar_groups
 from vendorlake.llm.queries import op1_decontaminate, op4_ngram_jaccard_join, op5_substring_dedup
@@ -63,6 +63,43 @@ def test_linked_sets_share_a_signature(part):
                 assert len(np.intersect1d(bands.signatures(a), bands.signatures(b))), (len(a), len(b), same)
 
 
+def pages(n, seed=1, own=300, header=30, footer=30):
+    """Pages with one header, one of two footers, and words of their own: none linked to another."""
+    r = random.Random(seed)
+    some = lambda k: " ".join(f"w{r.randrange(10**6)}" for _ in range(k))
+    top, bottom = some(header), (some(footer), some(footer))
+    return [(i, f"{top} {some(own)} {bottom[i % 2]}") for i in range(1, n + 1)]
+
+
+def candidates(spark, rows, monkeypatch, width=5, part=80):
+    """The candidate pairs that are compared, in both steps, and the result."""
+    seen, verified = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *rest: (seen.append(pairs.count()), verified(pairs, *rest))[1])
+    groups_ = {r["doc_id"]: r["component_id"] for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=width, part=part).collect()}
+    return sum(seen), groups_
+
+
+def test_stock_passages_make_no_square_of_candidates(spark, monkeypatch):
+    few, found = candidates(spark, pages(500), monkeypatch)
+    assert all(i == c for i, c in found.items())
+    many, found = candidates(spark, pages(2000), monkeypatch)
+    assert all(i == c for i, c in found.items()) and many < 2000 and few < 500
+
+
+def test_links_among_pages_with_stock_passages(spark):
+    r = random.Random(8)
+    rows = pages(120, 2, own=60) + [(1000 + i, t) for i, t in pages(120, 3, own=25, header=60, footer=60)]
+    for i, t in list(rows)[::5]:
+        words = t.split()
+        for _ in range(r.randrange(1, 6)):
+            words[r.randrange(len(words))] = "edited"
+        rows.append((5000 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, part in ((5, 80), (4, 85)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_groups(docs, width=width, part=part).collect()}
+        assert got == groups(rows, width, part, 100)
+
+
 def test_groups_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (9, "a b c d e")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in similar_groups(docs).collect())

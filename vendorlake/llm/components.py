@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges, "edges")
     before = _fingerprint(edges)
     while True:
-        edges = written(_star(_star(edges, large=True), large=False), "edges")
+        last, edges = edges, written(_star(_star(edges, large=True), large=False), "edges")
+        discard(last)
         now = _fingerprint(edges)
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -1,5 +1,5 @@
 """Tables written between the steps of a job."""
 
-from ..sources.scratch import shared_dir, written
+from ..sources.scratch import discard, shared_dir, written
 
-__all__ = ["shared_dir", "written"]
+__all__ = ["discard", "shared_dir", "written"]
