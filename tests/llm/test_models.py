@@ -129,14 +129,26 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(docs.where("false"), crf).count() == 0
 
 
+def test_language_of_long_and_repeated_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["lang"]: r["text"] for r in docs.where("lang in ('de', 'fr') and n_chars > 300").orderBy("doc_id").collect()}
+    crf = langid.fit(docs)
+    rows = [(1, texts["de"] * 600, "x", 1), (2, texts["fr"], "y", 2), (2, texts["fr"], "y", 2), (3, texts["fr"] * 600, "z", 3)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, score string, lang_pred int"), crf, keep=("score", "lang_pred")).toDF("doc_id", "kept", "kept2", "lang", "score", "n_words", "n_switches")
+    got = sorted((r["doc_id"], r["kept"], r["lang"]) for r in found.collect())
+    assert got == [(1, "x", "de"), (2, "y", "fr"), (2, "y", "fr"), (3, "z", "fr")]
+    again = langid.fit(docs.unionByName(docs.where("doc_id < 50")).unionByName(docs.where("doc_id < 50")))
+    assert np.array_equal(again.weights, crf.weights) and again.langs == crf.langs
+
+
 def test_code_switched_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     crf = langid.fit(docs.where(~held_out()))
     two = {r["lang"]: r["text"] for r in docs.where(held_out() & F.col("lang").isin("en", "fr")).where("n_chars > 300").orderBy("doc_id").collect()}
     mixed = " ".join(two["en"].split()[:40] + two["fr"].split()[:40])
-    words, p = crf.label(pa.array([mixed]))
+    first, _, p = crf.label(pa.array([mixed]))
     best = [crf.langs[k] for k in p.argmax(1)]
-    assert len(best) == len(words.start) and best[:35].count("en") > 25 and best[-35:].count("fr") > 25
+    assert first.tolist() == [0, len(best)] and best[:35].count("en") > 25 and best[-35:].count("fr") > 25
 
 
 def test_toxicity_of_held_out_documents(spark):

@@ -5,9 +5,9 @@ either end) and a lexicon feature (the word itself), hashed into 2**BITS weights
 neighbouring words, so words of code-switched text are labelled by forward-backward in their context. A text's language
 is the one with the greatest mean posterior over its words, and the score is that mean.
 
-Fitting takes a bounded sample: FIT_ROWS labelled documents (those of the smallest hashed ids), and of each at most
-FIT_RUNS runs of RUN words, spread over the whole text. Runs of different documents are strung together, so that the
-chain sees languages change and its transitions are learned.
+Fitting takes a bounded sample: FIT_ROWS labelled documents (those of the smallest hashed ids, one text an id), each cut
+into runs of RUN words. Runs of different documents are strung together, so that the chain sees languages change and its
+transitions are learned.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shipping import ship
 from .wordhash import _LOWER, Words, carried, pieces
 
 BITS = 18
-FIT_ROWS, FIT_RUNS, RUN, STRUNG = 2000, 12, 32, 4
+FIT_ROWS, RUN, STRUNG = 1000, 32, 4
+#: Bytes of text that are labelled together, and of those whose features are held at once.
+PIECE, FEATURED = 4 << 20, 1 << 18
 UNKNOWN = "und"
 #: ASCII letters and everything beyond ASCII.
 LETTERS = np.zeros(256, bool)
@@ -75,7 +78,8 @@ def posteriors(emission: np.ndarray, first: np.ndarray, begin: np.ndarray, move:
 
     moves: gets the expected number of each transition added, if given.
     """
-    psi = np.exp(emission - emission.max(1, keepdims=True)) + 1e-30
+    begin, move = begin.astype(emission.dtype), move.astype(emission.dtype)
+    psi = np.exp(emission - emission.max(1, keepdims=True)) + emission.dtype.type(1e-30)
     length = np.diff(first)
     order = np.argsort(-length, kind="stable")
     starts, sizes = first[:-1][order], length[order]
@@ -87,12 +91,12 @@ def posteriors(emission: np.ndarray, first: np.ndarray, begin: np.ndarray, move:
         state = (np.broadcast_to(begin, (k, len(begin))) if t == 0 else state[:k] @ move) * psi[at]
         state /= state.sum(1, keepdims=True)
         forward[at] = state
-    back = np.ones((0, len(begin)))
+    back = np.ones((0, len(begin)), emission.dtype)
     for t in range(len(alive) - 1, -1, -1):
         k = alive[t]
         at = starts[:k] + t
         if len(back) < k:
-            back = np.concatenate([back, np.ones((k - len(back), len(begin)))])
+            back = np.concatenate([back, np.ones((k - len(back), len(begin)), emission.dtype)])
         seen = psi[at] * back
         if moves is not None and t:
             pair = forward[at - 1][:, :, None] * move[None] * seen[:, None, :]
@@ -107,11 +111,22 @@ class Crf:
     def __init__(self, langs: list[str], weights: np.ndarray, begin: np.ndarray, move: np.ndarray):
         self.langs, self.weights, self.begin, self.move = langs, weights, begin, move
 
-    def label(self, texts: pa.Array) -> tuple[Words, np.ndarray]:
-        words = Words(texts, LETTERS)
-        if not len(words.start):
-            return words, np.zeros((0, len(self.langs)))
-        return words, posteriors(emissions(words, self.weights), words.first, self.begin, self.move)
+    def label(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's first word (and the end), whether that word begins with an ASCII letter, and each word's posteriors.
+
+        Features are made for FEATURED bytes of text at a time (or one longer text); only the posteriors of all are held.
+        """
+        n_words, ascii_, found = [np.zeros(1, np.int64)], [], [np.zeros((0, len(self.langs)), np.float32)]
+        for part in pieces([pa.RecordBatch.from_arrays([texts], ["text"])], size=FEATURED):
+            words = Words(part.column("text"), LETTERS)
+            n_words.append(np.diff(words.first))
+            begins = np.append(words.data[words.start], np.uint8(0xFF))
+            ascii_.append((begins[words.first[:-1]] < 0x80) & (n_words[-1] > 0))
+            if len(words.start):
+                found.append(emissions(words, self.weights).astype(np.float32))
+        first = np.cumsum(np.concatenate(n_words))
+        emission = np.concatenate(found)
+        return first, np.concatenate([np.zeros(0, bool), *ascii_]), posteriors(emission, first, self.begin, self.move) if len(emission) else emission
 
 
 def fit_crf(texts: list[str], langs: list[str], epochs: int = 5, batches: int = 12, rate: float = 0.08, seed: int = 7) -> Crf | None:
@@ -168,46 +183,45 @@ def fit_crf(texts: list[str], langs: list[str], epochs: int = 5, batches: int =
     return Crf(names, weights.astype(np.float32), np.exp(begin - begin.max()), np.exp(move - move.max()))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At most FIT_RUNS runs of RUN words of each text, evenly spread over it."""
-    for batch in pieces(batches):
-        words = Words(batch.column("text"), LETTERS)
-        out = []
-        for a, b, lang in zip(words.first[:-1].tolist(), words.first[1:].tolist(), batch.column("lang").to_pylist(), strict=True):
-            runs = range(a, b, RUN)
-            for at in runs if len(runs) <= FIT_RUNS else [runs[i * len(runs) // FIT_RUNS] for i in range(FIT_RUNS)]:
-                raw = words.data[words.start[at] : words.end[min(at + RUN, b) - 1]].tobytes()
-                out.append((raw.decode("utf-8", "replace"), lang))
-        columns = list(zip(*out, strict=True)) if out else [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in columns], ["text", "lang"])
+def _runs(texts: list[str], langs: list[str]) -> tuple[list[str], list[str]]:
+    """The texts cut into runs of RUN words."""
+    out = []
+    words = Words(pa.array(texts, pa.large_string()), LETTERS)
+    for a, b, lang in zip(words.first[:-1].tolist(), words.first[1:].tolist(), langs, strict=True):
+        for at in range(a, b, RUN):
+            out.append((words.data[words.start[at] : words.end[min(at + RUN, b) - 1]].tobytes().decode("utf-8", "replace"), lang))
+    return [t for t, _ in out], [x for _, x in out]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Crf | None:
-    """A model of the languages of docs' lang_col, from at most fit_rows documents with text, language and id; None if there is none."""
+    """A model of the languages of docs' lang_col, from at most fit_rows documents with text, language and id; None if there is none.
+
+    Of rows that repeat an id the one of the least text and language counts, so that fit_rows texts at most reach the driver.
+    """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.where("id is not null and lang is not null and text is not null")
-    chosen = d.select("id").orderBy(F.xxhash64("id"), "id").limit(fit_rows).distinct()
-    runs = d.join(F.broadcast(chosen), "id", "left_semi").select("text", "lang").mapInArrow(_runs, "text string, lang string").toPandas()
-    return fit_crf(runs["text"].tolist(), runs["lang"].tolist())
+    ship(docs.sparkSession)
+    chosen = d.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    rows = d.join(F.broadcast(chosen), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("m")).select("m.text", "m.lang").collect()
+    return fit_crf(*_runs([r["text"] for r in rows], [r["lang"] for r in rows]))
 
 
 def _identified(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         crf: Crf | None = shared.value
-        for batch in pieces(batches, size=4 << 20):
+        for batch in pieces(batches, size=PIECE):
             rows = batch.num_rows
             langs, scores, switches, n_words = [UNKNOWN] * rows, np.zeros(rows), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
             if crf is not None:
-                words, p = crf.label(batch.column("text"))
-                first, texts = words.first, batch.column("text")
+                texts = batch.column("text")
+                first, ascii_, p = crf.label(texts)
                 best = p.argmax(1)
-                total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, 0)])
+                total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, 0, dtype=float)])
                 changed = np.concatenate([[0, 0], np.cumsum(best[1:] != best[:-1])]) if len(best) else np.zeros(2, int)
                 n_words = np.diff(first)
                 for d in np.flatnonzero(n_words).tolist():
                     a, b = first[d], first[d + 1]
-                    raw = words.data[words.start[a] : words.start[a] + 1]
-                    if raw[0] >= 0x80 and not any(map(str.isalpha, texts[d].as_py())):
+                    if not ascii_[d] and not any(map(str.isalpha, texts[d].as_py())):
                         continue
                     mean = (total[b] - total[a]) / (b - a)
                     k = int(mean.argmax())
@@ -224,5 +238,5 @@ def identify(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col:
     Null texts, texts without a letter, and every text where crf is None get "und" with score 0. Null ids stay null;
     repeated rows come out as often as they came in; columns not named, whatever their names, are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(crf)
+    shared = ship(docs.sparkSession).sparkContext.broadcast(crf)
     return carried(docs, id_col, text_col, keep, _identified(shared), "lang_pred string, score double, n_words long, n_switches long")
