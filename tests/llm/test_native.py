@@ -61,6 +61,18 @@ def test_templates_meet_the_threshold_exactly(spark):
     assert got == want
 
 
+def _spans(pattern):
+    import re
+
+    return lambda text: [m.span() for m in re.finditer(pattern, text)]
+
+
+PATTERN_OF = {
+    "email": _spans(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": _spans(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": _spans(r"[0-9]([\x20-]?[0-9])+"), "phone": _spans(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
 def test_pii_base(docs, rows):
     got = {r["doc_id"]: r for r in pii.sanitise(docs).withColumn("names", pii.span_names(F.col("hits"))).collect()}
     for i, t in rows:
@@ -91,6 +103,77 @@ def test_pii_terms_far_away_and_in_other_documents(spark):
     assert rows[4]["sanitised"] in ("the [TERM] alone", "the  alone") and "orba" not in rows[0]["sanitised"]
 
 
+def test_pii_of_very_many_values_takes_time_in_proportion(spark):
+    import time
+
+    text = lambda n: "".join(f"a{i}@b.co " for i in range(n))
+    seconds = []
+    for n in (100, 25_000, 100_000):
+        began = time.perf_counter()
+        row = pii.sanitise(spark.createDataFrame([(1, text(n))], "doc_id long, text string")).select(F.size("hits"), "sanitised").first()
+        seconds.append(time.perf_counter() - began)
+        assert row[0] == n and row[1] == "[EMAIL] " * n
+    assert seconds[2] - seconds[0] < 60
+
+
+def plain_terms(rows, support=3, reach=60, least=0.8):
+    """rows: (id, text) -> the spans of revealing terms of each row, by brute force."""
+    import math
+    import re
+
+    kinds = ("email", "ip", "card", "phone")
+    held, words, contexts, n_rows = {}, [], {}, len(rows)
+    for k, (_, text) in enumerate(rows):
+        hits = [(h.split(":")[0], *map(int, h.split(":")[1:])) for h in plain_pii(text)[-1]]
+        masked = list(text or "")
+        for _, a, b in hits:
+            masked[a:b] = "\uffff" * (b - a)
+        found = re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(masked))
+        words.append([(m.start(), m.end(), m.group().lower()) for m in found if not re.fullmatch("[0-9]*", m.group()) and "\uffff" not in m.group()])
+        for kind in kinds:
+            own = [(a, b) for x, a, b in hits if x == kind]
+            every = PATTERN_OF[kind](text or "")
+            for a, b in own:
+                at = every.index((a, b))
+                left = every[at - 1][1] if at else 0
+                right = every[at + 1][0] if at + 1 < len(every) else len(text)
+                e = (kind, text[a:b].lower())
+                held.setdefault(e, set()).add(k)
+                contexts.setdefault((e, k), set()).add((text[max(left, a - reach) : a], text[b : min(right, b + reach)]))
+    has = {}
+    for k, ws in enumerate(words):
+        for *_, t in ws:
+            has.setdefault(t, set()).add(k)
+    bad = set()
+    for e, docs in held.items():
+        for t in {t for k in docs for *_, t in words[k]}:
+            both = has[t] & docs
+            seen = set().union(*(contexts[e, k] for k in both))
+            if len(seen) >= support and len(docs) < n_rows and math.log(len(both) * n_rows / (len(docs) * len(has[t]))) / math.log(n_rows / len(docs)) >= least - 1e-12:
+                bad.add(t)
+    return [[(a, b) for a, b, t in ws if t in bad] for ws in words]
+
+
+def test_pii_terms_against_brute_force(spark):
+    r = random.Random(12)
+    common = ["the", "of", "and", "Red", "green", "lake", "é", "12", "hill"]
+    owners = [(f"own{i}", f"Code{i}", f"u{i}@b.co" if i % 2 else f"10.0.0.{i}") for i in range(12)]
+    rows = []
+    for i in range(260):
+        ws = [r.choice(common) for _ in range(r.randrange(3, 30))]
+        for a, b, e in r.sample(owners, r.choice((0, 0, 1, 2))):
+            for x in (a, b if r.random() < 0.6 else "", e):
+                ws.insert(r.randrange(len(ws) + 1), x)
+        if i % 40 == 0:
+            ws.append(r.choice(owners)[0])
+        rows.append((i, " ".join(ws)))
+    rows += [rows[3], rows[3], rows[7], (900, None), (901, ""), (None, rows[5][1])]
+    found = pii.sanitise(spark.createDataFrame([(*x, "c", 0) for x in rows], "doc_id long, text string, terms string, key int")).select("doc_id", "terms").collect()
+    got = sorted(((x["doc_id"] is None, x["doc_id"] or 0), [(t["start"], t["stop"]) for t in x["terms"]]) for x in found)
+    want = sorted(((i is None, i or 0), t) for (i, _), t in zip(rows, plain_terms(rows), strict=True))
+    assert got == want and sum(map(bool, (t for _, t in got))) > 20
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan(none).count() == 0 and pii.sanitise(none).count() == 0

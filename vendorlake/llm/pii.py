@@ -7,8 +7,13 @@ information content, estimated from the corpus:
     disclosure(e, t) = PMI(e; t) / IC(e) = log(n(e, t) * N / (n(e) * n(t))) / log(N / n(e))
 
 with N documents, n(e) of them holding e, n(t) holding t, and n(e, t) holding both. Terms that share documents with e in
-at least SUPPORT different contexts (the REACH characters on either side of e), and disclose it to GENERALISE or more, are
-generalised; at REMOVE or more, removed: at every place, in all documents. All counts are over all documents.
+at least SUPPORT different contexts (the REACH characters on either side of e, as far as the next value of its kind), and
+disclose it to GENERALISE or more, are generalised; at REMOVE or more, removed: at every place, in all documents. All
+counts are over all documents, a repeated row counting as often as it stands.
+
+Places come from running sums over the lengths of matches and of what lies between them. As an array that grows by one
+element a step is copied each time, sums are taken in runs of RUN elements, and texts are cut from blocks of BLOCK
+characters, so that the time grows about as the text does, however many values it holds.
 """
 
 from __future__ import annotations
@@ -16,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 REACH, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.8, 0.95
-#: Stands for a value found, as a part of any word that touches it.
+RUN, BLOCK = 256, 4096
+#: Stands for each character of a value found, as a part of any word that touches it.
 _GAP = "\uffff"
 #: Revealing terms, and the documents that hold some, of up to so many rows go to every executor; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -31,7 +37,8 @@ _CARD = r"[0-9]++(?:[ -][0-9]++)*+"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
-_HIT = "array<struct<kind:int,start:int,stop:int,value:string,left:string,right:string>>"
+_HIT = "array<struct<kind:int,start:int,stop:int,value:string,context:bigint>>"
+_TERM = "array<struct<start:int,stop:int,disclosure:double>>"
 
 
 def _digits(m: Column) -> Column:
@@ -53,76 +60,90 @@ def _valid(kind: int, m: Column) -> Column:
     )[kind]
 
 
-def _places(text: Column, pattern: str) -> Column:
-    """(start, match) of the pattern's matches in order: text splits into gaps and matches, whose lengths add up."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    none = F.array().cast("array<struct<start:int,m:string>>")
+def _scanned(df: DataFrame, out: str, xs: str, step, kind: str) -> DataFrame:
+    """df with column out: for each element x of column xs in order y, where step(at, x) gives the next `at` and y; at begins with 0."""
+    none = F.array().cast(kind)
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["g"]
-        return F.struct((start + F.length(x["m"])).alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), x["m"].alias("m")))).alias("out"))
+    def mark(s: Column, x: Column) -> Column:
+        marks = F.when(s["i"] % RUN == 0, F.concat(s["marks"], F.array(s["at"]))).otherwise(s["marks"])
+        return F.struct(step(s["at"], x)[0].alias("at"), (s["i"] + 1).alias("i"), marks.alias("marks"))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    def add(s: Column, x: Column) -> Column:
+        at, y = step(s["at"], x)
+        return F.struct(at.alias("at"), F.concat(s["out"], F.array(y)).alias("out"))
 
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("marks"))
+    df = df.withColumn("marks_", F.when(F.size(xs) > 0, F.aggregate(xs, begin, mark, lambda s: s["marks"])))
+    run = lambda c: F.aggregate(F.slice(xs, c * RUN + 1, F.lit(RUN)), F.struct(F.element_at("marks_", c + 1).alias("at"), none.alias("out")), add, lambda s: s["out"])
+    runs = F.transform(F.sequence(F.lit(0), F.size("marks_") - 1), run)
+    return df.withColumn(out, F.when(F.size(xs) > 0, F.flatten(runs)).otherwise(none)).drop("marks_")
 
-def _hits(text: Column, kind: int, pattern: str, may: Column) -> Column:
-    def hit(x: Column) -> Column:
-        stop = x["start"] + F.length(x["m"])
-        begin = F.greatest(x["start"] - REACH, F.lit(0))
-        return F.struct(
-            F.lit(kind).alias("kind"), x["start"].alias("start"), stop.alias("stop"), F.lower(x["m"]).alias("value"),
-            F.substring(text, begin + 1, x["start"] - begin).alias("left"), F.substring(text, stop + 1, F.lit(REACH)).alias("right"),
-        )
 
-    return F.when(may, F.transform(F.filter(_places(text, pattern), lambda x: _valid(kind, x["m"])), hit)).otherwise(F.array()).cast(_HIT)
+def _matched(df: DataFrame, text: str, pattern: str, may: Column) -> DataFrame:
+    """df with column xs_: of each match of the pattern g (how many characters lie before it since the last one), m and its context."""
+    none = F.array().cast("array<string>")
+    df = df.withColumns({"found_": F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)})
+    df = df.withColumn("gaps_", F.when(F.size("found_") > 0, F.split(text, pattern, -1)).otherwise(none))
+
+    def one(m: Column, i: Column) -> Column:
+        before, after = F.get("gaps_", i), F.get("gaps_", i + 1)
+        context = F.xxhash64(F.right(before, F.lit(REACH)), F.left(after, F.lit(REACH)))
+        return F.struct(F.length(before).alias("g"), m.alias("m"), context.alias("context"))
+
+    return df.withColumn("xs_", F.transform("found_", one)).drop("found_", "gaps_")
 
 
-def base_hits(text: Column) -> Column:
-    """The base's spans of a text, by kind as listed and then by start, with each value and its surroundings; in code points, the end exclusive."""
-    return F.concat(
-        _hits(text, 0, _EMAIL, F.contains(text, F.lit("@"))),
-        _hits(text, 1, _IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]")),
-        _hits(text, 2, _CARD, text.rlike(r"(?:[0-9][ -]?){13}")),
-        _hits(text, 3, _PHONE, F.contains(text, F.lit("+"))),
+def with_hits(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with column hits: the base's spans of its text, by kind as listed and then by start, with each value and a hash of its surroundings; in code points, the end exclusive."""
+    t = F.col(text)
+    kinds = (
+        (_EMAIL, F.contains(t, F.lit("@"))),
+        (_IP, t.rlike(r"[0-9]\.[0-9]++\.[0-9]")),
+        (_CARD, t.rlike(r"(?:[0-9][ -]?){13}")),
+        (_PHONE, F.contains(t, F.lit("+"))),
     )
+    for k, (pattern, may) in enumerate(kinds):
+
+        def hit(at: Column, x: Column, k=k) -> tuple[Column, Column]:
+            start = at + x["g"]
+            stop = start + F.length(x["m"])
+            return stop, F.struct(F.lit(k).alias("kind"), start.alias("start"), stop.alias("stop"), F.lower(x["m"]).alias("value"), x["context"].alias("context"))
+
+        df = _scanned(_matched(df, text, pattern, may), f"hits_{k}", "xs_", hit, _HIT).drop("xs_")
+    valid = lambda k: F.filter(f"hits_{k}", lambda h: _valid(k, h["value"]))
+    return df.withColumn("hits", F.concat(*(valid(k) for k in range(4)))).drop(*(f"hits_{k}" for k in range(4)))
 
 
 def _words(text: Column) -> Column:
-    """The distinct words of a text, lowered; a word of digits only is no term."""
+    """The distinct words of a text, lowered; a word of digits only is no term, nor is one that touches a value found."""
     words = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
-    return F.filter(F.array_distinct(words), lambda w: ~w.rlike("^[0-9]*$"))
-
+    return F.filter(F.array_distinct(words), lambda w: ~w.rlike(f"^[0-9]*$|{_GAP}"))
 
-def _replaced(text: Column, spans: Column) -> Column:
-    """The text with tags for spans (start, stop, tag, in order); of overlapping ones the first counts."""
-    def step(s: Column, x: Column) -> Column:
-        more = F.when(x["start"] >= s["at"], F.concat(F.substring(text, s["at"] + 1, x["start"] - s["at"]), x["tag"])).otherwise("")
-        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.concat(s["out"], more).alias("out"))
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+def _replaced(df: DataFrame, out: str, spans: Column, tag, text: str = "text") -> DataFrame:
+    """df with column out: the text with tag(at, span) for each span (start, stop, ...), where what lies before `at` is written already."""
 
+    def piece(at: Column, x: Column) -> tuple[Column, Column]:
+        return F.greatest(at, x["stop"]), F.struct(at.alias("a"), F.greatest(at, x["start"]).alias("b"), tag(at, x).alias("tag"))
 
-def _words_outside(text: Column, hits: Column) -> Column:
-    """The distinct whole words that touch no hit."""
-    spans = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["stop"].alias("stop"), F.lit(_GAP).alias("tag"))))
-    return F.filter(_words(_replaced(text, spans)), lambda w: ~F.contains(w, F.lit(_GAP)))
+    df = _scanned(df.withColumn("spans_", F.array_sort(spans)), "pieces_", "spans_", piece, "array<struct<a:int,b:int,tag:string>>")
+    df = df.withColumns({
+        "blocks_": F.when(F.size("spans_") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))),
+        "end_": F.aggregate("spans_", F.lit(0), lambda at, x: F.greatest(at, x["stop"])),
+    })
 
+    def cut(a: Column, b: Column) -> Column:
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+        return F.when(b <= a, "").otherwise(F.substring(F.array_join(F.slice("blocks_", i + 1, j - i + 1), ""), a - i * BLOCK + 1, b - a))
 
-def _marked(text: Column, hits: Column, terms: Column) -> Column:
-    """Every place outside the hits of a word that terms (a map to disclosures) holds."""
-    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
-    both = F.zip_with(F.slice(F.split(text, _WORD, -1), F.lit(1), F.size(words)), words, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), F.try_element_at(terms, F.lower(m)).alias("d")))
-    none = F.array().cast("array<struct<start:int,stop:int,disclosure:double>>")
+    parts = F.concat(F.transform("pieces_", lambda p: F.concat(cut(p["a"], p["b"]), p["tag"])), F.array(cut(F.col("end_"), F.length(text))))
+    return df.withColumn(out, F.when(F.size("spans_") > 0, F.array_join(parts, "")).otherwise(F.col(text))).drop("spans_", "pieces_", "blocks_", "end_")
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["g"]
-        stop = start + x["n"]
-        span = F.struct(start.alias("start"), stop.alias("stop"), x["d"].alias("disclosure"))
-        fresh = x["d"].isNotNull() & ~F.exists(hits, lambda h: (start < h["stop"]) & (stop > h["start"]))
-        return F.struct(stop.alias("at"), F.when(fresh, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+def with_masked(df: DataFrame) -> DataFrame:
+    """df with column masked: the text with each character of its hits as _GAP, so that all places stay."""
+    spans = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["stop"].alias("stop")))
+    return _replaced(df, "masked", spans, lambda at, x: F.repeat(F.lit(_GAP), F.greatest(x["stop"] - F.greatest(at, x["start"]), F.lit(0))))
 
 
 def _disclosure(total: int, n_t: str) -> Column:
@@ -132,30 +153,53 @@ def _disclosure(total: int, n_t: str) -> Column:
 
 
 def _revealing(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(key, terms): of the documents that have any, the spans of revealing terms with their disclosure."""
-    one = hits.where(F.size("hits") > 0).select("key", F.explode("hits").alias("h")).select(
-        "key", F.concat_ws(":", "h.kind", "h.value").alias("e"), F.xxhash64("h.left", "h.right").alias("context")
-    ).distinct()
+    """(key, terms): of the documents that have any, the spans of revealing terms with their disclosure. docs: key, text; hits: key, hits; a row each."""
+    holders = hits.where(F.size("hits") > 0).groupBy("key").agg(F.count("*").alias("rows"), F.first("hits").alias("hits"))
+    holders = written(holders, "holders")
+    one = holders.select("key", "rows", F.explode("hits").alias("h")).select("key", "rows", F.concat_ws(":", "h.kind", "h.value").alias("e"), "h.context").distinct()
+    by_document = one.groupBy("e", "key").agg(F.first("rows").alias("rows")).groupBy("e").agg(F.sum("rows").alias("n_e"))
     # A pair has no more contexts than its entity: most entities are settled by that.
-    entities = one.groupBy("e").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("key").alias("n_e")).where(F.col("contexts") >= SUPPORT)
+    entities = one.groupBy("e").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= SUPPORT).join(by_document, "e")
     one = written(one.join(entities.drop("contexts"), "e"), "entities")
     total = docs.count()
-    held = docs.join(one.select("key").distinct(), "key", "left_semi").select("key", F.explode(F.array_distinct(_words_outside(F.col("text"), base_hits(F.col("text"))))).alias("t")).distinct()
+    wanted = one.select("key").distinct().join(holders, "key")
+    wanted = F.broadcast(wanted) if one.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
+    held = with_masked(docs.join(wanted, "key")).select("key", "rows", F.explode(_words(F.col("masked"))).alias("t")).distinct()
     held = written(held, "held")
-    pairs = one.join(held, "key").groupBy("e", "t").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("key").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("contexts") >= SUPPORT)
+    pairs = one.select("key", "e", "context", "n_e").join(held, "key")
+    contexts = pairs.groupBy("e", "t").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= SUPPORT).drop("contexts")
+    n_et = pairs.select("e", "t", "key", "rows", "n_e").distinct().groupBy("e", "t").agg(F.sum("rows").alias("n_et"), F.first("n_e").alias("n_e"))
+    pairs = contexts.join(n_et, ["e", "t"])
     # Documents that hold t with any of these entities are some of the n(t): a pair that they alone keep below the threshold is settled.
-    n_beside = held.groupBy("t").agg(F.count("*").alias("n_beside"))
+    n_beside = held.groupBy("t").agg(F.sum("rows").alias("n_beside"))
     pairs = written(pairs.join(n_beside, "t").where(_disclosure(total, "n_beside") >= GENERALISE), "candidates")
+    discard(one, held)
+    masked = _all_masked(docs, holders)
     # Counted before it is joined, so that a common term costs a partial count a task and not a row a document.
-    n_t = docs.select(F.explode(_words(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    n_t = masked.select(F.explode(_words(F.col("masked"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     known = pairs.join(n_t, "t").withColumn("disclosure", _disclosure(total, "n_t")).where(F.col("disclosure") >= GENERALISE)
     revealing = written(known.groupBy("t").agg(F.max("disclosure").alias("disclosure")), "revealing")
     revealing = F.broadcast(revealing) if revealing.count() <= BROADCAST_ROWS else revealing
-    holding = docs.select("key", F.explode(_words(F.col("text"))).alias("t")).join(revealing, "t").distinct()
-    holding = written(holding.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("t", "disclosure"))).alias("held")), "holding")
-    holding = F.broadcast(holding) if holding.count() <= BROADCAST_ROWS else holding
-    places = docs.join(holding, "key").dropDuplicates(["key"]).withColumn("hits", base_hits(F.col("text")))
-    return places.select("key", _marked(F.col("text"), F.col("hits"), F.col("held")).alias("terms")).where(F.size("terms") > 0)
+    holding = masked.select("key", F.explode(_words(F.col("masked"))).alias("t")).join(revealing, "t").distinct()
+    holding = holding.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("t", "disclosure"))).alias("held"))
+    holding = written(holding, "holding")
+    discard(pairs)
+    few = F.broadcast(holding) if holding.count() <= BROADCAST_ROWS else holding.hint("shuffle_hash")
+
+    def place(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["g"]
+        stop = start + F.length(x["m"])
+        return stop, F.struct(start.alias("start"), stop.alias("stop"), F.try_element_at(F.col("held"), F.lower(x["m"])).alias("disclosure"))
+
+    places = _scanned(_matched(masked.join(few, "key"), "masked", _WORD, F.lit(True)), "terms", "xs_", place, _TERM)
+    return places.select("key", F.filter("terms", lambda t: t["disclosure"].isNotNull()).alias("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
+
+
+def _all_masked(docs: DataFrame, holders: DataFrame) -> DataFrame:
+    """key, text and masked of every row: masked is the text where the document holds no value."""
+    few = F.broadcast(holders) if holders.count() <= BROADCAST_ROWS else holders
+    none = F.array().cast(_HIT)
+    return with_masked(docs.join(few.select("key", "hits"), "key", "left").withColumn("hits", F.coalesce("hits", none))).select("key", "text", "masked")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), texts: bool = True) -> DataFrame:
@@ -169,19 +213,18 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(*(F.col(c).alias(f"kept_{c}") for c in keep), F.col(id_col).alias("id"), text.alias("text"))
     d = d.withColumn("key", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"))
-    hits = written(d.select("id", "key", *(["text", *(f"kept_{c}" for c in keep)] if texts else []), base_hits(F.col("text")).alias("hits")), "hits")
+    hits = written(with_hits(d).select("id", "key", *(["text", *(f"kept_{c}" for c in keep)] if texts else []), "hits"), "hits")
     terms = written(_revealing(d.select("key", "text"), hits.select("key", "hits")), "terms")
     terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    d = hits.join(terms, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,disclosure:double>>")))
+    d = hits.join(terms, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_TERM)))
     if texts:
         tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-        spans = F.array_sort(F.concat(
+        spans = F.concat(
             F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["stop"].alias("stop"), F.element_at(tags, h["kind"] + 1).alias("tag"))),
             F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.when(t["disclosure"] >= REMOVE, "").otherwise("[TERM]").alias("tag"))),
-        ))
-
-        joined = _replaced(F.col("text"), spans)
-        d = d.withColumn("sanitised", F.when((F.size("hits") == 0) & (F.size("terms") == 0), F.col("text")).otherwise(joined))
+        )
+        # Of overlapping spans the first counts.
+        d = _replaced(d, "sanitised", spans, lambda at, x: F.when(x["start"] >= at, x["tag"]).otherwise(""))
     return d.select(F.col("id").alias(id_col), *(F.col(f"kept_{c}").alias(c) for c in keep if texts), "hits", "terms", *(["sanitised"] if texts else []))
 
 
