@@ -21,6 +21,8 @@ CASES = {
     "G12": ("['A']", "unparseable", 0, 0),
     "lines": ('x\n[\n{"name":"A"}\n]\ny', "parsed", 1, 0),
     "nbsp": ('[{"name":"A", }]', "repaired", 1, 0),
+    "surplus bracket": ("[1]]", "unparseable", 0, 0),
+    "surplus brackets": ('[{"name":"A"}]]]', "unparseable", 0, 0),
     "two values": ('[{"a":1}] [{"b":2}]', "unparseable", 0, 0),
     "mixed": ('[1,"x",[2],{"name":"A"}]', "parsed", 1, 3),
 }
@@ -29,7 +31,7 @@ CASES = {
 def payloads(spark, texts):
     ingest.allow_repeated_keys(spark)
     rows = [(k, PRODUCT, json.dumps({"content": [{"type": "text", "text": t}]})) for k, t in texts.items()]
-    rows += [("G7", PRODUCT, '{"error":{"type":"x"}}'), ("G8", PRODUCT, "oops"), ("none", PRODUCT, None)]
+    rows += [("G7", PRODUCT, '{"error":{"type":"x"}}'), ("G8", PRODUCT, "oops"), ("rest", PRODUCT, '{"content":[{"type":"text","text":"[1]"}]} x'), ("none", PRODUCT, None)]
     return spark.createDataFrame(rows, "run_id string, product string, body string").withColumn("received_at", F.current_timestamp())
 
 
@@ -37,7 +39,7 @@ def test_outcomes(spark):
     found = ingest.ingest(payloads(spark, {k: c[0] for k, c in CASES.items()}))
     got = {r["run_id"]: (r["outcome"], r["n_rejected"]) for r in found.outcomes.collect()}
     counts = {r["run_id"]: r["count"] for r in found.companies.groupBy("run_id").count().collect()}
-    want = {k: (c[1], c[3]) for k, c in CASES.items()} | {"G7": ("no_array", 0), "G8": ("request_failed", 0), "none": ("request_failed", 0)}
+    want = {k: (c[1], c[3]) for k, c in CASES.items()} | {"G7": ("no_array", 0), "G8": ("request_failed", 0), "rest": ("request_failed", 0), "none": ("request_failed", 0)}
     assert got == want
     assert {k: counts.get(k, 0) for k in CASES} == {k: c[2] for k, c in CASES.items()}
     rejected = found.quarantine.groupBy("run_id").count().collect()

@@ -74,6 +74,9 @@ def test_brief_match_plan_has_no_nested_loop(spark):
 def test_cards(spark):
     df = spark.createDataFrame([company(founded_year=2005, ownership="VC-Backed", employees="1–10")], COMPANY)
     assert search.detail_card(df).first()[2:] == ("2005", "—", "—", "1–10", "—")
+    zero = df.withColumns({"hq": F.lit("0"), "employees": F.lit("0"), "founded_year": F.lit(0)})
+    assert search.detail_card(zero).first()["founded"] == "—" and search.detail_card(zero).first()["hq"] == "0" and search.detail_card(zero).first()["employees"] == "0"
+    assert search.saved_header(zero).first()["header"] == "Acme | VC-Backed | 0 | 0 emp"
     assert search.saved_header(df).first()["header"] == "Acme | VC-Backed | Est. 2005 | 1–10 emp"
 
 

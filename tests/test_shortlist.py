@@ -112,5 +112,5 @@ def test_counts_and_flags(spark):
     events = [(i, T0, "l", "r", i, "save", None, None) for i in (1, 2)]
     state = shortlist.fold(spark.createDataFrame(events, SHORT))
     companies = spark.createDataFrame([company(), company(id=5)], COMPANY)
-    assert shortlist_counts(state, companies).first()[1:] == (2, 1)
+    assert shortlist_counts(state, companies).first()[1:] == (2, 1, "2 companies")
     assert {r["id"]: r["is_saved"] for r in shortlist.saved_flags(companies, state).collect()} == {1: True, 5: False}

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import plural
 from .search import SENTINELS
 
 
 def active_filters(briefs: DataFrame) -> DataFrame:
-    """brief_id, n_filters (tags, verticals and chosen attributes; product and text filter don't count), n_verticals."""
+    """brief_id, n_filters (tags, verticals and chosen attributes; product and text filter don't count), filters_text, n_verticals."""
     chosen = sum((F.when(F.col(c) != s, 1).otherwise(0) for c, s in SENTINELS.items()), F.lit(0))
-    return briefs.select("brief_id", (F.size("tags") + F.size("verticals") + chosen).alias("n_filters"), F.size("verticals").alias("n_verticals"))
+    df = briefs.select("brief_id", (F.size("tags") + F.size("verticals") + chosen).alias("n_filters"), F.size("verticals").alias("n_verticals"))
+    n = F.col("n_filters")
+    return df.withColumn("filters_text", F.concat_ws(" ", n, plural(F.greatest(n, F.lit(1)), "filter", "filters"), F.lit("active")))
 
 
 def run_summary(outcomes: DataFrame, companies: DataFrame, shown: DataFrame | None = None) -> DataFrame:
@@ -28,7 +31,8 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
 
 
 def shortlist_counts(shortlist: DataFrame, companies: DataFrame) -> DataFrame:
-    """Per list: n_saved (all saved ids) and n_in_view (those among the companies)."""
+    """Per list: n_saved (all saved ids), saved_text, and n_in_view (those among the companies)."""
     known = companies.select("run_id", "id", F.lit(True).alias("known")).distinct()
     df = shortlist.join(known, ["run_id", "id"], "left")
-    return df.groupBy("list_id").agg(F.count_if("saved").alias("n_saved"), F.count_if(F.col("saved") & F.col("known").isNotNull()).alias("n_in_view"))
+    counts = df.groupBy("list_id").agg(F.count_if("saved").alias("n_saved"), F.count_if(F.col("saved") & F.col("known").isNotNull()).alias("n_in_view"))
+    return counts.withColumn("saved_text", F.concat_ws(" ", "n_saved", plural(F.col("n_saved"), "company", "companies")))

@@ -44,10 +44,12 @@ def array_text(text: Column) -> Column:
 def strict_array(text: Column) -> Column:
     """text as a VARIANT if it is one JSON value and nothing more; else null.
 
-    The parser stops after a value, so the text is parsed as the only element of an array and must come out as that.
+    The parser stops after a value, so the text is parsed as the first of two elements of an array. The second is the
+    text's own hash, which the text can't hold: it comes out as the second only if all before it is one value.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
+    own = F.sha2(text, 256)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), own, F.lit('"]')))
+    return F.when(F.try_variant_get(wrapped, "$[1]", "string") == own, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
 def repaired_text(text: Column) -> Column:
@@ -57,12 +59,13 @@ def repaired_text(text: Column) -> Column:
 
 def parsed(payloads: DataFrame) -> DataFrame:
     """payloads with n_calls, records (array<variant>, null without any) and outcome."""
-    df = payloads.withColumn("content", F.from_json("body", ENVELOPE)["content"]).withColumn("reply", array_text(block_text(F.col("content"))))
+    sound = strict_array(F.col("body")).isNotNull()
+    df = payloads.withColumn("content", F.when(sound, F.from_json("body", ENVELOPE)["content"])).withColumn("reply", array_text(block_text(F.col("content"))))
     df = df.withColumn("strict", strict_array(F.col("reply"))).withColumn("mended", F.when(F.col("strict").isNull(), strict_array(repaired_text(F.col("reply")))))
     found = F.coalesce("strict", "mended")
     df = df.withColumn("records", F.try_variant_get(found, "$", "array<variant>"))
     outcome = (
-        F.when(F.try_parse_json("body").isNull(), "request_failed").when(F.col("reply").isNull(), "no_array").when(F.col("records").isNull(), "unparseable")
+        F.when(~sound, "request_failed").when(F.col("reply").isNull(), "no_array").when(F.col("records").isNull(), "unparseable")
         .when(F.size("records") == 0, "empty").when(F.col("strict").isNull(), "repaired").otherwise("parsed")
     )
     return df.select(*payloads.columns, call_count(F.col("content")).alias("n_calls"), "records", outcome.alias("outcome"))

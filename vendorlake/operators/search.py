@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import DASH, filled, joined, matches_text
+from ..functions.scalars import DASH, filled, joined, matches_text, text_filled
 from ..sources.dims import FOUNDED, OWNERSHIP, REVENUE, SIZE
 
 SENTINELS = {"ownership": OWNERSHIP[0], "revenue": REVENUE[0], "size": SIZE[0], "founded": FOUNDED[0]}
@@ -18,11 +18,9 @@ def text_filter(companies: DataFrame, q: str) -> DataFrame:
 
 
 def text_filters(companies: DataFrame, queries: dict[str, str]) -> DataFrame:
-    """The matches of each of a few saved text filters (query_id -> q), with query_id."""
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("q")) for i, q in queries.items())))
-    df = companies.withColumn("saved_query", each)
-    found = df.where(matches_text(F.col("saved_query.q"), F.col("name"), F.col("description"), F.col("verticals")))
-    return found.select("saved_query.query_id", *companies.columns)
+    """The matches of each of a few saved text filters (query_id -> q), with query_id. Rows are copied once a filter that they meet."""
+    met = [F.when(matches_text(F.lit(q), F.col("name"), F.col("description"), F.col("verticals")), F.lit(i)) for i, q in queries.items()]
+    return companies.withColumn("met_", F.array_compact(F.array(*met))).select(F.explode("met_").alias("query_id"), *companies.columns)
 
 
 def ranked(companies: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -72,18 +70,18 @@ def brief_match(companies: DataFrame, briefs: DataFrame, max_broadcast: int = 10
 def detail_card(companies: DataFrame) -> DataFrame:
     """Founded, hq, country, employees and revenue for showing; what is missing shows as a dash."""
     return companies.select(
-        "run_id", "id", filled(F.col("founded_year"), DASH).alias("founded"), *(filled(F.col(c), DASH).alias(c) for c in ("hq", "country", "employees", "revenue"))
+        "run_id", "id", filled(F.col("founded_year"), DASH).alias("founded"), *(text_filled(F.col(c), DASH).alias(c) for c in ("hq", "country", "employees", "revenue"))
     )
 
 
-def saved_header(companies: DataFrame) -> DataFrame:
-    """The line above a shortlisted company: what it has of ownership, hq, year, employees and revenue."""
-    has = lambda c, text: F.when(filled(F.col(c)) != "", text)
+def saved_header(companies: DataFrame, key: tuple[str, ...] = ("run_id", "id")) -> DataFrame:
+    """key and header, the line above a shortlisted company: what it has of ownership, hq, year, employees and revenue."""
+    has = lambda c, text: F.when((filled if c == "founded_year" else text_filled)(F.col(c)) != "", text)
     parts = F.array_compact(F.array(
         F.col("name"), has("ownership", F.col("ownership")), has("hq", F.col("hq")), has("founded_year", F.concat(F.lit("Est. "), F.col("founded_year"))),
         has("employees", F.concat("employees", F.lit(" emp"))), has("revenue", F.col("revenue")),
     ))
-    return companies.select("run_id", "id", F.array_join(parts, " | ").alias("header"))
+    return companies.select(*key, F.array_join(parts, " | ").alias("header"))
 
 
 def tag_names(brief_tags: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.search import STOCK
-from ..sources.dims import BANDS, FOUNDED, OPTIONS, OWNERSHIP, PRODUCTS, REVENUE, SIZE, VERTICALS, taxonomy
+from ..sources.dims import BANDS, FOUNDED, OPTIONS, OTHER_COLOUR, OWNER_COLOUR, OWNERSHIP, PRODUCTS, QUALITY_COLOUR, REVENUE, SIZE, VERTICALS, taxonomy
 from ..sources.standins import RECORDS_PER_REPLY, SEGMENTS, TYPES
 
 
@@ -83,10 +83,10 @@ _RUN = f"(c_custkey // {RECORDS_PER_REPLY})"
 # The customers whose records a sound reply holds, with their position; a leading null record moves it by one.
 RECORDS = f"""
     base as (
-        select c.*, {_RUN} as run, c_custkey as c, 'reply-' || {_RUN} as run_id, row_number() over (partition by {_RUN} order by c_custkey) + case when {_RUN} % 8 = 7 then 1 else 0 end as id,
+        select c.*, {_RUN} as run, c_custkey as c, 'reply-' || {_RUN} as run_id, row_number() over (partition by {_RUN} order by c_custkey) + case when {_RUN} % 10 = 7 then 1 else 0 end as id,
             {pick(PRODUCTS, _RUN)} as product from customer c
-    ), kept as (select * from base where run % 8 in (0, 1, 7))"""
-OUTCOME = "case run % 8 when 0 then 'parsed' when 1 then 'repaired' when 2 then 'unparseable' when 3 then 'unparseable' when 4 then 'no_array' when 5 then 'empty' when 6 then 'request_failed' else 'parsed' end"
+    ), kept as (select * from base where run % 10 in (0, 1, 7))"""
+OUTCOME = "case run % 10 when 0 then 'parsed' when 1 then 'repaired' when 2 then 'unparseable' when 3 then 'unparseable' when 8 then 'unparseable' when 9 then 'request_failed' when 4 then 'no_array' when 5 then 'empty' when 6 then 'request_failed' else 'parsed' end"
 _VERTICALS = "case c % 5 when 0 then 'Metals & Mining,Bulk Liquids' when 1 then 'Mining' when 4 then 'x,' else '' end"
 _SCORE = "case c % 4 when 0 then floor(c_acctbal / 100) when 1 then 91.5 else 75.0 end"
 _NAME = "case when c % 13 = 0 then '' else c_name end"
@@ -94,8 +94,8 @@ _PRODUCTS = "case c % 3 when 0 then product else product end"
 
 OUTCOMES = f"""
     with runs as (select distinct {_RUN} as run from customer), {RECORDS}
-    select 'reply-' || run as run_id, {OUTCOME} as outcome, case when run % 8 = 6 then 0 else run % 4 end as n_calls, case when run % 8 = 7 then 1 else 0 end as n_rejected,
-        coalesce(n, 0) as n_found, coalesce(n90, 0) as n_shown, run % 8 <> 6 and coalesce(n90, 0) = 0 as shows_nothing
+    select 'reply-' || run as run_id, {OUTCOME} as outcome, case when run % 10 in (6, 9) then 0 else run % 4 end as n_calls, case when run % 10 = 7 then 1 else 0 end as n_rejected,
+        coalesce(n, 0) as n_found, coalesce(n90, 0) as n_shown, run % 10 not in (6, 9) and coalesce(n90, 0) = 0 as shows_nothing
     from runs left join (select run, count(*) as n, count(*) filter ({_SCORE} >= 90) as n90 from kept group by run) using (run)"""
 
 NORMALISED = f"""
@@ -108,7 +108,7 @@ NORMALISED = f"""
 
 EVENT = "e as (select *, regexp_extract(props, '[0-9]+')::int as k from events)"
 _FACET_ROWS = ", ".join(
-    f"({i}, {array([g for g, tags in groups.items() for _ in tags][:16])}, {array([t for tags in groups.values() for t in tags][:16])})" for i, groups in enumerate(taxonomy().values())
+    f"({i}, {array([g for g, tags in groups.items() for _ in tags])}, {array([t for tags in groups.values() for t in tags])})" for i, groups in enumerate(taxonomy().values())
 )
 _ATTRS = list(OPTIONS)[:4]
 SELECTION = f"""
@@ -116,8 +116,8 @@ SELECTION = f"""
         select event_id, (ts, event_id) as at_, user_id::varchar as session_id,
             case event_type when 'click' then 'toggle_vertical' when 'view' then 'toggle_tag' when 'purchase' then 'set_attr' when 'signup' then 'set_product'
                 when 'error' then case when k % 2 = 0 then 'clear_all' else 'clear_verticals' end end as op,
-            case event_type when 'view' then grps[k % 16 + 1] when 'purchase' then {pick(_ATTRS, "k")} end as grp,
-            case event_type when 'click' then {pick(VERTICALS, "k")} when 'view' then tags[k % 16 + 1] when 'signup' then {pick(PRODUCTS, "k")}
+            case event_type when 'view' then grps[k % len(grps) + 1] when 'purchase' then {pick(_ATTRS, "k")} end as grp,
+            case event_type when 'click' then {pick(VERTICALS, "k")} when 'view' then tags[k % len(tags) + 1] when 'signup' then {pick(PRODUCTS, "k")}
                 when 'purchase' then case k % 4 {" ".join(f"when {i} then {pick(OPTIONS[a], 'event_id')}" for i, a in enumerate(_ATTRS))} end end as value
         from e join facets on product_ord = user_id % 15
     ), marks as (
@@ -175,7 +175,8 @@ ORACLE_SQL: dict[str, str] = {
     "brief_match": f"{MATCHED} select brief_id, run_id, id, name, score, tag_hits, row_number() over (partition by brief_id order by score desc, run_id, id) as rank from matched",
     "brief_filter_count": f"""
         {SELECTION} select brief_id, case when tags = '' then 0 else len(string_split(tags, '|')) end + case when verticals = '' then 0 else len(string_split(verticals, '|')) end
-            + {" + ".join(f"({a} <> {quoted(OPTIONS[a][0])})::int" for a in _ATTRS)} as n_filters, case when verticals = '' then 0 else len(string_split(verticals, '|')) end as n_verticals from briefs""",
+            + {" + ".join(f"({a} <> {quoted(OPTIONS[a][0])})::int" for a in _ATTRS)} as n_filters, case when verticals = '' then 0 else len(string_split(verticals, '|')) end as n_verticals,
+            n_filters || case when n_filters > 1 then ' filters active' else ' filter active' end as filters_text from briefs""",
     "brief_text": f"""
         with {BRIEF} select brief_id, concat_ws('; ', product, {_stock("verticals", "verticals")}, {_stock("tags", "tags")}, {", ".join(map(_phrase, _ATTRS))}) as brief from briefs""",
     "brief_chips": f"""
@@ -197,7 +198,16 @@ ORACLE_SQL: dict[str, str] = {
     "reply_records": f"with {RECORDS} select run_id, id, {_NAME} as name, product from kept",
     "reply_outcomes": OUTCOMES,
     "outcome_counts": f"with o as ({OUTCOMES}) select outcome, count(*) as n_runs, sum(n_calls)::bigint as n_calls from o group by outcome",
-    "reply_quarantine": f"with runs as (select distinct {_RUN} as run from customer) select 'reply-' || run as run_id, 0 as pos, 'not an object: VOID' as reason from runs where run % 8 = 7",
+    "reply_quarantine": f"with runs as (select distinct {_RUN} as run from customer) select 'reply-' || run as run_id, 0 as pos, 'not an object: VOID' as reason from runs where run % 10 = 7",
+    "reply_raw": f"""
+        with {RECORDS} select run_id, id, (c % 20)::int as raw_id, case c % 4 when 0 then floor(c_acctbal / 100)::bigint::varchar when 1 then '91.5' when 2 then '85' end as raw_score,
+            (6 + (c % 5 <> 0)::int + (c % 4 <> 3)::int + (c % 5 <> 3)::int + (c % 3 <> 2)::int + (c % 4 <> 3)::int)::int as n_keys from kept""",
+    "owner_colour": f"""
+        with {RECORDS}, o as (select run_id, id, case when c % 2 = 0 then 'VC-Backed' else c_mktsegment end as ownership from kept)
+        select *, case ownership {" ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in OWNER_COLOUR.items())} else {quoted(OTHER_COLOUR)} end as colour from o""",
+    "quality_colour": f"""
+        with {COMPANY}, {SHORTLIST} select list_id, run_id, id, quality,
+            case quality {" ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in QUALITY_COLOUR.items())} end as colour from shortlist""",
     "normalise_records": NORMALISED,
     "props_field": "select event_type, count(*) as n, sum(regexp_extract(props, '[0-9]+')::int)::bigint as total, max(regexp_extract(props, '[0-9]+')::int) as most from events group by event_type",
     "selection_state": f"{SELECTION} select * from briefs",
@@ -208,13 +218,13 @@ ORACLE_SQL: dict[str, str] = {
     "shortlist_header": f"""
         with {COMPANY}, {SHORTLIST} select list_id, run_id, id, concat_ws(' | ', name, ownership, hq, 'Est. ' || founded_year, employees || ' emp', revenue) as header from saved""",
     "shortlist_counts": f"""
-        with {COMPANY}, {SHORTLIST} select s.list_id, count(*) filter (saved) as n_saved, count(*) filter (saved and c.id is not null) as n_in_view
+        with {COMPANY}, {SHORTLIST} select s.list_id, count(*) filter (saved) as n_saved, count(*) filter (saved and c.id is not null) as n_in_view, n_saved || case when n_saved = 1 then ' company' else ' companies' end as saved_text
         from shortlist s left join (select run_id, id from company) c on c.run_id = s.run_id and c.id = s.id group by s.list_id""",
     "detail_card": f"""
-        with {COMPANY} select run_id, id, case when id % 3 = 0 then '—' else coalesce(founded_year::varchar, '—') end as founded, case when id % 4 = 0 then '—' else hq end as hq,
+        with {COMPANY} select run_id, id, case when id % 3 = 0 then '—' else coalesce(founded_year::varchar, '—') end as founded, case when id % 8 = 0 then '—' when id % 4 = 0 then '0' else hq end as hq,
             coalesce(country, '—') as country, coalesce(employees, '—') as employees, coalesce(revenue, '—') as revenue from company""",
     "contract_audit": f"""
-        with {RECORDS}, n as (select count(*) as n from kept), runs as (select run, count(*) + case when run % 8 = 7 then 1 else 0 end as n from kept group by run),
+        with {RECORDS}, n as (select count(*) as n from kept), runs as (select run, count(*) + case when run % 10 = 7 then 1 else 0 end as n from kept group by run),
         ids as (select run, c % 20 as i, count(*) as n from kept group by all), broken(rule, b) as (
             select 'C1 name', count(*) filter (c % 13 = 0) from kept union all select 'C2 website', count(*) filter (c % 5 in (0, 1)) from kept
             union all select 'C3 country', count(*) filter (c % 3 <> 0) from kept union all select 'C4 founded', count(*) filter (c % 4 = 1) from kept
@@ -228,7 +238,9 @@ ORACLE_SQL: dict[str, str] = {
     "export_roundtrip": f"with {COMPANY}, {SHORTLIST}, s as ({_SHEET}) select * exclude (list_id, run_id, id) from s",
 }
 ORACLE_SQL |= {
-    "stream_ingest": ORACLE_SQL["normalise_records"],
+    "stream_ingest": NORMALISED.replace("select run_id, id,", "select run_id, id, (c % 20)::int as raw_id,"),
+    "stream_quarantine": ORACLE_SQL["reply_quarantine"],
+    "stream_outcomes": f"with o as ({OUTCOMES}) select run_id, outcome, n_calls, n_rejected from o",
     "stream_shortlist": ORACLE_SQL["shortlist_state"],
     "stream_counters": ORACLE_SQL["outcome_counts"],
 }

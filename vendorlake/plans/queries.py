@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import joined, score_band
 from ..operators import audit, counters, ingest, search, shortlist
 from ..sources import standins
-from ..sources.dims import OPTIONS, VERTICALS
+from ..sources.dims import OPTIONS, OTHER_COLOUR, OWNER_COLOUR, QUALITY_COLOUR, VERTICALS
 from ..sources.scratch import new_path
 from ..sources.standins import table
 from ..streaming import jobs
@@ -55,22 +55,23 @@ def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["score_band"] = QUERIES.pop("score_bands")
 
 
-def _facet(condition: Callable[[], Column]) -> Query:
-    """How many companies of a brief's product meet one of its conditions."""
+def _facet(condition: Callable[[], Column], *needed: str) -> Query:
+    """How many companies of a brief's product meet one of its conditions; companies are counted by what it needs of them before they meet briefs."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = standins.company_profile(spark, sf_dir).withColumn("sold", F.explode("products")).alias("c")
+        c = standins.company_profile(spark, sf_dir).withColumn("sold", F.explode("products"))
+        c = c.groupBy("sold", *needed).agg(F.count("*").alias("n")).alias("c")
         on = (F.col("c.sold") == F.col("b.product")) & condition()
-        return c.join(standins.briefs(spark, sf_dir).alias("b"), on).groupBy("brief_id").agg(F.count("*").alias("n_companies"))
+        return c.join(standins.briefs(spark, sf_dir).alias("b"), on).groupBy("brief_id").agg(F.sum("c.n").alias("n_companies"))
 
     return run
 
 
 QUERIES |= {
     "facet_product": _facet(lambda: F.lit(True)),
-    "facet_vertical": _facet(lambda: search.wants_vertical(F.col("b.verticals"), F.col("c.verticals"))),
-    "facet_tags": _facet(lambda: search.wants_tags(F.col("b.tags"), F.col("c.tags"))),
-    **{f"facet_{a}": _facet(lambda a=a: search.facet("b", "c", a)) for a in search.SENTINELS},
+    "facet_vertical": _facet(lambda: search.wants_vertical(F.col("b.verticals"), F.col("c.verticals")), "verticals"),
+    "facet_tags": _facet(lambda: search.wants_tags(F.col("b.tags"), F.col("c.tags")), "tags"),
+    **{f"facet_{a}": _facet(lambda a=a: search.facet("b", "c", a), a) for a in search.SENTINELS},
 }
 
 
@@ -163,6 +164,30 @@ def reply_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingested(spark, sf_dir).quarantine.select("run_id", "pos", "reason")
 
 
+@query
+def reply_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the normaliser replaces or casts, as the raw record still has it: its own id, and founded year and score as JSON."""
+    raw = F.to_json("raw")
+    return _ingested(spark, sf_dir).companies.select(
+        "run_id", "id", F.get_json_object(raw, "$.id").cast("int").alias("raw_id"), F.get_json_object(raw, "$.score").alias("raw_score"), F.size(F.json_object_keys(raw)).alias("n_keys")
+    )
+
+
+@query
+def owner_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each company's colour by its ownership, or the one for others."""
+    colours = spark.createDataFrame(list(OWNER_COLOUR.items()), "label string, colour string")
+    found = _ingested(spark, sf_dir).companies.select("run_id", "id", "ownership")
+    return search.with_lookup(found, colours, "ownership", "label", "colour", OTHER_COLOUR)
+
+
+@query
+def quality_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each shortlisted company's colour by its quality; none where the quality has none."""
+    colours = spark.createDataFrame(list(QUALITY_COLOUR.items()), "label string, colour string")
+    return search.with_lookup(_shortlist(spark, sf_dir).select("list_id", "run_id", "id", "quality"), colours, "quality", "label", "colour", None)
+
+
 def _flat(companies: DataFrame) -> DataFrame:
     columns = ("run_id", "id", "name", "website", "country", "founded_year", "employees", "ownership", "score")
     return companies.select(*columns, *(joined(F.col(c), ",").alias(c) for c in ("verticals", "products", "tags")))
@@ -217,7 +242,7 @@ def shortlist_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def shortlist_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = _saved(spark, sf_dir)
-    return search.saved_header(saved).join(saved.select("list_id", "run_id", "id"), ["run_id", "id"]).distinct().select("list_id", "run_id", "id", "header")
+    return search.saved_header(saved, ("list_id", "run_id", "id"))
 
 
 @query
@@ -228,7 +253,7 @@ def shortlist_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def detail_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = standins.company_profile(spark, sf_dir)
-    df = df.withColumns({"founded_year": F.when(F.col("id") % 3 != 0, F.col("founded_year")), "hq": F.when(F.col("id") % 4 != 0, F.col("hq")).otherwise("")})
+    df = df.withColumns({"founded_year": F.when(F.col("id") % 3 != 0, F.col("founded_year")), "hq": F.when(F.col("id") % 4 != 0, F.col("hq")).when(F.col("id") % 8 == 0, "").otherwise("0")})
     return search.detail_card(df)
 
 
@@ -254,12 +279,28 @@ def _landed(df: DataFrame, name: str) -> DataFrame:
     return jobs.file_stream(spark, path, df.schema)
 
 
-@query
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, sink: str) -> DataFrame:
+    """One of the tables that the payload stream writes."""
     source = _landed(standins.payloads(ingest.allow_repeated_keys(spark), sf_dir), "landed")
     out = new_path(spark, "ingested")
     jobs.start_ingest(source, out, new_path(spark, "checkpoint")).awaitTermination()
-    return _flat(spark.read.parquet(f"{out}/companies"))
+    return spark.read.parquet(f"{out}/{sink}")
+
+
+@query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _streamed(spark, sf_dir, "companies")
+    return _flat(found).join(found.select("run_id", "id", F.get_json_object("raw", "$.id").cast("int").alias("raw_id")), ["run_id", "id"])
+
+
+@query
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, "quarantine").select("run_id", "pos", "reason")
+
+
+@query
+def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, "outcomes").select("run_id", "outcome", "n_calls", "n_rejected")
 
 
 @query

@@ -87,23 +87,24 @@ def record_json(c: Column, name: Column, segment: Column, balance: Column, produ
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reply per RECORDS_PER_REPLY customers; by the run's number modulo 8: sound, trailing comma, prose bracket, cut short, no array, empty array, no JSON, a null record."""
+    """A reply per RECORDS_PER_REPLY customers; by the run's number modulo 10: sound, trailing comma, prose bracket, cut short, no array, empty array, no JSON, a null record, a surplus bracket, text after the JSON."""
     c = F.col("c_custkey")
     run = F.floor(c / RECORDS_PER_REPLY).cast("long")
     df = table(spark, sf_dir, "customer").select(run.alias("run"), pick(PRODUCTS, run).alias("product"), c, "c_name", "c_mktsegment", "c_acctbal")
     df = df.select("run", "product", "c_custkey", record_json(c, F.col("c_name"), F.col("c_mktsegment"), F.col("c_acctbal"), F.col("product")).alias("r"))
     df = df.groupBy("run", "product").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "r"))), lambda x: x["r"]), ",").alias("rs"))
-    m, rs, lit = F.col("run") % 8, F.col("rs"), F.lit
+    m, rs, lit = F.col("run") % 10, F.col("rs"), F.lit
     whole = F.concat(lit("["), rs, lit("]"))
     text = (
         F.when(m == 0, F.concat(lit("Here: "), whole, lit(" done"))).when(m == 1, F.concat(lit("["), rs, lit(", ]"))).when(m == 2, F.concat(lit("see [1] then "), whole))
-        .when(m == 3, F.substring(whole, lit(1), (F.length(whole) / 2).cast("int"))).when(m == 4, lit("no list here")).when(m == 5, lit("[]")).otherwise(F.concat(lit("[null,"), rs, lit("]")))
+        .when(m == 3, F.substring(whole, lit(1), (F.length(whole) / 2).cast("int"))).when(m == 4, lit("no list here")).when(m == 5, lit("[]"))
+        .when(m == 8, F.concat(whole, lit("]"))).when(m == 9, whole).otherwise(F.concat(lit("[null,"), rs, lit("]")))
     )
     block = lambda kind, text, name: F.struct(lit(kind).alias("type"), text.cast("string").alias("text"), lit(name).cast("string").alias("name"))
     calls = F.array_repeat(block("tool_use", lit(None), "web_search"), (F.col("run") % 4).cast("int"))
     body = F.to_json(F.struct(F.concat(calls, F.array(block("text", text, None))).alias("content")))
     return df.select(
-        F.concat(lit("reply-"), F.col("run")).alias("run_id"), "product", F.timestamp_seconds(F.col("run") * 60).alias("received_at"), F.when(m == 6, "oops").otherwise(body).alias("body")
+        F.concat(lit("reply-"), F.col("run")).alias("run_id"), "product", F.timestamp_seconds(F.col("run") * 60).alias("received_at"), F.when(m == 6, "oops").when(m == 9, F.concat(body, lit(" x"))).otherwise(body).alias("body")
     )
 
 
@@ -115,10 +116,10 @@ def selection_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as clicks on a brief: click and view toggle, purchase sets an attribute, signup the product, error clears."""
     e = _k(table(spark, sf_dir, "events"))
     facets = dim_facet(spark)
-    w = facets.groupBy("product_ord").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("group_ord", "tag_ord", "grp", "tag"))), lambda x: F.struct(x["grp"].alias("grp"), x["tag"].alias("tag"))), 1, 16).alias("facets"))
+    w = facets.groupBy("product_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("group_ord", "tag_ord", "grp", "tag"))), lambda x: F.struct(x["grp"].alias("grp"), x["tag"].alias("tag"))).alias("facets"))
     e = e.withColumn("product_ord", (F.col("user_id") % 15).cast("int")).join(F.broadcast(w), "product_ord")  # 15 rows
     kind, k = F.col("event_type"), F.col("k")
-    facet = F.element_at("facets", (k % 16 + 1).cast("int"))
+    facet = F.element_at("facets", (k % F.size("facets") + 1).cast("int"))
     attrs = list(OPTIONS)[:4]
     op = (
         F.when(kind == "click", "toggle_vertical").when(kind == "view", "toggle_tag").when(kind == "purchase", "set_attr").when(kind == "signup", "set_product")
