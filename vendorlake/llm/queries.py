@@ -120,8 +120,10 @@ def _places(phrase: str) -> str:
 
 
 def _templates() -> str:
-    rows = ((label, sorted(set(text.split()))) for label, text in licenses.TEMPLATES.items())
-    return ", ".join(f"('{label}', {_listed(' '.join(words))}, {-(-80 * len(words) // 100)})" for label, words in rows)
+    """(label, distinct words, least number of them, block length, telling word or null) of each template."""
+    rows = ((label, text.split(), sorted(set(text.split()))) for label, text in licenses.TEMPLATES.items())
+    telling = {label: f"'{w}'" for label, w in licenses.TELLING.items()}
+    return ", ".join(f"('{label}', {_listed(' '.join(own))}, {-(-80 * len(own) // 100)}, {len(words)}, {telling.get(label, 'null')})" for label, words, own in rows)
 
 
 _BASE = {label: f"p{i}" for i, label in enumerate(licenses.PHRASES.values())}
@@ -145,20 +147,21 @@ ORACLE_SQL: dict[str, str] = {
         from d left join n using (doc_id) left join reach on reach.x = doc_id group by doc_id, n.n
     """,
     "op8_license_scans": f"""
-        with d as (select doc_id, {_LOWERED.format("coalesce(text, '')")} as t from documents), base as (
-            select doc_id, len(w) as n_words, {", ".join(f"{_places(p)} as {_BASE[label]}" for p, label in licenses.PHRASES.items())} from (select doc_id, {_WORDS.format("t")} as w from d)
-        ), templates(label, words, need) as (values {_templates()}),
-        blocks as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as block from d),
-        held as (select doc_id, block, list_distinct({_WORDS.format("line")}) as h from blocks),
-        met as (select doc_id, block, label, len(list_intersect(h, words)) / len(words) as c from held join templates on len(h) >= need and len(list_intersect(h, words)) >= need),
-        more as (select doc_id, list(distinct label) as labels, max(c) as best, count(distinct block) as n_blocks from met group by doc_id),
+        with d as (select doc_id, {_WORDS.format(_LOWERED.format("coalesce(text, '')"))} as w from documents), base as (
+            select doc_id, len(w) as n_words, {", ".join(f"{_places(p)} as {_BASE[label]}" for p, label in licenses.PHRASES.items())} from d
+        ), templates(label, words, need, size, telling) as (values {_templates()}),
+        may as (select * from d join templates on len(list_intersect(w, words)) >= need and (telling is null or list_contains(w, telling))),
+        blocks as (select doc_id, label, words, need, telling, unnest([w[i:i + size - 1] for i in range(1, len(w) + 1)]) as block from may),
+        met as (select doc_id, label, max(len(list_intersect(block, words)) / len(words)) as c from blocks
+            where len(list_intersect(block, words)) >= need and (telling is null or list_contains(block, telling)) group by doc_id, label),
+        more as (select doc_id, list(label) as labels, max(c) as best, count(*) as n_templates from met group by doc_id),
         named as (
             select *, list_concat({", ".join(f"case when len({c}) > 0 then ['{label}'] else []::varchar[] end" for label, c in _BASE.items())}) as own,
                 list_concat({", ".join(_BASE.values())}) as places from base
         )
         select doc_id, n_words, len(places) as n_base, list_min(places) as first_word, list_max(places) as last_word, array_to_string(list_sort(own), ',') as base_labels,
             array_to_string(list_sort(list_distinct(list_concat(own, coalesce(labels, [])))), ',') as labels,
-            case when len(own) > 0 then 1.0::double else coalesce(best, 0.0)::double end as score, coalesce(n_blocks, 0) as n_blocks
+            case when len(own) > 0 then 1.0::double else coalesce(best, 0.0)::double end as score, coalesce(n_templates, 0) as n_templates
         from named left join more using (doc_id)
     """,
 }
