@@ -276,7 +276,7 @@ def test_search_probing_all_is_exact(spark):
     odd = [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [1.0] * 3), (904, [None] * 8), (905, [float("inf")] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame([(i, v, "x") for i, v in good + odd], "vec_id long, embedding array<float>, score string")
     got = {}
-    for r in multi_index.search(df, df.where("vec_id % 20 = 0 or vec_id > 899"), k=20, probe=1.0).orderBy("query_id", "rank").collect():
+    for r in multi_index.search(df, df.where("vec_id % 20 = 0 or vec_id > 899"), k=20, probe=1.0, queries_a_block=4).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     want = brute_nearest(good, [x for x in good if x[0] % 20 == 0], 20)
     assert got.keys() == want.keys()

@@ -4,8 +4,9 @@ Vectors are cut in two halves, each half quantised by its own codebook of K cent
 two nearest centroids, so K + K centroids give K * K cells. A query scores each half's centroids, and a heap walks the
 pairs of centroids from the best summed score down, until the cells passed hold the share `probe` of all vectors. Their
 entries are reranked by the exact inner product. The codebooks are fitted on a bounded sample (SAMPLE vectors, those of the smallest
-hashed ids); every vector is indexed. Searches are dealt out by cell and by block of BLOCK entries within a cell, so
-neither a crowded cell nor a popular one is one task's work, and each block hands on only its `k` best for a query.
+hashed ids); every vector is indexed. Searches are dealt out by cell, by block of about BLOCK entries within a cell and
+by block of about QUERIES queries, so neither a crowded cell nor a popular one is one task's work, and each block hands on
+only its `k` best for a query.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import written
+from .shipping import ship
 
-CENTROIDS, SAMPLE, BLOCK, ROUNDS = 16, 8192, 2048, 12
+CENTROIDS, SAMPLE, BLOCK, QUERIES, ROUNDS = 16, 8192, 2048, 4096, 12
 #: The share of the vectors that a query is compared with. On vectors without structure beyond a few clusters the twenty
 #: nearest lie almost anywhere in a cluster, so recall follows this share and not the number of vectors.
 PROBE = 0.6
@@ -78,7 +80,7 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    centroids: int = CENTROIDS, sample: int = SAMPLE, probe: float = PROBE,
+    centroids: int = CENTROIDS, sample: int = SAMPLE, probe: float = PROBE, queries_a_block: int = QUERIES,
 ) -> DataFrame:
     """The k vectors found nearest to each query by inner product (double precision), other than the one of the query's
     own id: query_id (long), rank (int, from 1), id_col (long), score (double); ties go to the smaller id.
@@ -87,7 +89,7 @@ def search(
     length than the sample's most common one, nor null ids. Fewer candidates than k give fewer rows. A repeated id counts
     once a vector. Other columns are ignored, whatever their names.
     """
-    spark = vectors.sparkSession
+    spark = ship(vectors.sparkSession)
     result = f"query_id long, rank int, {id_col} long, score double"
     base = valid(vectors, id_col, vector_col).distinct()
     fit = base.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
@@ -125,9 +127,12 @@ def search(
                     ["query", "v", "cell", "block"],
                 )
 
-    asked = valid(queries, id_col, vector_col).distinct().where(F.size("v") == dim).mapInArrow(route, "query long, v array<double>, cell int, block int")
+    asking = valid(queries, id_col, vector_col).distinct().where(F.size("v") == dim)
+    parts = asking.count() // queries_a_block + 1
+    asked = asking.mapInArrow(route, "query long, v array<double>, cell int, block int").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
     per_cell = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(counts), dtype=np.int32), "blocks": np.maximum((counts + BLOCK - 1) // BLOCK, 1)}), "cell int, blocks long")
     entries = index.join(F.broadcast(per_cell), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else entries.withColumn("part", F.lit(0))
 
     def best(asking: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         """Of one block the k nearest of each query that walks its cell; sums in one order, so that equal vectors score alike."""
@@ -148,6 +153,6 @@ def search(
         found = [np.concatenate(c) if c else np.zeros(0) for c in columns]
         return pd.DataFrame({"query_id": found[0].astype(np.int64), id_col: found[1].astype(np.int64), "score": found[2]})
 
-    found = asked.groupBy("cell", "block").cogroup(entries.groupBy("cell", "block")).applyInPandas(best, f"query_id long, {id_col} long, score double")
+    found = asked.groupBy("cell", "block", "part").cogroup(entries.groupBy("cell", "block", "part")).applyInPandas(best, f"query_id long, {id_col} long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_col)).alias("rank")
     return found.select("query_id", rank, id_col, "score").where(F.col("rank") <= k)
