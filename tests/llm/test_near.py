@@ -227,6 +227,22 @@ def test_repeated_passages_are_found_and_others_left(spark):
         assert got[d]["n_bytes"] == b - a and got[d]["n_spans"] == 1
 
 
+def test_deduplicated_texts_keep_the_first_copy(spark):
+    r = random.Random(14)
+    fresh = lambda n: " ".join("".join(r.choices("abcdéfghij", k=r.randrange(2, 9))) for _ in range(n))
+    passage, rows = fresh(120), [(9, None), (None, "é x"), (None, "é x")]
+    rows += [(i, f"{fresh(60)} {passage} {fresh(60)}") for i in (1, 2, 3)]
+    docs = spark.createDataFrame([(*x, "") for x in rows], "doc_id long, text string, kept_text string")
+    got = {x["doc_id"]: x["kept_text"] for x in chunk_dedup.deduplicated(docs).collect()}
+    assert got[1] == rows[3][1] and got[9] == "" and got[None] == "é x" and chunk_dedup.deduplicated(docs).count() == len(rows)
+    for i in (2, 3):
+        text = rows[2 + i][1]
+        head, tail = text.split(passage)
+        assert got[i].startswith(head) and got[i].endswith(tail) and len(got[i]) < len(text) - 0.7 * len(passage)
+    spans = {x["doc_id"]: x["keepers"] for x in chunk_dedup.repeated_spans(docs).collect()}
+    assert spans == {1: "1", 2: "1", 3: "1"}
+
+
 def test_query_5_spans_repeat(spark, sf):
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = op5_substring_dedup(spark, sf).collect()

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import written
+from .shipping import ship
 from .wordhash import SPACED, Words, _powers, mix, pieces
 
 REACH = 16
@@ -124,16 +125,15 @@ def _in_two(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(met, keys)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
-    """Spans of text that stand in other documents too, one row per document that has any: id_col, n_spans (long),
-    n_bytes (long, in all spans), n_words (long), first_id (the smallest document that holds one of its spans), spans
-    (string: start:stop in bytes of UTF-8, comma-joined in order).
+def span_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
+    """Spans of text that stand in other documents too, a row each: id, text_key, start, stop (bytes of UTF-8), words, and
+    keeper (the smallest document that holds a part of it, whose copy stays).
 
     A span is kept if at least min_words words begin in it; as about 15 and seldom 30 words at the ends of a repeated
     passage lie outside its span, 20 finds passages of over 50 words. Null and empty texts have no chunk and no row. A null id takes
-    no part. Rows that repeat an id are one document, whose texts' spans are
-    listed together; a text repeated under its id counts once. Other columns are ignored.
+    no part. Rows that repeat an id are one document; a text repeated under its id counts once. Other columns are ignored.
     """
+    ship(docs.sparkSession)
     shared = _in_two(chunks(docs, id_col, text_col).where("id is not null"), ["digest"]).drop("first_id").distinct()
     shared = written(spread(shared), "shared")
     w = W.partitionBy("id", "text_key").orderBy("start")
@@ -152,11 +152,54 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reached = F.max("stop3").over(by.rowsBetween(W.unboundedPreceding, -1))
     numbered = whole.withColumn("fresh", F.when(F.col("start") < reached, 0).otherwise(1)).withColumn("span", F.sum("fresh").over(by))
     # Overlapping runs of three: each adds its first chunk's words, the last of the span those of all three.
-    spans = numbered.groupBy("id", "text_key", "span").agg(
-        F.min("start").alias("start"), F.max("stop3").alias("stop"), F.min("first_id").alias("first_id"),
+    return numbered.groupBy("id", "text_key", "span").agg(
+        F.min("start").alias("start"), F.max("stop3").alias("stop"), F.min("first_id").alias("keeper"),
         (F.sum("words") + F.max_by(F.col("words3") - F.col("words"), "start")).alias("words"),
-    ).where(F.col("words") >= min_words)
-    return spans.groupBy("id").agg(
-        F.count("*").alias("n_spans"), F.sum(F.col("stop") - F.col("start")).alias("n_bytes"), F.sum("words").alias("n_words"), F.min("first_id").alias("first_id"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "stop"))), lambda s: F.concat_ws(":", s.start, s.stop)), ",").alias("spans"),
-    ).withColumnRenamed("id", id_col)
+    ).where(F.col("words") >= min_words).drop("span")
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
+    """The spans of span_rows(), one row per document that has any: id_col, n_spans (long), n_bytes (long, in all spans),
+    n_words (long), first_id (the smallest document that holds one of its spans), spans (string: start:stop in bytes of
+    UTF-8, comma-joined in order), keepers (string: the documents whose copies of these spans stay, comma-joined alike).
+    The spans of several texts under one id are listed together.
+    """
+    listed = F.sort_array(F.collect_list(F.struct("start", "stop", "keeper")))
+    found = span_rows(docs, id_col, text_col, min_words).groupBy("id").agg(
+        F.count("*").alias("n_spans"), F.sum(F.col("stop") - F.col("start")).alias("n_bytes"), F.sum("words").alias("n_words"), F.min("keeper").alias("first_id"), listed.alias("l"),
+    )
+    return found.select(
+        F.col("id").alias(id_col), "n_spans", "n_bytes", "n_words", "first_id",
+        F.array_join(F.transform("l", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",").alias("spans"), F.array_join(F.transform("l", lambda s: s["keeper"]), ",").alias("keepers"),
+    )
+
+
+def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str:
+    """The text without these spans (bytes of UTF-8, in order); a character that a span cuts in two stays."""
+    data, out, at = (text or "").encode(), [], 0
+    inside = lambda i: i < len(data) and 0x80 <= data[i] < 0xC0
+    for start, stop in spans:
+        while inside(start):
+            start += 1
+        while inside(stop):
+            stop -= 1
+        if stop > start:
+            out.append(data[at:start])
+            at = stop
+    return b"".join([*out, data[at:]]).decode()
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
+    """One row per row of docs: id_col and kept_text (string: the text without the spans that a document of a smaller id
+    keeps). Null texts give empty ones; null ids keep their texts; repeated rows come out as often as they came in.
+    """
+    spans = span_rows(docs, id_col, text_col, min_words).where("keeper < id")
+    spans = spans.groupBy("id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("l"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            kept = [without_spans(t, [(s["start"], s["stop"]) for s in x or ()]) for t, x in zip(batch.column("text").to_pylist(), batch.column("l").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.string())], ["id", "kept_text"])
+
+    return d.join(spans, ["id", "text_key"], "left").select("id", "text", "l").mapInArrow(cut, "id long, kept_text string").withColumnRenamed("id", id_col)
