@@ -49,3 +49,19 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_stages_of_odd_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    text = "the and of a sentence that is not in any other document here at all"
+    odd = spark.createDataFrame([(None, text, None, None, None), (9100, text + " twice", "en", "s", 1), (9100, text + " twice", "en", "s", 1), (9101, None, None, "s", None), (9102, "", "en", None, 0)], docs.schema)
+    docs = docs.unionByName(odd).selectExpr("*", "'x' as score", "1 as id", "'y' as key")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.where("false"), sf)
+        assert none.count() == 0, name
+        found = stage(spark, docs, sf)
+        ids = [r["doc_id"] for r in found.collect()]
+        # Repeated rows stay as often as they stand, and a null id stays, wherever the text does.
+        assert ids.count(9100) == 2 and ids.count(None) == 1, name
+        assert (9101 in ids) == (9102 in ids) == (name != "language_id"), name
+        assert found.columns == COLUMNS or name == "tokens", name
