@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents. run()
 writes each stage's result in the shared folder and rereads it as the next one's docs.
+
+In every stage columns beyond those of documents are left behind, whatever their names; an empty table gives an empty one.
+Rows with a null doc_id are judged by their text in language_id, personal_data and tokens, and stay in near_duplicates and
+decontamination, which decide by id. Rows that repeat an id are one document there: they go or stay together, as often as
+they stand.
 """
 
 from __future__ import annotations
