@@ -6,6 +6,7 @@ import re
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -301,6 +302,30 @@ def test_recall(spark):
     assert np.mean([len(got[q] & {i for i, _ in found}) / 20 for q, found in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("n", [3000, 12000])
+def test_recall_of_larger_indexes(spark, n):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(10, 32))[rng.integers(0, 10, n)] + rng.normal(size=(n, 32)) / 2
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": [v.tolist() for v in x]}))
+    got = {}
+    for r in multi_index.search(df, df.where("vec_id % 20 = 0"), k=20, queries_a_block=200).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    scores = x[::20] @ x.T
+    scores[np.arange(len(scores)), np.arange(0, n, 20)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(got[20 * i] & set(w.tolist())) / 20 for i, w in enumerate(want)]) >= 0.9
+
+
+def test_nearest_breaks_ties_by_id():
+    scores = np.array([[1.0, 3, 3, 3, -np.inf], [-np.inf] * 5, [5, 4, 3, 2, 1]])
+    row, column = multi_index.nearest(np.array([9, 8, 7, 6, 5]), scores, 2)
+    assert list(zip(row.tolist(), column.tolist(), strict=True)) == [(0, 3), (0, 2), (2, 0), (2, 1)]
+
+
+def test_centroids_grow_with_the_vectors():
+    assert [multi_index.centroids_for(n) for n in (0, 5000, 51_282, 10**6, 10**9)] == [16, 16, 64, 128, 128]
+
+
 def test_walk_is_in_order():
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=6), rng.normal(size=5)
