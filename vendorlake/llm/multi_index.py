@@ -13,7 +13,8 @@ The codebooks are fitted on a bounded sample (SAMPLE vectors, those of the small
 Neighbouring cells form buckets of about BLOCK entries, a crowded cell several; a query goes once to each bucket in which
 it has a cell, with the score down to which it walks, and is compared with the entries of its own cells there. Searches
 are dealt out by bucket and by part of about QUERIES queries, so neither a crowded cell nor a popular one is one task's
-work, and each bucket hands on only its `k` best for a query.
+work. The bucket of a query's best cell comes first and hands on its `k` best; the others hand on what is as good as the
+last of these, at most `k` each, so that what is handed on grows much less than the number of buckets.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from .scratch import written
 from .shipping import ship
 
-SAMPLE, BLOCK, QUERIES, ROUNDS = 8192, 2048, 4096, 12
+SAMPLE, BLOCK, QUERIES, ROUNDS = 8192, 8192, 4096, 12
+#: Queries in a task that walks.
+WALKS = 256
 #: The fewest and the most centroids of a half.
 CENTROIDS = (16, 128)
 #: So many queries, those of the smallest hashed ids, are compared with all vectors; the walk's length is what this share of their true neighbours needs.
@@ -190,32 +193,35 @@ def search(
     blocks = np.maximum((counts + BLOCK - 1) // BLOCK, 1)
     asking = written(valid(queries, id_col, vector_col).distinct().where(F.size("v") == dim), "asking")
     walk = _walk_needed(index, asking, books, counts, k, recall) if probe is None else probe * counts.sum()
+    walk = max(walk, k + 1)  # the query itself may be among them
     layout = spark.sparkContext.broadcast((counts, bucket, blocks))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block of each bucket that holds a cell of a query's walk; its last cell's score, less what rounding may change, is its floor."""
+        """A row for each block of each bucket that holds a cell of a query's walk. Its last cell's score, less what rounding may change, is its floor; one block of its best cell comes first."""
         (a, b), (n, bucket, blocks) = held.value, layout.value
         for batch in batches:
             row, where = [], []
             floors = np.zeros(batch.num_rows)
             for i, m in enumerate(_matrix(batch.column("v"), dim)):
                 left, right = a @ m[:half], b @ m[half:]
-                if cells := np.array(cells_by_score(left, right, n, walk), np.int64).tolist():
-                    last = cells[-1]
+                if cells := cells_by_score(left, right, n, walk):
+                    last, first = cells[-1], int(bucket[cells[0]])
                     floors[i] = left[last // len(b)] + right[last % len(b)] - 1e-9 * (np.abs(left).max() + np.abs(right).max())
                     places = sorted({(int(bucket[c]), s) for c in cells for s in range(int(blocks[c]))})
                     row += [i] * len(places)
-                    where += places
+                    where += [(t, s, (t, s) == (first, 0)) for t, s in places]
             for at in range(0, len(row), BLOCK):
                 some = pa.array(row[at : at + BLOCK])
-                to = np.array(where[at : at + BLOCK], np.int32).reshape(-1, 2)
+                to = np.array(where[at : at + BLOCK], np.int32).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(some), batch.column("v").take(some), pa.array(floors).take(some), pa.array(to[:, 0]), pa.array(to[:, 1])],
-                    ["query", "v", "floor", "bucket", "block"],
+                    [batch.column("id").take(some), batch.column("v").take(some), pa.array(floors).take(some), pa.array(to[:, 0]), pa.array(to[:, 1]), pa.array(to[:, 2] > 0)],
+                    ["query", "v", "floor", "bucket", "block", "first"],
                 )
 
-    parts = asking.count() // queries_a_block + 1
-    asked = asking.mapInArrow(route, "query long, v array<double>, floor double, bucket int, block int").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
+    n_queries = asking.count()
+    parts = n_queries // queries_a_block + 1
+    asked = asking.repartition(n_queries // WALKS + 1).mapInArrow(route, "query long, v array<double>, floor double, bucket int, block int, first boolean")
+    asked = written(asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")), "asked")
     per_cell = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(counts), dtype=np.int32), "bucket": bucket, "blocks": blocks}), "cell int, bucket int, blocks long")
     entries = index.join(F.broadcast(per_cell), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
     entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else entries.withColumn("part", F.lit(0))
@@ -231,20 +237,27 @@ def search(
             own = cell[starts]
             for at in range(0, len(asking), _TOGETHER):
                 some = asking.iloc[at : at + _TOGETHER]
-                q, v, floor = some["query"].to_numpy(), np.stack(some["v"].to_numpy()), some["floor"].to_numpy()
+                q, v, floor, least = some["query"].to_numpy(), np.stack(some["v"].to_numpy()), some["floor"].to_numpy(), some["least"].to_numpy()
                 walked = (v[:, :half] @ a.T)[:, own // len(b)] + (v[:, half:] @ b.T)[:, own % len(b)] >= floor[:, None]
                 scores = np.full((len(q), len(ids)), -np.inf)
                 for c, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True)):
                     rows = np.flatnonzero(walked[:, c])
                     scores[rows, lo:hi] = _dot(v[rows], m[lo:hi])
-                scores[q[:, None] == ids[None, :]] = -np.inf
+                scores[(q[:, None] == ids[None, :]) | (scores < least[:, None])] = -np.inf
                 row, column = nearest(ids, scores, k)
                 for out, x in zip(columns, (q[row], ids[column], scores[row, column]), strict=True):
                     out.append(x)
         found = [np.concatenate(c) if c else np.zeros(0) for c in columns]
         return pd.DataFrame({"query_id": found[0].astype(np.int64), id_col: found[1].astype(np.int64), "score": found[2]})
 
-    group = ("bucket", "block", "part")
-    found = asked.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(best, f"query_id long, {id_col} long, score double")
+    def searched(asked: DataFrame) -> DataFrame:
+        group = ("bucket", "block", "part")
+        return asked.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(best, f"query_id long, {id_col} long, score double")
+
+    first = written(searched(asked.where("first").withColumn("least", F.lit(float("-inf")))), "first")
+    # The k-th best so far; a query with fewer so far takes whatever comes.
+    least = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("query"), "least")
+    rest = asked.where("not first").join(least, "query", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    found = first.unionByName(searched(rest))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_col)).alias("rank")
     return found.select("query_id", rank, id_col, "score").where(F.col("rank") <= k)
