@@ -25,8 +25,6 @@ from .wordhash import SPACED, Words, _powers, mix, pieces
 
 REACH = 16
 LONGEST = 1024
-#: Keys of up to so many rows (24 bytes each) go to every executor.
-BROADCAST_ROWS = 500_000
 _CHUNKS = "id long, text_key long, digest long, place long"
 
 
@@ -124,13 +122,11 @@ def spread(chunked: DataFrame) -> DataFrame:
 def _in_two(df: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose key stands in two documents, with first_id, the smallest of these.
 
-    Counts are pre-aggregated. The keys met are a table of their own: up to BROADCAST_ROWS go to every executor, so that the
-    rows of a hot key stay where they are; beyond, both sides of the join are plain shuffles, whose large partitions
-    adaptive execution splits.
+    Counts are pre-aggregated. The keys met are a table of their own, so that both sides of the join are plain shuffles,
+    whose large partitions, as of a hot key, adaptive execution splits.
     """
     met = df.groupBy(*keys).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    met = written(met, "met")
-    return df.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met.hint("merge"), keys)
+    return df.join(written(met, "met").hint("merge"), keys)
 
 
 def span_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
