@@ -122,8 +122,9 @@ def spread(chunked: DataFrame) -> DataFrame:
 def _in_two(df: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose key stands in two documents, with first_id, the smallest of these.
 
-    Counts are pre-aggregated. The keys met are a table of their own, so that both sides of the join are plain shuffles,
-    whose large partitions, as of a hot key, adaptive execution splits.
+    Counts are pre-aggregated. The keys met are a table of their own, so that both sides of the join are plain shuffles.
+    A hot key's rows are still one task's: a distinct or grouping that follows on the join's partitions keeps adaptive
+    execution from splitting them.
     """
     met = df.groupBy(*keys).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").drop("last_id")
     return df.join(written(met, "met").hint("merge"), keys)
