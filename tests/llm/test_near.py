@@ -267,3 +267,19 @@ def test_spans_of_a_repeated_row_with_a_partner(spark):
     assert set(once) == {1, 2} and find([(1, long), (1, long), (2, long)]) == once
     both = find([(1, long), (1, other), (2, long), (3, other)])
     assert set(both) == {1, 2, 3} and both[1][0] == both[2][0] + both[3][0] and both[1][1] == both[2][1] + both[3][1]
+
+
+def test_hot_digest_is_dealt_into_parts_and_keeps_every_row(spark):
+    rows = [(i, 7, i) for i in range(6000)] + [(i, 100 + i // 2, 0) for i in range(3000)] + [(1, 5, 3), (1, 5, 9)]
+    df = spark.createDataFrame(rows, "id long, digest long, place long")
+    got = chunk_dedup._in_two(df, ["digest"]).collect()
+    ids = {}
+    for i, d, _ in rows:
+        ids.setdefault(d, set()).add(i)
+    assert sorted((r["id"], r["digest"], r["place"], r["first_id"]) for r in got) == sorted((i, d, p, min(ids[d])) for i, d, p in rows if len(ids[d]) > 1)
+    per_part = {}
+    for r in got:
+        if r["digest"] == 7:
+            per_part[r["salt"]] = per_part.get(r["salt"], 0) + 1
+    assert len(per_part) > 1000 and max(per_part.values()) < 30
+    assert not chunk_dedup._in_two(df.limit(0), ["digest"]).collect()

@@ -25,6 +25,8 @@ from .wordhash import SPACED, Words, _powers, mix, pieces
 
 REACH = 16
 LONGEST = 1024
+#: A digest with more than 1 in HOT of the rows is hot.
+HOT = 4096
 _CHUNKS = "id long, text_key long, digest long, place long"
 
 
@@ -120,14 +122,21 @@ def spread(chunked: DataFrame) -> DataFrame:
 
 
 def _in_two(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key stands in two documents, with first_id, the smallest of these.
+    """The rows whose key stands in two documents, with first_id, the smallest of these, and salt, which follows from the
+    key, id and place or start.
 
-    Counts are pre-aggregated. The keys met are a table of their own, so that both sides of the join are plain shuffles.
-    A hot key's rows are still one task's: a distinct or grouping that follows on the join's partitions keeps adaptive
-    execution from splitting them.
+    Counts are pre-aggregated, and the keys met are a table of their own. A key that holds more than 1 in HOT of its rows
+    is dealt into parts of about that many, by salt; such keys are fewer than HOT, and so is what they add to the table.
     """
-    met = df.groupBy(*keys).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    return df.join(written(met, "met").hint("merge"), keys)
+    met = df.groupBy(*keys).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n")).where("first_id < last_id").drop("last_id")
+    met = written(met, "met")
+    fair = (met.agg(F.sum("n")).first()[0] or 0) // HOT + 1
+    hot = met.where(F.col("n") > fair).select(*keys, F.ceil(F.col("n") / fair).cast("int").alias("parts"))
+    salt = F.pmod(F.xxhash64("id", "place" if "place" in df.columns else "start"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = df.join(F.broadcast(hot), keys, "left").withColumn("salt", salt).drop("parts")
+    parts = F.when(F.col("n") > fair, F.ceil(F.col("n") / fair).cast("int")).otherwise(1)
+    copies = met.select(*keys, "first_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    return dealt.join(copies.hint("merge"), [*keys, "salt"])
 
 
 def span_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
@@ -140,7 +149,7 @@ def span_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     ship(docs.sparkSession)
     shared = _in_two(chunks(docs, id_col, text_col).where("id is not null"), ["digest"]).drop("first_id").distinct()
-    shared = written(spread(shared), "shared")
+    shared = written(spread(shared.drop("salt")), "shared")
     w = W.partitionBy("id", "text_key").orderBy("start")
     after = lambda c, n: F.lead(c, n).over(w)
     run = shared.withColumns(
