@@ -37,6 +37,8 @@ _CARD = r"[0-9]++(?:[ -][0-9]++)*+"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
+#: What lies between words; texts are split there, which takes about a quarter of the time that extracting words takes.
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 _HIT = "array<struct<kind:int,start:int,stop:int,value:string,context:bigint>>"
 _TERM = "array<struct<start:int,stop:int,disclosure:double>>"
 
@@ -116,7 +118,7 @@ def with_hits(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _words(text: Column) -> Column:
     """The distinct words of a text, lowered; a word of digits only is no term, nor is one that touches a value found."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
+    words = F.transform(F.split(text, _BETWEEN, -1), F.lower)
     return F.filter(F.array_distinct(words), lambda w: ~w.rlike(f"^[0-9]*$|{_GAP}"))
 
 
@@ -191,7 +193,12 @@ def _revealing(docs: DataFrame, hits: DataFrame) -> DataFrame:
         stop = start + F.length(x["m"])
         return stop, F.struct(start.alias("start"), stop.alias("stop"), F.try_element_at(F.col("held"), F.lower(x["m"])).alias("disclosure"))
 
-    places = _scanned(_matched(masked.join(few, "key"), "masked", _WORD, F.lit(True)), "terms", "xs_", place, _TERM)
+    # Words and what lies between them alternate: word i follows element i of gaps_.
+    split = masked.join(few, "key").withColumns({
+        "gaps_": F.split("masked", _WORD, -1), "found_": F.filter(F.split("masked", _BETWEEN, -1), lambda w: w != "")
+    })
+    split = split.withColumn("xs_", F.transform("found_", lambda m, i: F.struct(F.length(F.get("gaps_", i)).alias("g"), m.alias("m"))))
+    places = _scanned(split, "terms", "xs_", place, _TERM)
     return places.select("key", F.filter("terms", lambda t: t["disclosure"].isNotNull()).alias("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
 
 
