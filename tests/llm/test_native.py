@@ -197,6 +197,48 @@ def test_pii_terms_against_brute_force(spark):
     assert got == want and sum(map(bool, (t for _, t in got))) > 20
 
 
+def long_rows():
+    """Documents of thousands of words, some with revealing terms and their entities far apart."""
+    r = random.Random(5)
+    common = ["the", "of", "and", "Red", "green", "lake", "é", "12", "hill"]
+    rows = [(i, " ".join(r.choice(common) for _ in range(r.randrange(3, 40)))) for i in range(150)]
+    for i in range(8):
+        ws = [r.choice(common) for _ in range(3000)]
+        for x in ("zorba", "Zorba,", "u1@b.co"):
+            ws.insert(r.randrange(len(ws)), x)
+        rows.append((200 + i, " ".join(ws)))
+    return rows
+
+
+def test_pii_terms_of_long_texts_against_brute_force(spark):
+    rows = long_rows()
+    found = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "terms").collect()
+    got = {x["doc_id"]: [(t["start"], t["stop"]) for t in x["terms"]] for x in found}
+    assert got == {i: t for (i, _), t in zip(rows, plain_terms(rows), strict=True)} and sum(map(len, got.values())) == 16
+
+
+def test_pii_a_long_text_with_a_revealing_term_takes_seconds(spark):
+    import time
+
+    rows = long_rows()
+    rows.append((300, "zorba " + " ".join(f"w{i % 5000} the" for i in range(20_000)) + " u1@b.co and Zorba"))
+    began = time.perf_counter()
+    found = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 300").select("sanitised", F.size("terms").alias("n")).first()
+    assert time.perf_counter() - began < 45 and found["n"] == 2 and "orba" not in found["sanitised"] and "[EMAIL]" in found["sanitised"]
+
+
+def test_pii_no_text_is_split_inside_a_lambda(spark):
+    """Each array of a text's parts is made once a text, never once an element."""
+    df = pii.with_masked(pii.with_hits(spark.createDataFrame([(1, "a@b.co x")], "doc_id long, text string")))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    for body in plan.split("lambdafunction(")[1:]:
+        depth, end = 1, 0
+        while depth and end < len(body):
+            depth += {"(": 1, ")": -1}.get(body[end], 0)
+            end += 1
+        assert "split(" not in body[:end] and "regexp_extract_all(" not in body[:end]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan(none).count() == 0 and pii.sanitise(none).count() == 0

@@ -62,8 +62,13 @@ def _valid(kind: int, m: Column) -> Column:
     )[kind]
 
 
-def _scanned(df: DataFrame, out: str, xs: str, step, kind: str) -> DataFrame:
-    """df with column out: for each element x of column xs in order y, where step(at, x) gives the next `at` and y; at begins with 0."""
+def _let(value: Column, body) -> Column:
+    """body(value), where value is computed once. A column named in a lambda may be put in place there by the optimiser and computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scanned(xs: Column, step, kind: str, wanted=None) -> Column:
+    """For each element x of the array xs in order y, where step(at, x) gives the next `at` and y; at begins with 0. Only of those x for which wanted(x) holds, if given."""
     none = F.array().cast(kind)
 
     def mark(s: Column, x: Column) -> Column:
@@ -72,27 +77,29 @@ def _scanned(df: DataFrame, out: str, xs: str, step, kind: str) -> DataFrame:
 
     def add(s: Column, x: Column) -> Column:
         at, y = step(s["at"], x)
-        return F.struct(at.alias("at"), F.concat(s["out"], F.array(y)).alias("out"))
+        more = F.concat(s["out"], F.array(y))
+        return F.struct(at.alias("at"), (more if wanted is None else F.when(wanted(x), more).otherwise(s["out"])).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("marks"))
-    df = df.withColumn("marks_", F.when(F.size(xs) > 0, F.aggregate(xs, begin, mark, lambda s: s["marks"])))
-    run = lambda c: F.aggregate(F.slice(xs, c * RUN + 1, F.lit(RUN)), F.struct(F.element_at("marks_", c + 1).alias("at"), none.alias("out")), add, lambda s: s["out"])
-    runs = F.transform(F.sequence(F.lit(0), F.size("marks_") - 1), run)
-    return df.withColumn(out, F.when(F.size(xs) > 0, F.flatten(runs)).otherwise(none)).drop("marks_")
+
+    def runs(v: Column) -> Column:
+        one = lambda at, c: F.aggregate(F.slice(v["xs"], c * RUN + 1, F.lit(RUN)), F.struct(at.alias("at"), none.alias("out")), add, lambda s: s["out"])
+        return F.flatten(F.transform(F.aggregate(v["xs"], begin, mark, lambda s: s["marks"]), one))
+
+    return F.coalesce(_let(F.struct(xs.alias("xs")), runs), none)
 
 
-def _matched(df: DataFrame, text: str, pattern: str, may: Column) -> DataFrame:
-    """df with column xs_: of each match of the pattern g (how many characters lie before it since the last one), m and its context."""
-    none = F.array().cast("array<string>")
-    df = df.withColumns({"found_": F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)})
-    df = df.withColumn("gaps_", F.when(F.size("found_") > 0, F.split(text, pattern, -1)).otherwise(none))
+def _matched(text: str, pattern: str, may: Column) -> Column:
+    """Of each match of the pattern g (how many characters lie before it since the last one), m and its context; none unless `may` holds."""
 
-    def one(m: Column, i: Column) -> Column:
-        before, after = F.get("gaps_", i), F.get("gaps_", i + 1)
+    def one(v: Column, i: Column) -> Column:
+        before, after = F.get(v["gaps"], i), F.get(v["gaps"], i + 1)
         context = F.xxhash64(F.right(before, F.lit(REACH)), F.left(after, F.lit(REACH)))
-        return F.struct(F.length(before).alias("g"), m.alias("m"), context.alias("context"))
+        return F.struct(F.length(before).alias("g"), F.get(v["found"], i).alias("m"), context.alias("context"))
 
-    return df.withColumn("xs_", F.transform("found_", one)).drop("found_", "gaps_")
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    each = _let(found, lambda v: F.transform(v["found"], lambda _, i: one(v, i)))
+    return F.when(may, each).otherwise(F.array().cast("array<struct<g:int,m:string,context:bigint>>"))
 
 
 def with_hits(df: DataFrame, text: str = "text") -> DataFrame:
@@ -111,35 +118,42 @@ def with_hits(df: DataFrame, text: str = "text") -> DataFrame:
             stop = start + F.length(x["m"])
             return stop, F.struct(F.lit(k).alias("kind"), start.alias("start"), stop.alias("stop"), F.lower(x["m"]).alias("value"), x["context"].alias("context"))
 
-        df = _scanned(_matched(df, text, pattern, may), f"hits_{k}", "xs_", hit, _HIT).drop("xs_")
+        df = df.withColumn(f"hits_{k}", _scanned(_matched(text, pattern, may), hit, _HIT))
     valid = lambda k: F.filter(f"hits_{k}", lambda h: _valid(k, h["value"]))
     return df.withColumn("hits", F.concat(*(valid(k) for k in range(4)))).drop(*(f"hits_{k}" for k in range(4)))
 
 
 def _words(text: Column) -> Column:
-    """The distinct words of a text, lowered; a word of digits only is no term, nor is one that touches a value found."""
-    words = F.transform(F.split(text, _BETWEEN, -1), F.lower)
-    return F.filter(F.array_distinct(words), lambda w: ~w.rlike(f"^[0-9]*$|{_GAP}"))
+    """The distinct words of a text, lowered."""
+    # Texts are lowered as a whole, which is faster; what a capital sigma becomes hangs on the letters around it, so there it is done word by word.
+    by_word = F.array_distinct(F.transform(F.split(text, _BETWEEN, -1), F.lower))
+    return F.when(F.contains(text, F.lit("\u03a3")), by_word).otherwise(F.array_distinct(F.split(F.lower(text), _BETWEEN, -1)))
+
+
+def _is_term(word: Column) -> Column:
+    """A word of digits only is no term, nor is one that touches a value found."""
+    return (F.translate(word, "0123456789", "") != "") & ~F.contains(word, F.lit(_GAP))
 
 
 def _replaced(df: DataFrame, out: str, spans: Column, tag, text: str = "text") -> DataFrame:
     """df with column out: the text with tag(at, span) for each span (start, stop, ...), where what lies before `at` is written already."""
 
     def piece(at: Column, x: Column) -> tuple[Column, Column]:
-        return F.greatest(at, x["stop"]), F.struct(at.alias("a"), F.greatest(at, x["start"]).alias("b"), tag(at, x).alias("tag"))
+        return F.greatest(at, x["stop"]), F.struct(at.alias("a"), F.greatest(at, x["start"]).alias("b"), x["stop"].alias("stop"), tag(at, x).alias("tag"))
 
-    df = _scanned(df.withColumn("spans_", F.array_sort(spans)), "pieces_", "spans_", piece, "array<struct<a:int,b:int,tag:string>>")
-    df = df.withColumns({
-        "blocks_": F.when(F.size("spans_") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))),
-        "end_": F.aggregate("spans_", F.lit(0), lambda at, x: F.greatest(at, x["stop"])),
-    })
+    def whole(v: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            i, j = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+            return F.when(b <= a, "").otherwise(F.substring(F.array_join(F.slice(v["blocks"], i + 1, j - i + 1), ""), a - i * BLOCK + 1, b - a))
 
-    def cut(a: Column, b: Column) -> Column:
-        i, j = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
-        return F.when(b <= a, "").otherwise(F.substring(F.array_join(F.slice("blocks_", i + 1, j - i + 1), ""), a - i * BLOCK + 1, b - a))
+        parts = F.transform(v["pieces"], lambda p: F.concat(cut(p["a"], p["b"]), p["tag"]))
+        end = F.aggregate(v["pieces"], F.lit(0), lambda at, p: F.greatest(at, p["stop"]))
+        return F.array_join(F.concat(parts, F.array(cut(end, F.length(text)))), "")
 
-    parts = F.concat(F.transform("pieces_", lambda p: F.concat(cut(p["a"], p["b"]), p["tag"])), F.array(cut(F.col("end_"), F.length(text))))
-    return df.withColumn(out, F.when(F.size("spans_") > 0, F.array_join(parts, "")).otherwise(F.col(text))).drop("spans_", "pieces_", "blocks_", "end_")
+    pieces = _scanned(F.array_sort(spans), piece, "array<struct<a:int,b:int,stop:int,tag:string>>")
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    replaced = _let(F.struct(pieces.alias("pieces"), blocks.alias("blocks")), whole)
+    return df.withColumn(out, F.when(F.size(spans) > 0, replaced).otherwise(F.col(text)))
 
 
 def with_masked(df: DataFrame) -> DataFrame:
@@ -166,40 +180,47 @@ def _revealing(docs: DataFrame, hits: DataFrame) -> DataFrame:
     total = docs.count()
     wanted = one.select("key").distinct().join(holders, "key")
     wanted = F.broadcast(wanted) if one.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
-    held = with_masked(docs.join(wanted, "key")).select("key", "rows", F.explode(_words(F.col("masked"))).alias("t")).distinct()
+    held = with_masked(docs.join(wanted, "key")).select("key", "rows", F.explode_outer(_words(F.col("masked"))).alias("t")).where(_is_term(F.col("t"))).distinct()
     held = written(held, "held")
-    pairs = one.select("key", "e", "context", "n_e").join(held, "key")
-    contexts = pairs.groupBy("e", "t").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= SUPPORT).drop("contexts")
-    n_et = pairs.select("e", "t", "key", "rows", "n_e").distinct().groupBy("e", "t").agg(F.sum("rows").alias("n_et"), F.first("n_e").alias("n_e"))
-    pairs = contexts.join(n_et, ["e", "t"])
-    # Documents that hold t with any of these entities are some of the n(t): a pair that they alone keep below the threshold is settled.
-    n_beside = held.groupBy("t").agg(F.sum("rows").alias("n_beside"))
-    pairs = written(pairs.join(n_beside, "t").where(_disclosure(total, "n_beside") >= GENERALISE), "candidates")
+    # Bounds that settle a term before it meets entities: it has at most as many contexts as its documents' entities have, and
+    # is held by n_beside documents at least, so that the pair's disclosure is at most log(total / n_beside) / log(total / n_e).
+    each = one.groupBy("key", "e").agg(F.count("*").alias("c"), F.min("context").alias("least"))
+    most = each.groupBy("key").agg(F.max("c").alias("most"))
+    n_beside = held.join(most, "key").groupBy("t").agg(F.sum("rows").alias("n_beside"), F.sum("most").alias("most")).where(F.col("most") >= SUPPORT).drop("most")
+    reached = F.log(F.lit(float(total)) / F.col("n_beside")) >= GENERALISE * F.log(F.lit(float(total)) / F.col("n_e")) - 1e-9
+    pairs = one.join(each.drop("c"), ["key", "e"]).select("key", "e", "context", "n_e", (F.col("context") == F.col("least")).alias("own"))
+    pairs = pairs.join(held.join(n_beside, "t"), "key").where(reached)
+    # Each document's rows count at one of its contexts of the entity.
+    same = [F.first(c).alias(c) for c in ("n_e", "n_beside")]
+    pairs = pairs.groupBy("e", "t", "context").agg(F.sum(F.when(F.col("own"), F.col("rows")).otherwise(0)).alias("n_et"), *same)
+    pairs = pairs.groupBy("e", "t").agg(F.count("*").alias("contexts"), F.sum("n_et").alias("n_et"), *same)
+    pairs = written(pairs.where((F.col("contexts") >= SUPPORT) & (_disclosure(total, "n_beside") >= GENERALISE)).select("e", "t", "n_et", "n_e"), "candidates")
     discard(one, held)
     masked = _all_masked(docs, holders)
-    # Counted before it is joined, so that a common term costs a partial count a task and not a row a document.
-    n_t = masked.select(F.explode(_words(F.col("masked"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    wanted = pairs.select("t").distinct()
+    wanted = F.broadcast(wanted) if pairs.count() <= BROADCAST_ROWS else wanted
+    # The places of all candidates, by one pass over the texts: a row for each row of docs and candidate in it.
+    met = written(masked.select("key", F.explode_outer(_words(F.col("masked"))).alias("t")).join(wanted, "t"), "met")
+    n_t = met.groupBy("t").agg(F.count("*").alias("n_t"))
     known = pairs.join(n_t, "t").withColumn("disclosure", _disclosure(total, "n_t")).where(F.col("disclosure") >= GENERALISE)
-    revealing = written(known.groupBy("t").agg(F.max("disclosure").alias("disclosure")), "revealing")
-    revealing = F.broadcast(revealing) if revealing.count() <= BROADCAST_ROWS else revealing
-    holding = masked.select("key", F.explode(_words(F.col("masked"))).alias("t")).join(revealing, "t").distinct()
+    revealing = known.groupBy("t").agg(F.max("disclosure").alias("disclosure"))
+    holding = met.join(revealing, "t").groupBy("key", "t").agg(F.first("disclosure").alias("disclosure"))
     holding = holding.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("t", "disclosure"))).alias("held"))
     holding = written(holding, "holding")
-    discard(pairs)
+    discard(pairs, met)
     few = F.broadcast(holding) if holding.count() <= BROADCAST_ROWS else holding.hint("shuffle_hash")
 
     def place(at: Column, x: Column) -> tuple[Column, Column]:
         start = at + x["g"]
-        stop = start + F.length(x["m"])
-        return stop, F.struct(start.alias("start"), stop.alias("stop"), F.try_element_at(F.col("held"), F.lower(x["m"])).alias("disclosure"))
-
-    # Words and what lies between them alternate: word i follows element i of gaps_.
-    split = masked.join(few, "key").withColumns({
-        "gaps_": F.split("masked", _WORD, -1), "found_": F.filter(F.split("masked", _BETWEEN, -1), lambda w: w != "")
-    })
-    split = split.withColumn("xs_", F.transform("found_", lambda m, i: F.struct(F.length(F.get("gaps_", i)).alias("g"), m.alias("m"))))
-    places = _scanned(split, "terms", "xs_", place, _TERM)
-    return places.select("key", F.filter("terms", lambda t: t["disclosure"].isNotNull()).alias("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
+        return start + x["n"], F.struct(start.alias("start"), (start + x["n"]).alias("stop"), x["d"].alias("disclosure"))
+
+    # Words and what lies between them alternate: word i follows gap i.
+    words = F.filter(F.split("masked", _BETWEEN, -1), lambda w: w != "")
+    with_gaps = F.zip_with(
+        F.split("masked", _WORD, -1), words, lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("n"), F.try_element_at("held", F.lower(m)).alias("d"))
+    )
+    places = _scanned(with_gaps, place, _TERM, lambda x: x["d"].isNotNull())
+    return masked.join(few, "key").select("key", places.alias("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
 
 
 def _all_masked(docs: DataFrame, holders: DataFrame) -> DataFrame:
