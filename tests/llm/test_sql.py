@@ -9,7 +9,7 @@ from vendorlake.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     cursor = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in cursor.description]

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the given tables, and the SQL that DuckDB can check them with."""
+"""The queries op1 to op13 over the given tables, and the SQL that DuckDB can check them with."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, jaccard_join, langid, licenses, multi_index, pii, toxicity
+from . import chunk_dedup, decontaminate, jaccard_join, langid, licenses, line_quality, multi_index, periodic, pii, prefix_trie, toxicity
 from .bpe import encode_decode
 from .shipping import ship
 from .token_counts import token_counts
@@ -84,6 +84,30 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, whether the base rules reject it, and whether it is kept by the share of its lines that are content."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    judged = line_quality.judge(docs, line_quality.fit(labels.where(~held_out()), docs))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", "n_lines")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, the longest by its number of periods, and digests of all runs and of the text without repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.replanted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.periodic_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "longest.start", "longest.length", "longest.period", F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations' beginnings, with what its subtree holds."""
+    turns = prefix_trie.grafted(prefix_trie.ordered(table(spark, sf_dir, "conversations")))
+    return prefix_trie.rollup(turns).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scans,
         op9_toxicity,
         op10_pii,
+        op11_line_quality,
+        op12_periodic_runs,
+        op13_prefix_trie,
     )
 }
 
@@ -126,6 +153,14 @@ def _templates() -> str:
     return ", ".join(f"('{label}', {_listed(' '.join(own))}, {-(-80 * len(own) // 100)}, {len(words)}, {telling.get(label, 'null')})" for label, words, own in rows)
 
 
+def _crc32(text: str) -> str:
+    """The CRC-32 of an ASCII text, by a table that the polynomial gives."""
+    step = "case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+    entries = f"list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: {step}))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, b: xor(c >> 8, ({entries})[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 _BASE = {label: f"p{i}" for i, label in enumerate(licenses.PHRASES.values())}
 #: DuckDB's SQL for the queries that it can express.
 ORACLE_SQL: dict[str, str] = {
@@ -164,4 +199,25 @@ ORACLE_SQL: dict[str, str] = {
             case when len(own) > 0 then 1.0::double else coalesce(best, 0.0)::double end as score, coalesce(n_templates, 0) as n_templates
         from named left join more using (doc_id)
     """,
+    "op13_prefix_trie": f"""
+        with t as (
+            select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos
+            from conversations where conv_id is not null
+        ), convs as (select conv_id, {_crc32("conv_id::varchar")} % {prefix_trie.HEAD} as h, conv_id - conv_id % {prefix_trie.SHARED} as base from (select distinct conv_id from t)),
+        heads as (select c.conv_id, pos, role, text from convs c join t on t.conv_id = c.base and pos < h),
+        rebuilt as (select conv_id, 0 as part, pos, role, text from heads union all select conv_id, 1, pos, role, text from t join convs using (conv_id) where pos >= h),
+        seqs as (select conv_id, list({{'r': role, 't': text}} order by part, pos) as turns from rebuilt group by conv_id),
+        every as (select conv_id, coalesce(turns, []) as turns from convs left join seqs using (conv_id)),
+        paths as (select conv_id, depth, sha256(to_json(turns[1:depth])::varchar) as node, sha256(to_json(turns[1:depth - 1])::varchar) as parent,
+                len(turns) as n, coalesce(length(turns[depth].t), 0) as chars from (select *, unnest(range(len(turns) + 1)) as depth from every)),
+        nodes as (select node, depth, min(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * max(chars) as saved,
+                sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '')) as ends_sha256 from paths group by node, depth),
+        children as (select parent as node, depth - 1 as depth, count(*) as n_children from nodes where depth > 0 group by parent, depth),
+        own as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (node, depth)),
+        below as (select distinct a.node, a.depth, u.node as u, u.depth as u_depth from paths a join paths u on a.conv_id = u.conv_id and a.depth <= u.depth),
+        sums as (select below.node, below.depth, count(*) filter (own.n_children = 0) as n_leaves, sum(own.saved)::bigint as saved_tokens
+            from below join own on own.node = u and own.depth = u_depth group by below.node, below.depth)
+        select own.conv_id, own.depth, p.conv_id as parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, own.ends_sha256
+        from own join sums using (node, depth) left join nodes p on own.depth > 0 and p.node = own.parent and p.depth = own.depth - 1
+    """,
 }
