@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from vendorlake.operators import ingest
 
 PRODUCT = "CRM & Sales"
+BLOCK = '{"type":"text","text":"[{\\"name\\":\\"A\\"}]"}'
+#: Whole bodies: a reader of content that isn't there, or isn't a list, finds no blocks or fails as such a reader would.
+BODIES = {
+    "no content": ('{"error":{"type":"x"}}', "no_array"), "no JSON": ("oops", "request_failed"), "rest": (f'{{"content":[{BLOCK}]}} x', "request_failed"), "none": (None, "request_failed"),
+    "content text": ('{"content":"x"}', "request_failed"), "content empty text": ('{"content":""}', "no_array"), "content object": ('{"content":{}}', "request_failed"),
+    "content number": ('{"content":3}', "request_failed"), "content zero": ('{"content":0}', "no_array"), "content true": ('{"content":true}', "request_failed"),
+    "content false": ('{"content":false}', "no_array"), "content null": ('{"content":null}', "no_array"), "no blocks": ('{"content":[]}', "no_array"), "null body": ("null", "request_failed"),
+    "number body": ("5", "no_array"), "text body": ('"x"', "no_array"), "array body": ("[1]", "no_array"), "null block": (f'{{"content":[null,{BLOCK}]}}', "request_failed"),
+    "number block": (f'{{"content":[5,{BLOCK}]}}', "parsed"), "text block": (f'{{"content":["x",{BLOCK}]}}', "parsed"), "array block": (f'{{"content":[[1],{BLOCK}]}}', "parsed"),
+}
 CASES = {
     "G1": ('Here: [{"name":"A"},{"name":"B"}] done', "parsed", 2, 0),
     "G2": ('[{"name":"A",},]', "repaired", 1, 0),
@@ -21,6 +31,8 @@ CASES = {
     "G12": ("['A']", "unparseable", 0, 0),
     "lines": ('x\n[\n{"name":"A"}\n]\ny', "parsed", 1, 0),
     "nbsp": ('[{"name":"A", }]', "repaired", 1, 0),
+    "zero-width": ('[{"name":"A",\ufeff\u2003}]', "repaired", 1, 0),
+    "next line": ('[{"name":"A"},\u0085]', "unparseable", 0, 0),
     "surplus bracket": ("[1]]", "unparseable", 0, 0),
     "surplus brackets": ('[{"name":"A"}]]]', "unparseable", 0, 0),
     "two values": ('[{"a":1}] [{"b":2}]', "unparseable", 0, 0),
@@ -31,7 +43,7 @@ CASES = {
 def payloads(spark, texts):
     ingest.allow_repeated_keys(spark)
     rows = [(k, PRODUCT, json.dumps({"content": [{"type": "text", "text": t}]})) for k, t in texts.items()]
-    rows += [("G7", PRODUCT, '{"error":{"type":"x"}}'), ("G8", PRODUCT, "oops"), ("rest", PRODUCT, '{"content":[{"type":"text","text":"[1]"}]} x'), ("none", PRODUCT, None)]
+    rows += [(k, PRODUCT, body) for k, (body, _) in BODIES.items()]
     return spark.createDataFrame(rows, "run_id string, product string, body string").withColumn("received_at", F.current_timestamp())
 
 
@@ -39,15 +51,16 @@ def test_outcomes(spark):
     found = ingest.ingest(payloads(spark, {k: c[0] for k, c in CASES.items()}))
     got = {r["run_id"]: (r["outcome"], r["n_rejected"]) for r in found.outcomes.collect()}
     counts = {r["run_id"]: r["count"] for r in found.companies.groupBy("run_id").count().collect()}
-    want = {k: (c[1], c[3]) for k, c in CASES.items()} | {"G7": ("no_array", 0), "G8": ("request_failed", 0), "rest": ("request_failed", 0), "none": ("request_failed", 0)}
+    want = {k: (c[1], c[3]) for k, c in CASES.items()} | {k: (outcome, 0) for k, (_, outcome) in BODIES.items()}
     assert got == want
     assert {k: counts.get(k, 0) for k in CASES} == {k: c[2] for k, c in CASES.items()}
+    assert {r["run_id"]: r["n_found"] for r in found.outcomes.collect()} == {k: counts.get(k, 0) for k in want}
     rejected = found.quarantine.groupBy("run_id").count().collect()
     assert {r["run_id"]: r["count"] for r in rejected} == {k: c[3] for k, c in CASES.items() if c[3]}
 
 
 def test_ids_follow_positions(spark):
-    rows = ingest.ingest(payloads(spark, {"a": '[null,{"id":77,"name":"A"},{"name":"B"}]'})).companies.collect()
+    rows = ingest.ingest(payloads(spark, {"a": '[null,{"id":77,"name":"A"},{"name":"B"}]'})).companies.where("run_id = 'a'").collect()
     assert [(r["id"], r["name"]) for r in sorted(rows, key=lambda r: r["id"])] == [(2, "A"), (3, "B")]
 
 
@@ -77,6 +90,6 @@ def test_normaliser(normal, i):
 
 def test_block_text(spark):
     body = json.dumps({"content": [{"type": "text", "text": "a"}, {"type": "tool_use", "name": "web_search"}, {"type": "text", "text": None}, {"type": "tool_use", "name": "x"}, {"type": "text", "text": "b"}]})
-    content = F.from_json(F.lit(body), ingest.ENVELOPE)["content"]
+    content = ingest.envelope(F.lit(body))["content"]
     row = spark.range(1).select(ingest.block_text(content).alias("t"), ingest.call_count(content).alias("n"), ingest.call_count(F.lit(None).cast("array<struct<type:string,text:string,name:string>>")).alias("z")).first()
     assert (row["t"], row["n"], row["z"]) == ("a\n\nb", 1, 0)

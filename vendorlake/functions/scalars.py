@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 DASH = "—"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is computed once, however often body names it: the optimiser may put a column's expression in every place that names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def filled(value: Column, default: str = "") -> Column:
     """value unless it is null, empty or zero; else default. Numbers become text."""
     text = value.cast("string")

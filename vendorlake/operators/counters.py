@@ -20,14 +20,13 @@ def active_filters(briefs: DataFrame) -> DataFrame:
 def run_summary(outcomes: DataFrame, companies: DataFrame, shown: DataFrame | None = None) -> DataFrame:
     """Per run its outcome, call count, records found, shown after a filter, and whether a finished search shows nothing."""
     counts = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(name))
-    df = outcomes.join(counts(companies, "n_found"), "run_id", "left").join(counts(shown if shown is not None else companies, "n_shown"), "run_id", "left")
-    df = df.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_found", "n_shown")})
+    df = outcomes.join(counts(companies if shown is None else shown, "n_shown"), "run_id", "left").withColumn("n_shown", F.coalesce("n_shown", F.lit(0)).cast("long"))
     return df.withColumn("shows_nothing", (F.col("outcome") != "request_failed") & (F.col("n_shown") == 0))
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
-    """outcome, n_runs, n_calls."""
-    return outcomes.groupBy("outcome").agg(F.count("*").alias("n_runs"), F.sum("n_calls").cast("long").alias("n_calls"))
+    """outcome, n_runs, n_calls, n_found."""
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n_runs"), F.sum("n_calls").cast("long").alias("n_calls"), F.sum("n_found").alias("n_found"))
 
 
 def shortlist_counts(shortlist: DataFrame, companies: DataFrame) -> DataFrame:

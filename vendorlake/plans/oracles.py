@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.search import STOCK
-from ..sources.dims import BANDS, FOUNDED, OPTIONS, OTHER_COLOUR, OWNER_COLOUR, OWNERSHIP, PRODUCTS, QUALITY_COLOUR, REVENUE, SIZE, VERTICALS, taxonomy
+from ..sources.dims import BANDS, DESCRIPTION, FOUNDED, OPTIONS, OTHER_COLOUR, OWNER_COLOUR, OWNERSHIP, PRODUCTS, QUALITY_COLOUR, REVENUE, SIZE, TAXONOMY, VERTICALS
 from ..sources.standins import RECORDS_PER_REPLY, SEGMENTS, TYPES
 
 
@@ -30,8 +30,10 @@ COMPANY = f"""
     bought as (
         select o_custkey, count(*) as n, sum(cast(o_totalprice as decimal(18,2))) as total, min(year(o_orderdate)) as y from orders group by o_custkey
     ), kinds as (
-        select o_custkey, list_sort(list_distinct(list(p_type))) as verticals, list_sort(list_distinct(list(p_brand))) as tags
-        from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey where l_quantity >= 45 group by o_custkey
+        select o_custkey, list_sort((list(value order by q desc, value) filter (kind = 'type'))[1:2]) as verticals, list_sort((list(value order by q desc, value) filter (kind = 'brand'))[1:6]) as tags
+        from (select o_custkey, kind, value, sum(l_quantity) as q from (
+            select o_custkey, unnest(['type', 'brand']) as kind, unnest([p_type, p_brand]) as value, l_quantity from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey
+        ) group by all) group by o_custkey
     ), company as (
         select 'run-' || (c_custkey % 15) as run_id, c_custkey::int as id, c_name as name, case when c_custkey % 7 <> 0 then 'https://v' || c_custkey || '.example' end as website,
             n_name as country, (y + c_custkey % 30)::int as founded_year, n * 50 as n_employees, (total * 20)::decimal(20,2) as revenue_usd,
@@ -83,10 +85,11 @@ _RUN = f"(c_custkey // {RECORDS_PER_REPLY})"
 # The customers whose records a sound reply holds, with their position; a leading null record moves it by one.
 RECORDS = f"""
     base as (
-        select c.*, {_RUN} as run, c_custkey as c, 'reply-' || {_RUN} as run_id, row_number() over (partition by {_RUN} order by c_custkey) + case when {_RUN} % 10 = 7 then 1 else 0 end as id,
+        select c.*, {_RUN} as run, c_custkey as c, 'reply-' || {_RUN} as run_id, row_number() over (partition by {_RUN} order by c_custkey) + case when {_RUN} % 16 = 7 then 1 else 0 end as id,
             {pick(PRODUCTS, _RUN)} as product from customer c
-    ), kept as (select * from base where run % 10 in (0, 1, 7))"""
-OUTCOME = "case run % 10 when 0 then 'parsed' when 1 then 'repaired' when 2 then 'unparseable' when 3 then 'unparseable' when 8 then 'unparseable' when 9 then 'request_failed' when 4 then 'no_array' when 5 then 'empty' when 6 then 'request_failed' else 'parsed' end"
+    ), kept as (select * from base where run % 16 in (0, 1, 7, 15))"""
+OUTCOME = "case when run % 16 in (0, 7, 15) then 'parsed' when run % 16 = 1 then 'repaired' when run % 16 in (2, 3, 8, 14) then 'unparseable' when run % 16 = 4 then 'no_array' when run % 16 = 5 then 'empty' else 'request_failed' end"
+_FAILED = "run % 16 in (6, 9, 10, 11, 12, 13)"
 _VERTICALS = "case c % 5 when 0 then 'Metals & Mining,Bulk Liquids' when 1 then 'Mining' when 4 then 'x,' else '' end"
 _SCORE = "case c % 4 when 0 then floor(c_acctbal / 100) when 1 then 91.5 else 75.0 end"
 _NAME = "case when c % 13 = 0 then '' else c_name end"
@@ -94,8 +97,8 @@ _PRODUCTS = "case c % 3 when 0 then product else product end"
 
 OUTCOMES = f"""
     with runs as (select distinct {_RUN} as run from customer), {RECORDS}
-    select 'reply-' || run as run_id, {OUTCOME} as outcome, case when run % 10 in (6, 9) then 0 else run % 4 end as n_calls, case when run % 10 = 7 then 1 else 0 end as n_rejected,
-        coalesce(n, 0) as n_found, coalesce(n90, 0) as n_shown, run % 10 not in (6, 9) and coalesce(n90, 0) = 0 as shows_nothing
+    select 'reply-' || run as run_id, {OUTCOME} as outcome, case when {_FAILED} then 0 else run % 4 end as n_calls, case when run % 16 = 7 then 1 else 0 end as n_rejected,
+        coalesce(n, 0) as n_found, coalesce(n90, 0) as n_shown, not {_FAILED} and coalesce(n90, 0) = 0 as shows_nothing
     from runs left join (select run, count(*) as n, count(*) filter ({_SCORE} >= 90) as n90 from kept group by run) using (run)"""
 
 NORMALISED = f"""
@@ -108,7 +111,7 @@ NORMALISED = f"""
 
 EVENT = "e as (select *, regexp_extract(props, '[0-9]+')::int as k from events)"
 _FACET_ROWS = ", ".join(
-    f"({i}, {array([g for g, tags in groups.items() for _ in tags])}, {array([t for tags in groups.values() for t in tags])})" for i, groups in enumerate(taxonomy().values())
+    f"({i}, {array([g for g, tags in groups.items() for _ in tags])}, {array([t for tags in groups.values() for t in tags])})" for i, groups in enumerate(TAXONOMY.values())
 )
 _ATTRS = list(OPTIONS)[:4]
 SELECTION = f"""
@@ -166,6 +169,10 @@ ORACLE_SQL: dict[str, str] = {
     "text_filter": f"""
         with q(query_id, q) as (values {", ".join(f"({quoted(i)}, {quoted(q)})" for i, q in TEXT_QUERIES.items())})
         select query_id, doc_id from q, documents where contains(lower(coalesce(source, '')), lower(q)) or contains(lower(coalesce(text, '')), lower(q)) or contains(lower(coalesce(lang, '')), lower(q))""",
+    "text_filters_indexed": """
+        with f as (select doc_id as query_id, lower(substr(text, 21, 12)) as q from documents where text is not null)
+        select query_id, doc_id from f join documents on contains(lower(coalesce(source, '')), q) or contains(lower(coalesce(text, '')), q) or contains(lower(coalesce(lang, '')), q)""",
+    "rank_overall": "select 'run-' || (c_custkey % 15) as run_id, c_custkey::int as id, c_acctbal / 100 as score, row_number() over (order by c_acctbal / 100 desc, 'run-' || (c_custkey % 15), c_custkey) as rank from customer",
     "rank_by_score": "select 'run-' || (c_custkey % 15) as run_id, c_custkey::int as id, c_acctbal / 100 as score, row_number() over (partition by c_custkey % 15 order by c_acctbal / 100 desc, c_custkey) as rank from customer",
     "score_band": "select case when c_acctbal / 100 >= 90 then 'A' when c_acctbal / 100 >= 80 then 'B' when c_acctbal / 100 >= 70 then 'C' else 'D' end as band, count(*) as n_companies from customer group by 1",
     "facet_product": facet("list_contains(c.products, b.product)"),
@@ -173,6 +180,16 @@ ORACLE_SQL: dict[str, str] = {
     "facet_tags": facet("list_contains(c.products, b.product) and (len(first_tags) = 0 or list_has_any(c.tags, first_tags)) and (len(second_tags) = 0 or list_has_any(c.tags, second_tags))"),
     **{f"facet_{a}": facet(f"list_contains(c.products, b.product) and (b.{a} = {quoted(OPTIONS[a][0])} or c.{a} = b.{a})") for a in _ATTRS},
     "brief_match": f"{MATCHED} select brief_id, run_id, id, name, score, tag_hits, row_number() over (partition by brief_id order by score desc, run_id, id) as rank from matched",
+    "band_labels": f"""
+        with {COMPANY}, n(attribute, number, run_id, id) as (select 'revenue', revenue_usd::double, run_id, id from company union all select 'size', n_employees::double, run_id, id from company
+            union all select 'founded', founded_year::double, run_id, id from company)
+        select run_id, id, attribute, number, case attribute {" ".join(f"when {quoted(a)} then {band(a, 'number')}" for a in BANDS)} end as label from n""",
+    "band_join": """
+        with bands as (select s_suppkey, s_nationkey, case when s_suppkey % 10 <> 0 then s_acctbal::double end as lo,
+            case when s_suppkey % 7 <> 0 then s_acctbal::double + case when s_suppkey % 4 = 0 then -1.0 else s_suppkey % 5 * 100.0 end end as hi from supplier)
+        select s_suppkey, c_custkey from bands join customer on c_nationkey = s_nationkey and (lo is null or c_acctbal >= lo) and (hi is null or c_acctbal < hi) where lo is null or hi is null or lo < hi""",
+    "product_description": f"""
+        with {BRIEF} select brief_id, product, case product {" ".join(f"when {quoted(p)} then {quoted(d)}" for p, d in DESCRIPTION.items())} end as description from briefs""",
     "brief_filter_count": f"""
         {SELECTION} select brief_id, case when tags = '' then 0 else len(string_split(tags, '|')) end + case when verticals = '' then 0 else len(string_split(verticals, '|')) end
             + {" + ".join(f"({a} <> {quoted(OPTIONS[a][0])})::int" for a in _ATTRS)} as n_filters, case when verticals = '' then 0 else len(string_split(verticals, '|')) end as n_verticals,
@@ -197,8 +214,8 @@ ORACLE_SQL: dict[str, str] = {
     "reply_call_count": "select conv_id, count(*) filter (role = 'system') as n_calls from conversations group by conv_id",
     "reply_records": f"with {RECORDS} select run_id, id, {_NAME} as name, product from kept",
     "reply_outcomes": OUTCOMES,
-    "outcome_counts": f"with o as ({OUTCOMES}) select outcome, count(*) as n_runs, sum(n_calls)::bigint as n_calls from o group by outcome",
-    "reply_quarantine": f"with runs as (select distinct {_RUN} as run from customer) select 'reply-' || run as run_id, 0 as pos, 'not an object: VOID' as reason from runs where run % 10 = 7",
+    "outcome_counts": f"with o as ({OUTCOMES}) select outcome, count(*) as n_runs, sum(n_calls)::bigint as n_calls, sum(n_found)::bigint as n_found from o group by outcome",
+    "reply_quarantine": f"with runs as (select distinct {_RUN} as run from customer) select 'reply-' || run as run_id, 0 as pos, 'not an object: VOID' as reason from runs where run % 16 = 7",
     "reply_raw": f"""
         with {RECORDS} select run_id, id, (c % 20)::int as raw_id, case c % 4 when 0 then floor(c_acctbal / 100)::bigint::varchar when 1 then '91.5' when 2 then '85' end as raw_score,
             (6 + (c % 5 <> 0)::int + (c % 4 <> 3)::int + (c % 5 <> 3)::int + (c % 3 <> 2)::int + (c % 4 <> 3)::int)::int as n_keys from kept""",
@@ -224,7 +241,7 @@ ORACLE_SQL: dict[str, str] = {
         with {COMPANY} select run_id, id, case when id % 3 = 0 then '—' else coalesce(founded_year::varchar, '—') end as founded, case when id % 8 = 0 then '—' when id % 4 = 0 then '0' else hq end as hq,
             coalesce(country, '—') as country, coalesce(employees, '—') as employees, coalesce(revenue, '—') as revenue from company""",
     "contract_audit": f"""
-        with {RECORDS}, n as (select count(*) as n from kept), runs as (select run, count(*) + case when run % 10 = 7 then 1 else 0 end as n from kept group by run),
+        with {RECORDS}, n as (select count(*) as n from kept), runs as (select run, count(*) + case when run % 16 = 7 then 1 else 0 end as n from kept group by run),
         ids as (select run, c % 20 as i, count(*) as n from kept group by all), broken(rule, b) as (
             select 'C1 name', count(*) filter (c % 13 = 0) from kept union all select 'C2 website', count(*) filter (c % 5 in (0, 1)) from kept
             union all select 'C3 country', count(*) filter (c % 3 <> 0) from kept union all select 'C4 founded', count(*) filter (c % 4 = 1) from kept
@@ -237,6 +254,7 @@ ORACLE_SQL: dict[str, str] = {
         union all select 'C10 ids', count(*), count(*) filter (n > 1) from ids union all select 'C11 size', count(*), count(*) filter (n < 20) from runs""",
     "export_roundtrip": f"with {COMPANY}, {SHORTLIST}, s as ({_SHEET}) select * exclude (list_id, run_id, id) from s",
 }
+ORACLE_SQL["brief_match_indexed"] = ORACLE_SQL["brief_match"]
 ORACLE_SQL |= {
     "stream_ingest": NORMALISED.replace("select run_id, id,", "select run_id, id, (c % 20)::int as raw_id,"),
     "stream_quarantine": ORACLE_SQL["reply_quarantine"],

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import joined, score_band
-from ..operators import audit, counters, ingest, search, shortlist
+from ..operators import audit, counters, ingest, intervals, matching, search, shortlist, textindex
+from ..operators.dealt import numbered
 from ..sources import standins
-from ..sources.dims import OPTIONS, OTHER_COLOUR, OWNER_COLOUR, QUALITY_COLOUR, VERTICALS
+from ..sources.dims import DESCRIPTION, OPTIONS, OTHER_COLOUR, OWNER_COLOUR, QUALITY_COLOUR, VERTICALS, dim_option
 from ..sources.scratch import new_path
 from ..sources.standins import table
 from ..streaming import jobs
@@ -37,6 +38,15 @@ def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.text_filters(docs, TEXT_QUERIES).select("query_id", "doc_id")
 
 
+@query
+def text_filters_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter a document, twelve characters of its text; the documents that each of them meets."""
+    docs = table(spark, sf_dir, "documents")
+    filters = docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 21, 12).alias("q"))
+    rows = docs.select("doc_id", F.col("source").alias("name"), F.col("text").alias("description"), F.array("lang", "source").alias("verticals"))
+    return textindex.text_filters_indexed(rows, filters).select("query_id", "doc_id")
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(F.concat(F.lit("run-"), key % 15).alias("run_id"), key.cast("int").alias("id"), (F.col("c_acctbal") / 100).alias("score"))
@@ -47,6 +57,12 @@ def rank_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(_scores(spark, sf_dir))
 
 
+@query
+def rank_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rank over all runs."""
+    return numbered(_scores(spark, sf_dir), [F.desc("score"), F.asc("run_id"), F.asc("id")])
+
+
 @query
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir).groupBy(score_band(F.col("score")).alias("band")).agg(F.count("*").alias("n_companies"))
@@ -81,6 +97,33 @@ def brief_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(found, ["brief_id"]).select("brief_id", "run_id", "id", "name", "score", "tag_hits", "rank")
 
 
+@query
+def brief_match_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matching.brief_match_indexed(standins.company_profile(spark, sf_dir), standins.briefs(spark, sf_dir))
+    return search.ranked(found, ["brief_id"]).select("brief_id", "run_id", "id", "name", "score", "tag_hits", "rank")
+
+
+@query
+def band_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each company's numbers with their labels, by a join to the option table."""
+    numbers = {"revenue": "revenue_usd", "size": "n_employees", "founded": "founded_year"}
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(c).cast("double").alias("number")) for a, c in numbers.items()))).alias("x")
+    values = standins.company_profile(spark, sf_dir).select("run_id", "id", each).select("run_id", "id", "x.*")
+    options = dim_option(spark).where("lo is not null or hi is not null").select("attribute", "label", "lo", "hi")
+    return intervals.band_join(values, options, "number", "lo", "hi", ["attribute"], "left").select("run_id", "id", "attribute", "number", "label")
+
+
+@query
+def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of a supplier's nation whose balance lies in the supplier's band: bands by nation, with gaps, overlaps, open ends and empty ones."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nationkey"), F.col("c_acctbal").cast("double").alias("balance"))
+    s, balance = F.col("s_suppkey"), F.col("s_acctbal").cast("double")
+    lo = F.when(s % 10 != 0, balance)
+    hi = F.when(s % 7 != 0, balance + F.when(s % 4 == 0, -1.0).otherwise(s % 5 * 100.0))
+    bands = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nationkey"), lo.alias("lo"), hi.alias("hi"))
+    return intervals.band_join(customers, bands, "balance", "lo", "hi", ["nationkey"]).select("s_suppkey", "c_custkey")
+
+
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shortlist.selection(standins.selection_events(spark, sf_dir))
 
@@ -181,6 +224,13 @@ def owner_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.with_lookup(found, colours, "ownership", "label", "colour", OTHER_COLOUR)
 
 
+@query
+def product_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brief's product with what it is."""
+    known = spark.createDataFrame(list(DESCRIPTION.items()), "name string, description string")
+    return search.with_lookup(standins.briefs(spark, sf_dir).select("brief_id", "product"), known, "product", "name", "description", None)
+
+
 @query
 def quality_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each shortlisted company's colour by its quality; none where the quality has none."""

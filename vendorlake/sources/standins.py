@@ -26,11 +26,17 @@ def company_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A company per customer, with numbers (n_employees, revenue_usd) beside their bands."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.year("o_orderdate").alias("year"))
     bought = orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("price").alias("total"), F.min("year").alias("year"))
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     parts = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand"), lines.l_partkey == F.col("p_partkey"))
-    kinds = parts.join(orders.select("o_orderkey", "o_custkey"), parts.l_orderkey == F.col("o_orderkey")).groupBy("o_custkey").agg(
-        F.array_sort(F.collect_set("p_type")).alias("verticals"), F.array_sort(F.collect_set("p_brand")).alias("tags")
-    )
+    kinds = parts.join(orders.select("o_orderkey", "o_custkey"), parts.l_orderkey == F.col("o_orderkey")).groupBy("o_custkey", "p_type", "p_brand").agg(F.sum("l_quantity").alias("q"))
+
+    def most_bought(column: str, n: int, name: str) -> DataFrame:
+        """Per customer the n values of the largest summed quantity; a customer has as many as the column has values at most."""
+        each = kinds.groupBy("o_custkey", column).agg((-F.sum("q")).alias("q"))
+        first = F.slice(F.array_sort(F.collect_list(F.struct("q", column))), 1, n)
+        return each.groupBy("o_custkey").agg(F.array_sort(F.transform(first, lambda x: x[column])).alias(name))
+
+    kinds = most_bought("p_type", 2, "verticals").join(most_bought("p_brand", 6, "tags"), "o_custkey")
     c = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")  # fixed size
     df = c.join(F.broadcast(nation), c.c_nationkey == nation.n_nationkey, "left").join(bought, c.c_custkey == bought.o_custkey, "left").drop("o_custkey")
@@ -87,25 +93,31 @@ def record_json(c: Column, name: Column, segment: Column, balance: Column, produ
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reply per RECORDS_PER_REPLY customers; by the run's number modulo 10: sound, trailing comma, prose bracket, cut short, no array, empty array, no JSON, a null record, a surplus bracket, text after the JSON."""
+    """A reply per RECORDS_PER_REPLY customers; by the run's number modulo 16: sound, trailing comma, prose bracket, cut short,
+    no array, empty array, no JSON, a null record, a surplus bracket, text after the JSON, content that is a text, content that
+    is an object, a null body, a null block, a comma and U+0085 before the bracket, a number among the blocks."""
     c = F.col("c_custkey")
     run = F.floor(c / RECORDS_PER_REPLY).cast("long")
     df = table(spark, sf_dir, "customer").select(run.alias("run"), pick(PRODUCTS, run).alias("product"), c, "c_name", "c_mktsegment", "c_acctbal")
     df = df.select("run", "product", "c_custkey", record_json(c, F.col("c_name"), F.col("c_mktsegment"), F.col("c_acctbal"), F.col("product")).alias("r"))
     df = df.groupBy("run", "product").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "r"))), lambda x: x["r"]), ",").alias("rs"))
-    m, rs, lit = F.col("run") % 10, F.col("rs"), F.lit
+    m, rs, lit = F.col("run") % 16, F.col("rs"), F.lit
     whole = F.concat(lit("["), rs, lit("]"))
     text = (
         F.when(m == 0, F.concat(lit("Here: "), whole, lit(" done"))).when(m == 1, F.concat(lit("["), rs, lit(", ]"))).when(m == 2, F.concat(lit("see [1] then "), whole))
         .when(m == 3, F.substring(whole, lit(1), (F.length(whole) / 2).cast("int"))).when(m == 4, lit("no list here")).when(m == 5, lit("[]"))
-        .when(m == 8, F.concat(whole, lit("]"))).when(m == 9, whole).otherwise(F.concat(lit("[null,"), rs, lit("]")))
+        .when(m == 8, F.concat(whole, lit("]"))).when(m == 7, F.concat(lit("[null,"), rs, lit("]")))
+        .when(m == 14, F.concat(lit("["), rs, lit(",\u0085]"))).otherwise(whole)
     )
     block = lambda kind, text, name: F.struct(lit(kind).alias("type"), text.cast("string").alias("text"), lit(name).cast("string").alias("name"))
     calls = F.array_repeat(block("tool_use", lit(None), "web_search"), (F.col("run") % 4).cast("int"))
     body = F.to_json(F.struct(F.concat(calls, F.array(block("text", text, None))).alias("content")))
-    return df.select(
-        F.concat(lit("reply-"), F.col("run")).alias("run_id"), "product", F.timestamp_seconds(F.col("run") * 60).alias("received_at"), F.when(m == 6, "oops").when(m == 9, F.concat(body, lit(" x"))).otherwise(body).alias("body")
+    more = lambda element: F.replace(body, lit('"content":['), lit(f'"content":[{element},'))
+    sent = (
+        F.when(m == 6, "oops").when(m == 9, F.concat(body, lit(" x"))).when(m == 10, '{"content":"x"}').when(m == 11, '{"content":{}}').when(m == 12, "null")
+        .when(m == 13, more("null")).when(m == 15, more("5")).otherwise(body)
     )
+    return df.select(F.concat(lit("reply-"), F.col("run")).alias("run_id"), "product", F.timestamp_seconds(F.col("run") * 60).alias("received_at"), sent.alias("body"))
 
 
 def _k(events: DataFrame) -> DataFrame:
