@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last g
 writes each stage's result in the shared folder and rereads it as the next one's docs.
 
 In every stage columns beyond those of documents are left behind, whatever their names; an empty table gives an empty one.
-Rows with a null doc_id are judged by their text in language_id, personal_data and tokens, and stay in near_duplicates and
-decontamination, which decide by id. Rows that repeat an id are one document there: they go or stay together, as often as
-they stand.
+Rows are judged by their text, whatever their ids: near_duplicates and decontamination name a row by its id only where no
+other row has it, else by id and text together. So a contaminated row goes and its namesake of another text stays, rows with
+a null id are decided like any other, and of rows alike in id and text near_duplicates keeps one.
 """
 
 from __future__ import annotations
@@ -23,14 +23,30 @@ from vendorlake.llm.shipping import ship
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose best language has a lower mean posterior are rejected, as are those without a letter.
 LEAST_SCORE = 0.4
-#: Ids of documents to drop, up to so many rows, go to every executor; beyond, they are joined by a shuffle.
+#: Keys of documents, up to so many rows, go to every executor; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not in ids; rows with a null doc_id stay."""
-    ids = written(ids.distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*COLUMNS)
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, for a join: broadcast if its number of rows allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with key (long), alike in rows of the same id and text alone, and whether any row is named by more than its id."""
+    docs = docs.select(*COLUMNS)
+    odd = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"), F.lit(True).alias("odd")), "odd")
+    if odd.isEmpty():
+        return docs.withColumn("key", F.col("doc_id").cast("long")), False
+    # Negative, so that it is no id.
+    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(-(1 << 63)))
+    named = docs.join(_few(odd), F.col("doc_id").eqNullSafe(F.col("odd_id")), "left")
+    return named.withColumn("key", F.when(F.col("odd"), own).otherwise(F.col("doc_id").cast("long"))).select(*docs.columns, "key"), True
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """keyed rows whose key is not in keys."""
+    return keyed.join(_few(written(keys.distinct(), "dropped")), "key", "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,15 +59,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group connected by a similarity of 0.8 or more over five-word shingles, the document of the smallest id."""
     ship(spark)
-    groups = jaccard_join.similar_groups(docs, width=5, part=80, whole=100)
-    return _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
+    keyed, odd = _keyed(docs)
+    groups = jaccard_join.similar_groups(keyed, id_col="key", width=5, part=80, whole=100)
+    linked = groups.where("key <> component_id").select("key", "component_id")
+    if not odd:
+        return _without(keyed, linked.select("key")).select(*COLUMNS)
+    # Keys aren't in the order of ids: of each group the row of the smallest id is looked for, a null one last.
+    linked = written(linked.distinct(), "linked")
+    members = linked.unionByName(linked.select(F.col("component_id").alias("key"), "component_id").distinct())
+    ranked = keyed.select("key", "doc_id").distinct().join(members, "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
+    kept = _without(keyed, members.join(ranked.select(F.col("m.key").alias("key")), "key", "left_anti").select("key"))
+    # Rows alike in id and text: only those are shuffled with their texts.
+    again = written(kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+    again = _few(again)
+    once = kept.join(again, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.join(again, "key", "left_anti").select(*COLUMNS).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     ship(spark)
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("doc_id is not null").select("doc_id"))
+    keyed, _ = _keyed(docs)
+    found = decontaminate.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
+    return _without(keyed, found.select("key")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
