@@ -254,6 +254,7 @@ ORACLE_SQL: dict[str, str] = {
         union all select 'C10 ids', count(*), count(*) filter (n > 1) from ids union all select 'C11 size', count(*), count(*) filter (n < 20) from runs""",
     "export_roundtrip": f"with {COMPANY}, {SHORTLIST}, s as ({_SHEET}) select * exclude (list_id, run_id, id) from s",
 }
+ORACLE_SQL["ingest_audit"] = ORACLE_SQL["contract_audit"]
 ORACLE_SQL["brief_match_indexed"] = ORACLE_SQL["brief_match"]
 ORACLE_SQL |= {
     "stream_ingest": NORMALISED.replace("select run_id, id,", "select run_id, id, (c % 20)::int as raw_id,"),

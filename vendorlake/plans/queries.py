@@ -312,6 +312,14 @@ def contract_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(ingest.exploded(ingest.parsed(standins.payloads(ingest.allow_repeated_keys(spark), sf_dir))))
 
 
+@query
+def ingest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit taken while the companies are written, with the vocabularies of the option table."""
+    payloads = standins.payloads(ingest.allow_repeated_keys(spark), sf_dir)
+    options = dim_option(spark).where("ord > 0").select("attribute", "label")
+    return audit.ingest_audited(payloads, lambda companies: companies.drop("raw").write.parquet(new_path(spark, "audited")), options)
+
+
 @query
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sheet written as CSV and read again."""
