@@ -261,5 +261,6 @@ ORACLE_SQL |= {
     "stream_quarantine": ORACLE_SQL["reply_quarantine"],
     "stream_outcomes": f"with o as ({OUTCOMES}) select run_id, outcome, n_calls, n_rejected from o",
     "stream_shortlist": ORACLE_SQL["shortlist_state"],
+    "stream_selection": ORACLE_SQL["selection_state"],
     "stream_counters": ORACLE_SQL["outcome_counts"],
 }

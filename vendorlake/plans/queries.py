@@ -14,7 +14,7 @@ from ..sources import standins
 from ..sources.dims import DESCRIPTION, OPTIONS, OTHER_COLOUR, OWNER_COLOUR, QUALITY_COLOUR, VERTICALS, dim_option
 from ..sources.scratch import new_path
 from ..sources.standins import table
-from ..streaming import jobs
+from ..streaming import jobs, selection
 from .oracles import TEXT_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,10 +255,13 @@ def props_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.max(k).alias("most"))
 
 
+def _joined_lists(briefs: DataFrame) -> DataFrame:
+    return briefs.withColumns({"tags": F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["grp"], t["tag"])), "|"), "verticals": F.array_join("verticals", "|")})
+
+
 @query
 def selection_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _sessions(spark, sf_dir)
-    return df.withColumns({"tags": F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["grp"], t["tag"])), "|"), "verticals": F.array_join("verticals", "|")})
+    return _joined_lists(_sessions(spark, sf_dir))
 
 
 def _shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,6 +372,13 @@ def stream_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest(spark, out, list(shortlist.KEY))
 
 
+@query
+def stream_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, clicks = new_path(spark, "selection"), standins.selection_events(spark, sf_dir)
+    selection.start_selection(_landed(clicks, "landed"), out, new_path(spark, "checkpoint")).awaitTermination()
+    return _joined_lists(jobs.latest(spark, out, ["brief_id"]))
+
+
 @query
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every payload lands twice, in different files, and counts once."""
