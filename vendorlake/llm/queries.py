@@ -31,16 +31,19 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item whose shingles it holds for the most part, over both whole tables."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by a model of the labelled documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs.where(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, as their number and digest, and the digest of the text that they decode to."""
     coded = encode_decode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -48,34 +51,41 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near copies: 0.85 and more of the four-word shingles alike."""
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), width=4, part=85, whole=100)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that shares a passage with another one, with the passages' spans."""
     return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors of each twentieth vector, over the whole table."""
     vectors = table(spark, sf_dir, "embeddings")
     return multi_index.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, and whether a context of 4,096 holds them."""
     counted = token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and the labels of the templates that it holds."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by models of the labelled documents that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.fit(labels.where(~held_out()), docs))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: what the patterns find, and the spans of terms that give it away."""
     found = pii.sanitise(table(spark, sf_dir, "documents"), texts=False)
     count = lambda k: F.size(F.filter("hits", lambda h: h["kind"] == k)).cast("long")
     return found.select(
