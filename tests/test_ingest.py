@@ -93,3 +93,12 @@ def test_block_text(spark):
     content = ingest.envelope(F.lit(body))["content"]
     row = spark.range(1).select(ingest.block_text(content).alias("t"), ingest.call_count(content).alias("n"), ingest.call_count(F.lit(None).cast("array<struct<type:string,text:string,name:string>>")).alias("z")).first()
     assert (row["t"], row["n"], row["z"]) == ("a\n\nb", 1, 0)
+
+
+def test_stored_records_are_read_by_path(spark, tmp_path):
+    texts = {"a": '[{"id":7,"name":"A","note":{"deep":[1,{"x":"y"}]}},{"id":"x","name":"B"},{"name":"C"}]'}
+    ingest.ingest(payloads(spark, texts)).companies.where("run_id = 'a'").write.parquet(str(tmp_path / "companies"))
+    df = ingest.with_raw_fields(spark.read.parquet(str(tmp_path / "companies")), {"raw_id": ("$.id", "int"), "deep": ("$.note.deep[1].x", "string")}).select("id", "raw_id", "deep")
+    assert sorted(df.collect()) == [(1, 7, "y"), (2, None, None), (3, None, None)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "raw:struct<0:int,1:string>" in plan and "description" not in plan

@@ -162,6 +162,14 @@ def normalised(records: DataFrame) -> DataFrame:
     )
 
 
+def with_raw_fields(companies: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """companies with columns instead of raw: name -> (path, type) within the record as it came; null where it is missing or of another type.
+
+    Over stored companies the scan reads those paths alone.
+    """
+    return companies.withColumns({name: F.try_variant_get("raw", path, kind) for name, (path, kind) in fields.items()}).drop("raw")
+
+
 def quarantined(records: DataFrame) -> DataFrame:
     """The records that are no objects: run_id, pos, raw (text), reason."""
     bad = records.where(~F.coalesce(F.col("kind").startswith("OBJECT<"), F.lit(False)))

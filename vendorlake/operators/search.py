@@ -51,13 +51,15 @@ def wants_tags(selected: Column, tags: Column) -> Column:
     return F.forall(groups, met)
 
 
-def brief_match(companies: DataFrame, briefs: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
+def brief_match(companies: DataFrame, briefs: DataFrame, max_broadcast: int = 64 << 20) -> DataFrame:
     """Each brief's companies: product by equality on the exploded products, the other facets as residual conditions.
 
     Gives the companies' columns with brief_id and tag_hits (selected tags that the company has). Briefs are broadcast if
-    they are at most max_broadcast rows; else the join shuffles on the product.
+    they are at most max_broadcast bytes as JSON; else the join shuffles on the product. For very many, see
+    matching.brief_match_indexed().
     """
-    few = briefs.limit(max_broadcast + 1).count() <= max_broadcast
+    size = briefs.agg(F.sum(F.octet_length(F.to_json(F.struct(*briefs.columns))))).first()[0] or 0
+    few = size <= max_broadcast
     b = (F.broadcast(briefs) if few else briefs).alias("b")
     c = companies.withColumn("sold", F.explode(F.array_distinct("products"))).alias("c")
     on = (F.col("c.sold") == F.col("b.product")) & wants_vertical(F.col("b.verticals"), F.col("c.verticals")) & wants_tags(F.col("b.tags"), F.col("c.tags"))

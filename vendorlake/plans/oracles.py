@@ -254,12 +254,14 @@ ORACLE_SQL: dict[str, str] = {
         union all select 'C10 ids', count(*), count(*) filter (n > 1) from ids union all select 'C11 size', count(*), count(*) filter (n < 20) from runs""",
     "export_roundtrip": f"with {COMPANY}, {SHORTLIST}, s as ({_SHEET}) select * exclude (list_id, run_id, id) from s",
 }
+ORACLE_SQL["raw_paths"] = f"with r as ({ORACLE_SQL['reply_raw']}) select * exclude (n_keys) from r"
 ORACLE_SQL["ingest_audit"] = ORACLE_SQL["contract_audit"]
 ORACLE_SQL["brief_match_indexed"] = ORACLE_SQL["brief_match"]
 ORACLE_SQL |= {
     "stream_ingest": NORMALISED.replace("select run_id, id,", "select run_id, id, (c % 20)::int as raw_id,"),
     "stream_quarantine": ORACLE_SQL["reply_quarantine"],
     "stream_outcomes": f"with o as ({OUTCOMES}) select run_id, outcome, n_calls, n_rejected from o",
+    "stream_landed_json": f"with o as ({OUTCOMES}) select run_id, outcome, n_calls, n_found, n_rejected from o",
     "stream_shortlist": ORACLE_SQL["shortlist_state"],
     "stream_selection": ORACLE_SQL["selection_state"],
     "stream_counters": ORACLE_SQL["outcome_counts"],

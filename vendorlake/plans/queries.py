@@ -216,6 +216,15 @@ def reply_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def raw_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two keys of the raw records, read back by path from the stored companies."""
+    path = new_path(spark, "companies")
+    _ingested(spark, sf_dir).companies.write.parquet(path)
+    stored = ingest.with_raw_fields(spark.read.parquet(path), {"raw_id": ("$.id", "int"), "raw_score": ("$.score", "string")})
+    return stored.select("run_id", "id", "raw_id", "raw_score")
+
+
 @query
 def owner_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each company's colour by its ownership, or the one for others."""
@@ -333,16 +342,16 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in shortlist.SHEET))
 
 
-def _landed(df: DataFrame, name: str) -> DataFrame:
+def _landed(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     """df landed as files in the shared folder, and streamed from there file by file."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.repartition(4).write.parquet(path)
-    return jobs.file_stream(spark, path, df.schema)
+    df.repartition(4).write.format(fmt).save(path)
+    return jobs.file_stream(spark, path, df.schema, fmt=fmt)
 
 
-def _streamed(spark: SparkSession, sf_dir: str, sink: str) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, sink: str, fmt: str = "parquet") -> DataFrame:
     """One of the tables that the payload stream writes."""
-    source = _landed(standins.payloads(ingest.allow_repeated_keys(spark), sf_dir), "landed")
+    source = _landed(standins.payloads(ingest.allow_repeated_keys(spark), sf_dir), "landed", fmt)
     out = new_path(spark, "ingested")
     jobs.start_ingest(source, out, new_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(f"{out}/{sink}")
@@ -351,7 +360,7 @@ def _streamed(spark: SparkSession, sf_dir: str, sink: str) -> DataFrame:
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _streamed(spark, sf_dir, "companies")
-    return _flat(found).join(found.select("run_id", "id", F.get_json_object("raw", "$.id").cast("int").alias("raw_id")), ["run_id", "id"])
+    return _flat(found).join(ingest.with_raw_fields(found, {"raw_id": ("$.id", "int")}).select("run_id", "id", "raw_id"), ["run_id", "id"])
 
 
 @query
@@ -364,6 +373,12 @@ def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, "outcomes").select("run_id", "outcome", "n_calls", "n_rejected")
 
 
+@query
+def stream_landed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of payloads that land as JSON lines."""
+    return _streamed(spark, sf_dir, "outcomes", "json").select("run_id", "outcome", "n_calls", "n_found", "n_rejected")
+
+
 @query
 def stream_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = standins.shortlist_events(spark, sf_dir, _landed(table(spark, sf_dir, "events"), "landed"))

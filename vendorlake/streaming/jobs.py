@@ -7,7 +7,6 @@ same input. Late events need no watermark: the folds are order-insensitive, at t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -24,13 +23,13 @@ def file_stream(spark: SparkSession, path: str, schema: StructType | str, files_
 
 
 def start_ingest(payloads: DataFrame, out_dir: str, checkpoint_dir: str, trigger: dict | None = None) -> StreamingQuery:
-    """Writes companies (raw as JSON text), quarantine and outcomes of each micro-batch under out_dir, in folders by batch that a replayed batch overwrites."""
+    """Writes companies (raw as a VARIANT, whose common keys Parquet holds as columns of their own), quarantine and outcomes of each micro-batch under out_dir, in folders by batch that a replayed batch overwrites."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             found = ingest.ingest(batch)
-            for name, df in (("companies", found.companies.withColumn("raw", F.to_json("raw"))), ("quarantine", found.quarantine), ("outcomes", found.outcomes)):
+            for name, df in (("companies", found.companies), ("quarantine", found.quarantine), ("outcomes", found.outcomes)):
                 df.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch={batch_id}")
         finally:
             batch.unpersist()
