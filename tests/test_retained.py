@@ -1,0 +1,84 @@
+"""The live shortlist with retention: companies leave the state and return from what the table has of them."""
+
+import time
+
+from test_shortlist import SHORT, T0
+from test_streaming import event_rows, files_read, land, plain
+
+from vendorlake.operators import shortlist
+from vendorlake.streaming import generations, retained
+
+ONCE = {"once": True}
+
+
+def started(events, out, checkpoint, retention, since=None, every=16):
+    retained.start_shortlist(events, out, checkpoint, retention, since, ONCE, every).awaitTermination(120)
+
+
+def changes(spark, tmp_path, n):
+    return {r["id"]: r for r in spark.read.parquet(f"{tmp_path}/out/changes/batch={n}").collect()}
+
+
+def test_silent_companies_return_from_the_table(spark, tmp_path):
+    """Four starts a retention apart, from a batch fold on; events come in no order and some twice."""
+    rows = event_rows()
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    since = retained.parts(spark.createDataFrame(rows[:80], SHORT))
+    for k, part in enumerate((rows[80:120], rows[110:160], rows[150:240])):
+        events = land(spark, part, SHORT, tmp_path / "in", 2)
+        started(events, out, checkpoint, 1, since, every=2)
+        assert plain(retained.shortlisted(spark, out)) == plain(shortlist.fold(spark.createDataFrame(rows[: (120, 160, 240)[k]], SHORT)))
+        time.sleep(1.5)
+    assert generations.covered(spark, out) >= 1
+    merged = generations.latest(spark, out, retained.KEY, merge=retained.merge_aggregates())
+    assert any(f.startswith("upto=") for f in files_read(merged))
+
+
+def test_what_leaves_the_state(spark, tmp_path):
+    """A row that the stream writes holds what the state has: all within the retention, only what is new after it."""
+    saved = (1, T0, "l", "r", 1, "save", None, None)
+    since = retained.parts(spark.createDataFrame([saved], SHORT))
+    for name, retention, pause in (("kept", 3600, 0), ("left", 1, 2)):
+        place = tmp_path / name
+        out, checkpoint = str(place / "out"), str(place / "checkpoint")
+        events = land(spark, [(2, T0.replace(hour=1), "l", "r", 1, "set", "email", "x")], SHORT, place / "in", 1)
+        started(events, out, checkpoint, retention, since)
+        first = changes(spark, place, 0)[1]
+        assert first["saved_at"]["event_id"] == 1 and first["email"] == "x"
+        time.sleep(pause)
+        land(spark, [(3, T0.replace(hour=2), "l", "r", 1, "set", "role", None)], SHORT, place / "in", 1)
+        started(events, out, checkpoint, retention, since)
+        again = changes(spark, place, 1)[1]
+        assert again["role_at"]["event_id"] == 3 and again["role"] is None
+        assert (again["saved_at"] is None) == (again["email_at"] is None) == (name == "left")
+        got = retained.shortlisted(spark, out).collect()
+        assert len(got) == 1 and got[0]["saved"] and got[0]["email"] == "x" and got[0]["role"] == ""
+
+
+def test_times_in_another_zone(spark, tmp_path):
+    """The state's times are the events' own, whatever zone the session shows them in."""
+    rows = [(1, T0, "l", "r", 1, "save", None, None), (2, T0.replace(hour=1), "l", "r", 1, "set", "email", "x")]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        out = str(tmp_path / "out")
+        since = retained.parts(spark.createDataFrame(rows[:1], SHORT))
+        started(land(spark, rows[1:], SHORT, tmp_path / "in", 1), out, str(tmp_path / "checkpoint"), 60, since)
+        merged = generations.latest(spark, out, retained.KEY, merge=retained.merge_aggregates()).collect()
+        assert [r["saved_at"]["event_id"] for r in merged] == [1] and merged[0]["email_at"]["ts"] == rows[1][1]
+        assert retained.shortlisted(spark, out).first()["email"] == "x"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_odd_events(spark, tmp_path):
+    """Unknown operations and fields change nothing, events without a key, a time or an id are left out; companies without later events stay."""
+    odd = [
+        (1, T0, "l", "r", 1, "save", None, None), (2, T0, "l", "r", 1, "set", "colour", "red"), (3, T0, "l", "r", 1, "wave", None, None),
+        (4, T0, None, "r", 1, "save", None, None), (5, T0, "l", "r", None, "save", None, None), (None, T0, "l", "r", 1, "unsave", None, None), (6, None, "l", "r", 1, "unsave", None, None),
+        (7, T0, "l", "r", 2, "wave", None, None),
+    ]
+    earlier = [(0, T0, "l", "r", 9, "save", None, None)]
+    out = str(tmp_path / "out")
+    started(land(spark, odd, SHORT, tmp_path / "in", 1), out, str(tmp_path / "checkpoint"), 60, retained.parts(spark.createDataFrame(earlier, SHORT)))
+    assert sorted((r["id"], r["saved"], r["role"]) for r in retained.shortlisted(spark, out).collect()) == [(1, True, ""), (2, False, ""), (9, True, "")]
+    assert retained.parts(spark.createDataFrame([], SHORT)).count() == 0

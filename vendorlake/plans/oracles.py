@@ -263,6 +263,7 @@ ORACLE_SQL |= {
     "stream_outcomes": f"with o as ({OUTCOMES}) select run_id, outcome, n_calls, n_rejected from o",
     "stream_landed_json": f"with o as ({OUTCOMES}) select run_id, outcome, n_calls, n_found, n_rejected from o",
     "stream_shortlist": ORACLE_SQL["shortlist_state"],
+    "stream_shortlist_retained": ORACLE_SQL["shortlist_state"],
     "stream_selection": ORACLE_SQL["selection_state"],
     "stream_counters": ORACLE_SQL["outcome_counts"],
 }

@@ -14,7 +14,7 @@ from ..sources import standins
 from ..sources.dims import DESCRIPTION, OPTIONS, OTHER_COLOUR, OWNER_COLOUR, QUALITY_COLOUR, VERTICALS, dim_option
 from ..sources.scratch import new_path
 from ..sources.standins import table
-from ..streaming import jobs, selection
+from ..streaming import jobs, retained, selection
 from .oracles import TEXT_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -387,6 +387,19 @@ def stream_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.latest(spark, out, list(shortlist.KEY))
 
 
+@query
+def stream_shortlist_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier events folded as a batch, the later ones as a stream that begins with that fold and forgets what is silent."""
+    events = table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    late = micros >= (events.agg(F.avg(micros).cast("long")).first()[0] or 0)
+    since = retained.parts(standins.shortlist_events(spark, sf_dir, events.where(~late)))
+    out = new_path(spark, "shortlist")
+    stream = standins.shortlist_events(spark, sf_dir, _landed(events.where(late), "landed"))
+    retained.start_shortlist(stream, out, new_path(spark, "checkpoint"), 3600, since, {"once": True}).awaitTermination()
+    return retained.shortlisted(spark, out)
+
+
 @query
 def stream_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, clicks = new_path(spark, "selection"), standins.selection_events(spark, sf_dir)

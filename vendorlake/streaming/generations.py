@@ -7,14 +7,19 @@ changes after it, so that what it reads is the table and at most `every` batches
 Every step can be done again: a replayed batch overwrites its own changes, a generation without its manifest is overwritten
 by the next try, and a batch that a manifest covers already is passed over by readers. What a manifest has replaced is
 removed when the next one is out, so that a reader who took the one before still finds its files.
+
+A key's row is the last one that a batch wrote, or, where a batch writes only what is new of a key, what the given
+aggregates make of its rows; they must give the same in any order and for rows that are merged already.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVERY = 16
+#: The batch before the stream's: rows that the table begins with.
+FIRST = -1
 
 
 def _fs(spark: SparkSession, path: str):
@@ -38,18 +43,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def covered(spark: SparkSession, out_dir: str) -> int:
-    """The last batch that a whole generation holds; -1 if there is none."""
-    return max(_numbers(spark, f"{out_dir}/manifest", "upto"), default=-1)
+    """The last batch that a whole generation holds; one before the first if there is none."""
+    return max(_numbers(spark, f"{out_dir}/manifest", "upto"), default=FIRST - 1)
 
 
 def _publish(spark: SparkSession, out_dir: str, upto: int) -> None:
     spark.range(1).select(F.lit(upto).alias("upto")).coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/manifest/upto={upto}")
 
 
-def latest(spark: SparkSession, out_dir: str, key: list[str], upto: int | None = None) -> DataFrame:
-    """The last row of each key, as of batch upto (if given, one not before the last manifest)."""
+def latest(spark: SparkSession, out_dir: str, key: list[str], upto: int | None = None, merge: list[Column] | None = None) -> DataFrame:
+    """The last row of each key (or its rows merged), as of batch upto (if given, one not before the last manifest)."""
     done = covered(spark, out_dir)
-    parts = [(done, f"{out_dir}/generations/upto={done}")] if done >= 0 else []
+    parts = [(done, f"{out_dir}/generations/upto={done}")] if done >= FIRST else []
     parts += [(n, f"{out_dir}/changes/batch={n}") for n in _numbers(spark, f"{out_dir}/changes", "batch") if n > done and (upto is None or n <= upto)]
     if not parts:
         raise ValueError(f"no batch has been written under {out_dir}")
@@ -57,16 +62,18 @@ def latest(spark: SparkSession, out_dir: str, key: list[str], upto: int | None =
     df = frames[0]
     for more in frames[1:]:
         df = df.unionByName(more)
+    if merge is not None:
+        return df.groupBy(*key).agg(*merge)
     rest = [c for c in df.columns if c not in (*key, "batch_")]
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_").alias("r")).select(*key, "r.*")
 
 
-def compact(spark: SparkSession, out_dir: str, key: list[str], upto: int) -> None:
+def compact(spark: SparkSession, out_dir: str, key: list[str], upto: int, merge: list[Column] | None = None) -> None:
     """Folds all changes up to a batch into a generation of their own, and removes what the manifest before the last one needed."""
     last = covered(spark, out_dir)
     if upto <= last:
         return
-    latest(spark, out_dir, key, upto).write.mode("overwrite").parquet(f"{out_dir}/generations/upto={upto}")
+    latest(spark, out_dir, key, upto, merge).write.mode("overwrite").parquet(f"{out_dir}/generations/upto={upto}")
     _publish(spark, out_dir, upto)
     for n in _numbers(spark, f"{out_dir}/changes", "batch"):
         if n <= last:
@@ -77,9 +84,16 @@ def compact(spark: SparkSession, out_dir: str, key: list[str], upto: int) -> Non
             _remove(spark, f"{out_dir}/generations/upto={n}")
 
 
-def write_changes(batch: DataFrame, batch_id: int, out_dir: str, key: list[str], every: int = EVERY) -> None:
+def write_first(df: DataFrame, out_dir: str) -> None:
+    """Rows that the table begins with, written before the stream's first start; a later start leaves the table as it is."""
+    spark = df.sparkSession
+    if covered(spark, out_dir) < FIRST and FIRST not in _numbers(spark, f"{out_dir}/changes", "batch"):
+        df.write.mode("overwrite").parquet(f"{out_dir}/changes/batch={FIRST}")
+
+
+def write_changes(batch: DataFrame, batch_id: int, out_dir: str, key: list[str], every: int = EVERY, merge: list[Column] | None = None) -> None:
     """For foreachBatch: the rows that a micro-batch changed; after each `every` of them a generation."""
     # Written even if a generation covers it already: a stream's state is kept only by batches that are computed.
     batch.write.mode("overwrite").parquet(f"{out_dir}/changes/batch={batch_id}")
     if (batch_id + 1) % every == 0:
-        compact(batch.sparkSession, out_dir, key, batch_id)
+        compact(batch.sparkSession, out_dir, key, batch_id, merge)
