@@ -227,6 +227,32 @@ def test_repeated_passages_are_found_and_others_left(spark):
         assert got[d]["n_bytes"] == b - a and got[d]["n_spans"] == 1
 
 
+def test_passages_of_short_words_are_found(spark):
+    """Of passages of 51 words with 1 to 3 letters between fresh texts, 0.99 at least have a span in both documents."""
+    r = random.Random(6)
+    fresh = lambda n, longest: " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(1, longest))) for _ in range(n))
+    passages = [fresh(51, 3) for _ in range(300)]
+    docs = [(2 * i + side, f"{fresh(40, 8)} {p} {fresh(40, 8)}") for i, p in enumerate(passages) for side in (0, 1)]
+    docs += [(1000 + i, fresh(120, 3)) for i in range(100)]
+    got = {x["doc_id"] for x in chunk_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert max(got) < 1000 and sum({2 * i, 2 * i + 1} <= got for i in range(300)) >= 0.99 * 300
+
+
+def test_documents_with_spans_are_those_that_brute_force_finds(spark, sf):
+    """Every document with a run of 30 words that stands in another one has a span, and every one with a span a run of 20 words."""
+    docs = [(x["doc_id"], (x["text"] or "").split()) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+
+    def repeating(n):
+        owners = {}
+        for i, w in docs:
+            for k in range(len(w) - n + 1):
+                owners.setdefault(tuple(w[k : k + n]), set()).add(i)
+        return {i for held in owners.values() if len(held) > 1 for i in held}
+
+    got = {x["doc_id"] for x in op5_substring_dedup(spark, sf).collect()}
+    assert repeating(30) <= got <= repeating(20)
+
+
 def test_deduplicated_texts_keep_the_first_copy(spark):
     r = random.Random(14)
     fresh = lambda n: " ".join("".join(r.choices("abcdéfghij", k=r.randrange(2, 9))) for _ in range(n))
@@ -251,6 +277,9 @@ def test_query_5_spans_repeat(spark, sf):
         a, b = map(int, r["spans"].split(",")[0].split(":"))
         first = docs[r["doc_id"]][a : min(b, a + 60)]
         assert any(first in t for i, t in docs.items() if i != r["doc_id"])
+        for a, b in (map(int, x.split(":")) for x in r["spans"].split(",")):  # no part of any span is in this document alone
+            for at in range(a, b - 30, 16):
+                assert any(docs[r["doc_id"]][at : at + 30] in t for i, t in docs.items() if i != r["doc_id"])
 
 
 def test_repeated_spans_of_odd_rows(spark):
