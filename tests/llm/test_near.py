@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from brute import groups
 
@@ -160,6 +161,31 @@ def test_decontamination(spark, limit):
     assert got == contaminated_by_brute_force(docs, items) and len(got) > 20
 
 
+def test_decontamination_by_shuffle_with_a_common_phrase(spark, monkeypatch):
+    """Every document holds the phrase that most items hold too, and more items than are held against a text at a time."""
+    monkeypatch.setattr(decontaminate, "ITEMS", 4)
+    r = random.Random(8)
+    fresh = lambda n: " ".join("".join(r.choices("abcdefgh", k=4)) for _ in range(n))
+    phrase = fresh(8)
+    items = [(i, f"{phrase} {fresh(r.choice((0, 1, 2, 12)))}".strip()) for i in range(40)] + [(50, fresh(30)), (50, fresh(30))]
+    docs = [(i, f"{fresh(20)} {r.choice(items)[1]} {phrase} {fresh(20)}") for i in range(120)] + [(7, "other " + phrase), (None, phrase), (None, phrase)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contaminated(d, b, broadcast_bytes=0).collect()
+    held = contaminated_by_brute_force([(k, t) for k, (_, t) in enumerate(docs)], items[:40])
+    got = {(x["doc_id"], x["item_id"]) for x in rows}
+    assert len(got) == len(rows) > 500 and {x for x in got if x[1] < 40} == {(docs[k][0], i) for k, i in held}
+    same = {tuple(x) for x in decontaminate.contaminated(d, b).collect()}
+    assert {tuple(x) for x in rows} == same
+
+
+def test_bits_name_every_hash_of_a_sketch(spark):
+    r = np.random.default_rng(2)
+    h = r.integers(-(2**63), 2**63, 5000, dtype=np.int64)
+    shared = decontaminate._bits(spark.createDataFrame([(x,) for x in h.tolist()], "h long"))
+    assert decontaminate._hit(shared.value, h.view(np.uint64)).all()
+    assert decontaminate._hit(shared.value, r.integers(0, 2**63, 100_000, dtype=np.uint64)).mean() < 0.001
+
+
 def test_decontamination_of_nothing(spark):
     d, b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(d, b).count() == 0

@@ -18,12 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from ..operators.dealt import dealt
+from .scratch import discard, written
 from .shipping import ship
 from .wordhash import ALNUM, Words, mix, pieces, shingles
 
 #: Item texts of up to so many bytes in total go to every executor; beyond, the sketches are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Bits that tell which shingles of documents may be in a sketch, in the join by a shuffle.
+BITS = 1 << 26
+#: About how many items a text is held against at a time there.
+ITEMS = 64
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _FOUND = "id long, item_id long, n_shingles long, n_shared long"
 
@@ -103,35 +108,72 @@ def _searched(shared):
     return run
 
 
-def _listed(width: int, part: int, whole: int, sketch: bool):
-    """(id, h): every shingle hash of the row's set, or those of its sketch."""
+def _hit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(BITS - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _listed(width: int, part: int, whole: int, shared=None):
+    """(id, h): the row's sketch; with shared bits, instead those of all its shingle hashes that the bits name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, size=1 << 20):
-            for d, run in enumerate(_hashed(batch.column("text"), width)):
-                elements = np.unique(run)
-                if len(elements):
-                    h = _sketch(elements, part, whole) if sketch else elements
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("id")[d].as_py()] * len(h), pa.int64()), pa.array(h.astype(np.int64))], ["id", "h"])
+            sets = [np.unique(run) for run in _hashed(batch.column("text"), width)]
+            found = [e[_hit(shared.value, e)] if shared else _sketch(e, part, whole) for e in sets]
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(found)), [len(e) for e in found])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(found).astype(np.int64))], ["id", "h"])
 
     return run
 
 
+def _bits(sketches: DataFrame):
+    """Which values of BITS the hashes h take, on every executor: a bit each, 8 MB however many hashes there are."""
+    word = F.shiftright(F.col("h").bitwiseAND(BITS - 1), 6).cast("int")
+    words = sketches.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("mask")).toArrow()
+    bits = np.zeros(BITS // 64, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return sketches.sparkSession.sparkContext.broadcast(bits)
+
+
 def _checked(width: int, part: int, whole: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
-            for r in batch.to_pylist():
-                item = exact_shingles(r["item"], width)
-                n = len(item & exact_shingles(r["text"], width))
-                if whole * n >= part * len(item):
-                    rows.append((r["id"], r["item_id"], len(item), n))
+            for d, held in enumerate(batch.column("items").to_pylist()):
+                own = exact_shingles(batch.column("text")[d].as_py(), width)
+                for i in held:
+                    item = exact_shingles(i["item"], width)
+                    n = len(item & own)
+                    if whole * n >= part * len(item):
+                        rows.append((batch.column("id")[d].as_py(), i["item_id"], len(item), n))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "item_id", "n_shingles", "n_shared"])
 
     return run
 
 
+def _by_shuffle(d: DataFrame, b: DataFrame, width: int, part: int, whole: int) -> DataFrame:
+    """_FOUND for items (item_id, item) of any number.
+
+    Documents give only the hashes that the sketches' bits name. A shingle that many documents hold, and an item that many
+    meet, are dealt over groups by a salt. A document's text goes with up to about ITEMS of its items at a time.
+    """
+    b = written(b.distinct().withColumn("bn", F.xxhash64("item_id", "item")), "items")
+    keyed = d.withColumn("dn", F.xxhash64("id", "text"))
+    sketches = b.select(F.col("bn").alias("id"), F.col("item").alias("text")).mapInArrow(_listed(width, part, whole), "id long, h long")
+    sketches = written(sketches.withColumnRenamed("id", "bn"), "sketches")
+    hits = keyed.select(F.col("dn").alias("id"), "text").mapInArrow(_listed(width, part, whole, _bits(sketches)), "id long, h long")
+    hits = written(hits.withColumnRenamed("id", "dn"), "hits")
+    many, few = dealt(hits, sketches, ["h"], F.col("dn"))
+    pairs = written(many.join(few, ["h", "salt_"]).select("dn", "bn").distinct(), "pairs")
+    discard(hits, sketches)
+    groups = pairs.groupBy("dn").agg(F.ceil(F.count("*") / ITEMS).alias("groups"))
+    many, few = dealt(pairs, b, ["bn"], F.col("dn"))
+    met = many.join(few, ["bn", "salt_"]).join(groups, "dn").withColumn("group", F.pmod(F.xxhash64("bn"), F.col("groups")))
+    held = met.groupBy("dn", "group").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    return held.join(keyed, "dn").select("id", "text", "items").mapInArrow(_checked(width, part, whole), _FOUND)
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -161,13 +203,7 @@ def contaminated(
         held = Items([r["item_id"] for r in rows], [r["item"] for r in rows], width, part, whole)
         found = d.mapInArrow(_searched(docs.sparkSession.sparkContext.broadcast(held)), _FOUND)
     else:
-        b = b.distinct().withColumn("n", F.xxhash64("item_id", "item"))
-        keyed = d.withColumn("n", F.xxhash64("id", "text"))
-        sketches = b.select(F.col("n").alias("id"), F.col("item").alias("text")).mapInArrow(_listed(width, part, whole, True), "id long, h long")
-        shingled = keyed.select(F.col("n").alias("id"), "text").mapInArrow(_listed(width, part, whole, False), "id long, h long")
-        pairs = written(shingled.withColumnRenamed("id", "dn").join(sketches.withColumnRenamed("id", "bn"), "h").select("dn", "bn").distinct(), "pairs")
-        both = pairs.join(keyed.withColumnRenamed("n", "dn"), "dn").join(b.withColumnRenamed("n", "bn"), "bn").select("id", "text", "item_id", "item")
-        found = both.mapInArrow(_checked(width, part, whole), _FOUND)
+        found = _by_shuffle(d, b, width, part, whole)
     best = found.groupBy("id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n_shingles"), "n_shared", "n_shingles")).alias("m"))
     return best.select(
         F.col("id").alias(id_col), "item_id", "m.n_shingles", "m.n_shared", (F.col("m.n_shared") / F.col("m.n_shingles")).alias("containment")
