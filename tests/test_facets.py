@@ -1,0 +1,20 @@
+"""Facet counts: companies meet each condition once, however many briefs have it."""
+
+from pyspark.sql import functions as F
+
+from vendorlake.plans import queries
+from vendorlake.sources import standins
+
+
+def test_briefs_of_the_same_condition_meet_companies_once(spark, sf, monkeypatch):
+    briefs, tested = standins.briefs, spark.sparkContext.accumulator(0)
+    copied = F.explode(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.concat("brief_id", F.lit("-"), i.cast("string"))))
+    few = {r[0]: r[1] for r in queries.QUERIES["facet_tags"](spark, sf).collect()}
+    monkeypatch.setattr(standins, "briefs", lambda s, d: briefs(s, d).withColumn("brief_id", copied))
+    many = {r[0]: r[1] for r in queries.QUERIES["facet_tags"](spark, sf).collect()}
+    assert few and many == {f"{b}-{i}": n for b, n in few.items() for i in range(1, 51)}
+
+    count = F.udf(lambda tags, asked: tested.add(1) or True, "boolean")
+    queries._facet(lambda: count("c.tags", "b.tags"), "tags")(spark, sf).collect()
+    companies, n = standins.company_profile(spark, sf).count(), briefs(spark, sf).count()
+    assert 0 < tested.value <= companies * n
