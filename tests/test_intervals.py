@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vendorlake.operators import intervals
 from vendorlake.sources import dims
@@ -55,3 +56,12 @@ def test_no_values_and_no_bands(spark):
     v, b = spark.createDataFrame([], "v double"), spark.createDataFrame([], "label string, lo double, hi double")
     one = spark.createDataFrame([(1.0,)], "v double")
     assert intervals.band_join(v, b, "v", "lo", "hi").count() == 0 and intervals.band_join(one, b, "v", "lo", "hi", how="left").count() == 1
+
+
+def test_the_join_has_tasks_by_its_values(spark):
+    """What goes in is small and what comes out is not, so that the number of tasks isn't left to the bytes read."""
+    values = spark.range(40_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 1000).cast("double").alias("v"))
+    bands = spark.createDataFrame([(k, float(lo), float(lo + 10)) for k in range(3) for lo in range(0, 1000, 100)], "k long, lo double, hi double")
+    df = intervals.band_join(values, bands, "v", "lo", "hi", ["k"])
+    assert df.count() == 40_000 // 10
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()

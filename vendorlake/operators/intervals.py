@@ -16,6 +16,8 @@ from ..sources.scratch import written
 from .dealt import SHARE, dealt
 
 BUCKETS = 64
+#: Values of a task of the join, about, up to so many tasks: Spark alone would choose their number by the bytes that go in, which are few.
+VALUES, TASKS = 4096, 2048
 
 
 def edges_of(values: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
@@ -46,7 +48,8 @@ def band_join(
     reach = F.sequence(F.when(low.isNull(), 0).otherwise(bucket(low, edges)), F.when(high.isNull(), len(edges)).otherwise(bucket(high, edges)))
     few = bands.where(low.isNull() | high.isNull() | (low < high)).withColumn("bucket_", F.explode(reach))
     key = [*by, "bucket_"]
-    many, few = dealt(many, few, key, F.struct(*values.columns), share)
+    tasks = min(TASKS, 1 + many.count() // VALUES)
+    many, few = (t.repartition(tasks, *key, "salt_") for t in dealt(many, few, key, F.struct(*values.columns), share))
     m, b = many.alias("m"), few.alias("b")
     inside = (F.col(f"b.{lo}").isNull() | (F.col(f"m.{value}") >= F.col(f"b.{lo}"))) & (F.col(f"b.{hi}").isNull() | (F.col(f"m.{value}") < F.col(f"b.{hi}")))
     on = reduce(lambda a, c: a & (F.col(f"m.{c}") == F.col(f"b.{c}")), [*key, "salt_"], inside)
