@@ -82,3 +82,18 @@ def test_odd_events(spark, tmp_path):
     started(land(spark, odd, SHORT, tmp_path / "in", 1), out, str(tmp_path / "checkpoint"), 60, retained.parts(spark.createDataFrame(earlier, SHORT)))
     assert sorted((r["id"], r["saved"], r["role"]) for r in retained.shortlisted(spark, out).collect()) == [(1, True, ""), (2, False, ""), (9, True, "")]
     assert retained.parts(spark.createDataFrame([], SHORT)).count() == 0
+
+
+def test_companies_share_calls_and_state(spark, tmp_path):
+    """Far more companies than buckets: the state has a row a bucket, and what it gives is the fold; ids beyond 53 bits stay whole."""
+    n, big = 3000, 1 << 60
+    earlier = [(i, T0, "l", "r", i, "save", None, None) for i in range(n)]
+    later = [(big + i, T0.replace(hour=1), "l", "r", i, "set", "email", f"x{i}") for i in range(0, 2 * n, 2)]
+    out = str(tmp_path / "out")
+    events = land(spark, later, SHORT, tmp_path / "in", 1)
+    query = retained.start_shortlist(events, out, str(tmp_path / "checkpoint"), 3600, retained.parts(spark.createDataFrame(earlier, SHORT)), ONCE)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < n
+    assert plain(retained.shortlisted(spark, out)) == plain(shortlist.fold(spark.createDataFrame(earlier + later, SHORT)))
+    written = changes(spark, tmp_path, 0)
+    assert {i: r["email_at"]["event_id"] for i, r in written.items()} == {i: big + i for i in range(0, 2 * n, 2)}
