@@ -4,6 +4,7 @@ from brute import groups, pii
 
 import __spark_entry__ as e
 import corpus_pipeline
+from vendorlake.llm import langid
 from vendorlake.llm.decontaminate import exact_shingles
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -83,3 +84,15 @@ def test_rows_are_decided_by_their_text_whatever_their_ids(spark, sf):
     # One of each group, the smallest id first and a null one last; alike rows once; texts without a word stay alone.
     assert [x for x in single if x[0] is not None] == sorted([(7, words(5)), (8, words(6) + " end"), (3, words(7)), (5, words(8)), (11, None), (12, "")], key=str)
     assert [i for i, t in single if t and t.startswith("w3x0 ")] == [None]
+
+
+def test_the_language_model_is_not_fitted_in_the_driver(spark, monkeypatch):
+    """The driver has no memory for the sample and its features."""
+
+    def refuse(*a, **b):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(langid, "fit_crf", refuse)
+    docs = spark.createDataFrame([(i, t, x, "s", 20) for i in range(0, 40, 2) for t, x in [(("the cat and the dog", "en"), ("der Hund und die Katze", "de"))[i // 2 % 2]]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert langid.fit(docs).langs == ["de", "en"]
+    assert langid.fit(docs.where("false")) is None

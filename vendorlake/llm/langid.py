@@ -12,6 +12,7 @@ transitions are learned.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,17 +194,27 @@ def _runs(texts: list[str], langs: list[str]) -> tuple[list[str], list[str]]:
     return [t for t, _ in out], [x for _, x in out]
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, langs = [], []
+    for batch in batches:
+        texts += [t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+        langs += batch.column("lang").to_pylist()
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_crf(*_runs(texts, langs)))], pa.binary())], ["model"])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Crf | None:
     """A model of the languages of docs' lang_col, from at most fit_rows documents with text, language and id; None if there is none.
 
-    Of rows that repeat an id the one of the least text and language counts, so that fit_rows texts at most reach the driver.
+    Of rows that repeat an id the one of the least text and language counts, so that fit_rows texts at most reach the task that
+    fits; the driver gets the model alone.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.where("id is not null and lang is not null and text is not null")
     ship(docs.sparkSession)
     chosen = d.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    rows = d.join(F.broadcast(chosen), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("m")).select("m.text", "m.lang").collect()
-    return fit_crf(*_runs([r["text"] for r in rows], [r["lang"] for r in rows]))
+    rows = d.join(F.broadcast(chosen), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text", "lang")).alias("m"))
+    model = rows.select(F.col("m.text").cast("binary").alias("text"), "m.lang").coalesce(1).mapInArrow(_fitted, "model binary").first()
+    return None if model is None else pickle.loads(model["model"])
 
 
 def _identified(shared):
