@@ -1,5 +1,7 @@
 """Facet counts: companies meet each condition once, however many briefs have it."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from vendorlake.plans import queries
@@ -18,3 +20,9 @@ def test_briefs_of_the_same_condition_meet_companies_once(spark, sf, monkeypatch
     queries._facet(lambda: count("c.tags", "b.tags"), "tags")(spark, sf).collect()
     companies, n = standins.company_profile(spark, sf).count(), briefs(spark, sf).count()
     assert 0 < tested.value <= companies * n
+
+
+def test_lines_are_dealt_by_customer_once(spark, sf):
+    """What a company buys most of, types and brands, comes of one shuffle by customer."""
+    plan = queries.QUERIES["company_profile"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(o_custkey#\w+, p_(type|brand)#\w+, \d+\)", plan) and "REPARTITION_BY_COL" in plan
